@@ -197,24 +197,42 @@ def latency_percentiles(
     return result.select(*keys, "n", *[cut(percentile_label(p)).alias(percentile_label(p)) for p in percentiles])
 
 
+def bucket_counts(df: DataFrame, value: str, bounds: tuple[float, ...], by: list[str | Column]) -> DataFrame:
+    """One row per group: ``cumulative`` (rows at or below each bound), ``total``, ``value_sum``. One pass,
+    one fixed-size buffer per group."""
+    marks = [F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(bounds)]
+    wide = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
+        *marks, F.count("*").alias("total"), F.sum(value).cast("double").alias("value_sum")
+    )
+    kept = [c for c in wide.columns if c not in {f"b{i}" for i in range(len(bounds))}]
+    return wide.select(*kept, F.array(*[f"b{i}" for i in range(len(bounds))]).alias("cumulative"))
+
+
+def quantile_of(cumulative: Column, total: Column, bounds: tuple[float, ...], q: float) -> Column:
+    """Quantile by straight-line interpolation inside the first bucket that reaches the rank: from 0 in
+    the first bucket, the highest bound when none reaches it, NULL without rows."""
+    rank = F.lit(float(q)) * total
+    result = F.when(total == 0, None)
+    for i, bound in enumerate(bounds):
+        low, before = (bounds[i - 1], cumulative[i - 1]) if i else (0.0, F.lit(0))
+        share = (rank - before) / F.nullif((cumulative[i] - before).cast("double"), F.lit(0.0))
+        result = result.when(cumulative[i] >= rank, F.lit(low) + F.lit(bound - low) * share)
+    return result.otherwise(F.lit(bounds[-1]))
+
+
 def histogram(df: DataFrame, value: str, bounds: tuple[float, ...], by: list[str] | None = None) -> DataFrame:
-    """Cumulative counts per upper bound, with the sum and the count: ``by, le, cumulative, total, value_sum``.
-    One pass, one fixed-size buffer per group; the last bound is infinity."""
+    """``by, le, cumulative, total, value_sum``, one row per bound; the last bound is infinity."""
     keys = by or []
-    rows = df.where(F.col(value).isNotNull())
-    marks = {f"b{i}": F.count_if(F.col(value) <= b) for i, b in enumerate(bounds)}
-    wide = rows.groupBy(*keys).agg(
-        *[m.alias(n) for n, m in marks.items()], F.count("*").alias("total"), F.sum(value).cast("double").alias("value_sum")
-    )
-    steps = [F.struct(F.lit(float(b)).alias("le"), F.col(f"b{i}").alias("cumulative")) for i, b in enumerate(bounds)]
-    steps.append(F.struct(F.lit(float("inf")).alias("le"), F.col("total").alias("cumulative")))
+    wide = bucket_counts(df, value, bounds, keys)
+    steps = [F.struct(F.lit(float(b)).alias("le"), F.col("cumulative")[i].alias("upto")) for i, b in enumerate(bounds)]
+    steps.append(F.struct(F.lit(float("inf")).alias("le"), F.col("total").alias("upto")))
     return wide.select(*keys, F.explode(F.array(*steps)).alias("s"), "total", "value_sum").select(
-        *keys, "s.le", "s.cumulative", "total", "value_sum"
+        *keys, "s.le", F.col("s.upto").alias("cumulative"), "total", "value_sum"
     )
 
 
 def histogram_quantile(hist: DataFrame, q: float, by: list[str] | None = None) -> DataFrame:
-    """Quantile by straight-line interpolation inside the first bucket that reaches the rank."""
+    """Quantile of a stored histogram in long form, at most one row per bound and group."""
     keys = by or []
     order = Window.partitionBy(*keys).orderBy("le")
     steps = hist.withColumns(
@@ -232,6 +250,14 @@ def histogram_quantile(hist: DataFrame, q: float, by: list[str] | None = None) -
     return first.select(*keys, quantile.alias("quantile"))
 
 
+def value_quantile(
+    df: DataFrame, value: str, bounds: tuple[float, ...], q: float, by: list[str] | None = None
+) -> DataFrame:
+    """Histogram quantile straight from rows: one aggregate, the rest is an expression."""
+    wide = bucket_counts(df, value, bounds, by or [])
+    return wide.select(*(by or []), quantile_of(F.col("cumulative"), F.col("total"), bounds, q).alias("quantile"))
+
+
 def event_rate(df: DataFrame, ts: str, by: list[str], seconds: int = 60) -> DataFrame:
     """Events per second in tumbling windows."""
     window = F.window(ts, f"{seconds} seconds")["start"].alias("window_start")

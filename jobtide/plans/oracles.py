@@ -636,3 +636,124 @@ add(
     f" siz AS (SELECT * FROM (VALUES {bucket_values('worker_batch_size')}) AS t(le))"
     " SELECT le, count(*) FILTER (WHERE n <= le) AS cumulative, count(*) AS total FROM polls, siz GROUP BY le",
 )
+
+# --- streams: the same results, once the windows and timers that stay open at the end are left out ---
+
+add(
+    "stream_history_append",
+    "task_history",
+    "SELECT *, strftime(occurred_at, '%Y-%m') AS event_month FROM task_history",
+)
+_HISTORY_NOTE = (
+    "SELECT 'good' AS part, concat('00000000-0000-4000-8000-', lpad(CAST(user_id AS VARCHAR), 12, '0')) AS key,"
+    " CASE WHEN event_id % 10 = 7 THEN 'queued' ELSE 'running' END AS note, count(*) AS n FROM events"
+    " WHERE event_id % 10 NOT IN (3, 5) GROUP BY 1, 2, 3 UNION ALL SELECT 'bad', CAST(CAST(floor(event_id / 8) AS BIGINT) AS VARCHAR),"
+    " CASE event_id % 10 WHEN 3 THEN 'bad_json' ELSE 'bad_task_id' END, count(*) FROM events"
+    " WHERE event_id % 10 IN (3, 5) GROUP BY 1, 2, 3"
+)
+ORACLES["stream_history_messages"] = _HISTORY_NOTE
+add(
+    "stream_requests",
+    "task_requests",
+    f", stored_keys AS (SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS idempotency_key), {_VALID}, {_COMPLETED}"
+    " SELECT id, type, max_retries, idempotency_key FROM made",
+)
+add(
+    "stream_unique_keys",
+    "task_requests",
+    "SELECT idempotency_key, CASE WHEN idempotency_key = '' THEN count(*) ELSE 1 END AS n FROM task_requests GROUP BY 1",
+)
+add(
+    "stream_outbox",
+    "messages",
+    "SELECT 'sent' AS part, concat('job-', CAST(event_id AS VARCHAR)) AS name FROM messages"
+    " WHERE event_id % 3 <> 1 AND event_id % 10 NOT IN (3, 5, 7)"
+    " UNION ALL SELECT 'bad', CAST(event_id AS VARCHAR) FROM messages WHERE event_id % 3 <> 1 AND event_id % 10 IN (3, 5, 7)"
+    " UNION ALL SELECT 'marked', CAST(event_id AS VARCHAR) FROM messages WHERE event_id % 3 <> 1",
+)
+add(
+    "stream_messages",
+    "tasks",
+    "SELECT CASE WHEN e.event_id % 10 IN (3, 5, 7) THEN 'quarantine' WHEN t.status IN ('succeeded', 'failed', 'dead_lettered')"
+    " THEN 'skipped' ELSE 'to_run' END AS part, count(*) AS n FROM events e LEFT JOIN tasks t ON t.id = e.user_id GROUP BY 1",
+)
+ORACLES["stream_current_state"] = ORACLES["current_state"]
+add(
+    "stream_rates",
+    "samples",
+    ", rates AS (SELECT date_trunc('minute', seen_at) AS window_start, kind, count(*) AS events, round(count(*) / 60.0, 9) AS per_second"
+    " FROM samples GROUP BY 1, 2) SELECT * FROM rates"
+    " WHERE window_start + INTERVAL '1' MINUTE <= (SELECT max(seen_at) - INTERVAL '1' MINUTE FROM samples)",
+)
+_SLID = (
+    "slid AS (SELECT date_trunc('hour', seen_at) - INTERVAL '1' HOUR * k AS window_start, kind, latency_seconds"
+    " FROM samples, (VALUES (0), (1), (2), (3), (4)) AS t(k)),"
+    f" bounds AS (SELECT CAST(b AS DOUBLE) AS le FROM (VALUES {_BOUNDS}) AS t(b)),"
+    " hist AS (SELECT window_start, kind, le, count(*) FILTER (WHERE latency_seconds <= le) AS cumulative, count(*) AS total"
+    " FROM slid, bounds GROUP BY 1, 2, 3),"
+    " steps AS (SELECT *, coalesce(lag(le) OVER w, 0) AS low, coalesce(lag(cumulative) OVER w, 0) AS bef,"
+    " CAST(0.95 AS DOUBLE) * total AS r FROM hist WINDOW w AS (PARTITION BY window_start, kind ORDER BY le)),"
+    " first AS (SELECT *, row_number() OVER (PARTITION BY window_start, kind ORDER BY le) AS rn FROM steps WHERE cumulative >= r)"
+).replace("('Infinity')", "(CAST('Infinity' AS DOUBLE))")
+add(
+    "stream_sliding_p95",
+    "samples",
+    f", {_SLID} SELECT window_start, kind, total, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (r - bef)"
+    " / (cumulative - bef) END, 9) AS quantile FROM first WHERE rn = 1"
+    " AND window_start + INTERVAL '5' HOUR <= (SELECT max(seen_at) - INTERVAL '1' MINUTE FROM samples)",
+)
+add(
+    "stream_live_totals",
+    "samples",
+    ", steps AS (SELECT time_bucket(INTERVAL '2 hours', seen_at, TIMESTAMP '1970-01-01 00:00:00') + INTERVAL '2' HOUR AS step_end,"
+    " count(*) AS sent, count(*) FILTER (WHERE error <> '') AS err FROM samples GROUP BY 1)"
+    " SELECT step_end, sent, sent - err AS ok, err, round((sent - err) / 7200.0, 9) AS current_rate FROM steps"
+    " WHERE step_end <= (SELECT max(seen_at) - INTERVAL '10' SECOND FROM samples)",
+)
+add(
+    "stream_end_to_end",
+    "samples",
+    "SELECT \"index\" AS task_id, seen_at AS created_at, kind AS status, seen_at + INTERVAL '1' MICROSECOND *"
+    " CAST(round(latency_seconds * 1000000) AS BIGINT) AS finished_at, round(latency_seconds, 6) AS e2e_seconds"
+    " FROM samples WHERE \"index\" % 3 <> 0 AND latency_seconds <= 3600",
+)
+add(
+    "stream_reaper",
+    "task_history",
+    ", newest AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY occurred_at DESC, id DESC) AS rn FROM task_history),"
+    " due AS (SELECT task_id, CAST(task_id % 5 AS INT) AS retries, occurred_at + INTERVAL '1' SECOND * CAST(30 * (1 + task_id % 4) AS INT)"
+    " AS due_at FROM newest WHERE rn = 1 AND status = 'running')"
+    " SELECT CAST(task_id AS VARCHAR) AS task_id, CASE WHEN retries < 3 THEN 'requeued' ELSE 'dead_lettered' END AS outcome,"
+    " CASE WHEN retries < 3 THEN retries + 1 ELSE retries END AS retry_count,"
+    f" CASE WHEN retries >= 3 THEN '{S.REAPED_MESSAGE}' END AS error_message, due_at FROM due"
+    " WHERE due_at < (SELECT max(occurred_at) - INTERVAL '30' SECOND FROM task_history)",
+)
+add(
+    "stream_due_retries",
+    "samples",
+    ", due AS (SELECT \"index\" AS task_id, CAST(\"index\" % 5 AS INT) + 1 AS retry_count, seen_at + INTERVAL '1' SECOND *"
+    " CAST(least(5 * power(2, \"index\" % 5), 300) AS INT) AS run_after FROM samples WHERE error <> '' AND \"index\" % 5 < 4)"
+    " SELECT CAST(task_id AS VARCHAR) AS task_id, retry_count, run_after FROM due"
+    " WHERE run_after <= (SELECT max(seen_at) - INTERVAL '10' SECOND FROM samples WHERE error <> '' AND \"index\" % 5 < 4)",
+)
+add(
+    "stream_dlq",
+    "tasks",
+    f", routed AS (SELECT *, {_OUTCOME} AS outcome FROM tasks WHERE status = 'running')"
+    f" SELECT 'retry' AS part, id, {T} + INTERVAL '1' SECOND * {_BACKOFF} AS run_after, CAST(NULL AS VARCHAR) AS error FROM routed"
+    " WHERE outcome = 'retry' UNION ALL SELECT 'dead', id, NULL, concat('boom ', CAST(id AS VARCHAR)) FROM routed"
+    " WHERE outcome = 'dead_lettered'",
+)
+add("stream_retention", "task_history", f"SELECT * FROM task_history WHERE occurred_at >= {E} - INTERVAL '86400' SECOND")
+add(
+    "history_layout_roundtrip",
+    "task_history",
+    "SELECT CAST(id AS VARCHAR) AS id, CAST(task_id AS VARCHAR) AS task_id, status, occurred_at FROM task_history"
+    " WHERE occurred_at >= TIMESTAMP '2024-01-05 00:00:00' AND occurred_at < TIMESTAMP '2024-01-25 00:00:00'",
+)
+add(
+    "task_table_roundtrip",
+    "tasks",
+    f", {_STALE} SELECT CAST(id AS VARCHAR) AS id, CASE outcome WHEN 'requeued' THEN 'queued' ELSE 'dead_lettered' END AS status,"
+    " CASE outcome WHEN 'requeued' THEN retry_count + 1 ELSE retry_count END AS retry_count, outcome FROM stale",
+)

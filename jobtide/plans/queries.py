@@ -655,8 +655,8 @@ def histogram_p95(spark, sf):
 
 @query
 def histogram_p25(spark, sf):
-    hist = metrics.histogram(V.view(spark, sf, "samples"), "latency_seconds", S.BUCKETS["task_duration"], ["kind"])
-    return metrics.histogram_quantile(hist, 0.25, ["kind"]).withColumn("quantile", F.round("quantile", 9))
+    samples = V.view(spark, sf, "samples")
+    return metrics.value_quantile(samples, "latency_seconds", S.BUCKETS["task_duration"], 0.25, ["kind"]).withColumn("quantile", F.round("quantile", 9))
 
 
 @query

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobtide import schemas as S
 from jobtide.functions.headers import build_headers
-from jobtide.functions.jsontext import TEXT_FIELDS, blank_payload_values, fits_request, is_object, parsed
+from jobtide.functions.jsontext import TEXT_FIELDS, WHOLE_NUMBER_FIELDS, blank_payload_values, fits_request, is_object, parsed
 from jobtide.functions.scalars import blank_to_null, canonical_uuid, null_to_blank, parse_rfc3339, rfc3339, surrogate_id
 
 
@@ -97,6 +97,20 @@ def read_task_messages(messages: DataFrame) -> DataFrame:
     )
 
 
+def read_outbox_payloads(outbox: DataFrame) -> DataFrame:
+    """Outbox rows with the fields of their payload; ``good`` is false where it does not decode."""
+    opened = outbox.select("*", parsed("payload").alias("_doc"), F.from_json("payload", S.OUTBOX_PAYLOAD).alias("_body"))
+    document, body = F.col("_doc"), F.col("_body")
+    task_id = canonical_uuid(body["task_id"])
+    good = fits_request(document) & _kind(document, "task_id").isin("STRING") & task_id.isNotNull()
+    kept = [c for c in outbox.columns if c not in ("payload", "task_id")]
+    texts = [null_to_blank(body[f]).alias(f) for f in TEXT_FIELDS]
+    numbers = [F.coalesce(body[f], F.lit(0)).alias(f) for f in WHOLE_NUMBER_FIELDS]
+    payload = blank_payload_values(body["payload"]).alias("payload")
+    raw = [F.col("payload").alias("raw_payload"), F.col("task_id").alias("raw_task_id")]
+    return opened.select(*kept, *raw, good.alias("good"), task_id.alias("task_id"), *texts, *numbers, payload)
+
+
 def _quarantined(decoded: DataFrame) -> DataFrame:
     keep = [c for c in S.MESSAGE_ROW.fieldNames() if c in decoded.columns]
     return decoded.where("reject_reason IS NOT NULL").select(*keep, "reject_reason")
