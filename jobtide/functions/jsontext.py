@@ -1,66 +1,84 @@
-"""JSON payload decoding, lenient and strict."""
+"""JSON documents: payload maps, and field access that can tell text from numbers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions.scalars import col
 
 TEXT_FIELDS = ("name", "type", "idempotency_key")
-WHOLE_NUMBER_FIELDS = ("priority", "max_retries", "timeout_seconds")
-
-
-def _blank_nulls(payload: Column) -> Column:
-    return F.transform_values(payload, lambda _, v: F.coalesce(v, F.lit("")))
+NUMBER_FIELDS = ("priority", "max_retries", "timeout_seconds")
+_CORRUPT = "_corrupt"
 
 
 def decode_payload(text: str | Column) -> Column:
     """JSON object text to a string map; a null value becomes the empty string."""
-    return _blank_nulls(F.from_json(col(text), "map<string,string>"))
+    return F.transform_values(F.from_json(col(text), "map<string,string>"), lambda _, v: F.coalesce(v, F.lit("")))
 
 
 def encode_payload(payload: str | Column = "payload") -> Column:
     return F.to_json(col(payload))
 
 
-def decode(text: str | Column, schema) -> Column:
-    """A struct by field name, NULL fields where the text does not fit (never an exception)."""
-    return F.from_json(col(text), schema, {"mode": "PERMISSIVE"})
+def is_object(text: str | Column) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(col(text))).startswith("OBJECT"), F.lit(False))
+
+
+class Document:
+    """A parsed JSON object in a struct column: typed access to its fields.
+
+    Numbers are parsed as integers, and one that is quoted, fractional or too large marks the document
+    as corrupt while the rest of it stays readable. Text and payload values keep their JSON type.
+    """
+
+    def __init__(self, column: str, text: str):
+        self.column, self.source = F.col(column), F.col(text).cast("string")
+
+    def fits(self, texts: tuple[str, ...] = TEXT_FIELDS, payload: bool = True) -> Column:
+        """The document decodes into its fields without any type change. The word ``null`` does, to blanks."""
+        verdict = (self.column[_CORRUPT].isNull() & (self.source != "")) | (F.trim(self.source) == "null")
+        for field in texts:
+            verdict = verdict & _kind(self.column[field]).isin("STRING", "VOID")
+        if payload:
+            plain = F.forall(F.map_values(self.column["payload"]), lambda v: _kind(v).isin("STRING", "VOID"))
+            verdict = verdict & F.coalesce(plain, F.lit(True))
+        return F.coalesce(verdict, F.lit(False))
 
+    def text(self, field: str) -> Column:
+        return F.try_variant_get(self.column[field], "$", "string")
 
-def blank_payload_values(payload: str | Column) -> Column:
-    return _blank_nulls(col(payload))
+    def blank_text(self, field: str) -> Column:
+        return F.coalesce(self.text(field), F.lit(""))
 
+    def number(self, field: str) -> Column:
+        return F.coalesce(self.column[field], F.lit(0))
 
-def _kind(document: Column, path: str) -> Column:
-    """JSON type name at a path; absent and null both count as VOID."""
-    inner = F.try_variant_get(document, path, "variant")
-    return F.coalesce(F.schema_of_variant(inner), F.lit("VOID"))
+    def payload(self) -> Column:
+        """String map or NULL. Values that are no text become their JSON text, null the empty string."""
+        return F.transform_values(self.column["payload"], lambda _, v: F.coalesce(_as_text(v), F.lit("")))
 
 
-def parsed(text: str | Column) -> Column:
-    return F.try_parse_json(col(text))
+def _kind(value: Column) -> Column:
+    """JSON type name; absent and null both count as VOID."""
+    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
 
 
-def is_object(document: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(document).startswith("OBJECT"), F.lit(False))
+def _as_text(value: Column) -> Column:
+    return F.coalesce(F.try_variant_get(value, "$", "string"), F.when(_kind(value) != "VOID", F.to_json(value)))
 
 
-def fits_request(document: Column, extra_numbers: tuple[str, ...] = ()) -> Column:
-    """True when a parsed document decodes into a request without any type change.
+def open_documents(
+    df: DataFrame, text: str, texts: tuple[str, ...] = TEXT_FIELDS, numbers: tuple[str, ...] = NUMBER_FIELDS, payload: bool = True
+) -> tuple[DataFrame, Document]:
+    """``df`` with its JSON text parsed once per row into ``_doc``.
 
-    Text stays text, counts are whole numbers, payload values are text or null. Quoted numbers,
-    fractions and nested payload values do not fit.
+    The parse goes through a one-element ``inline``: filters on decoded fields are not pushed below it,
+    where each of them would parse the text again.
     """
-    checks = [is_object(document)]
-    checks += [_kind(document, f"$.{f}").isin("STRING", "VOID") for f in TEXT_FIELDS]
-    checks += [_kind(document, f"$.{f}").isin("BIGINT", "VOID") for f in WHOLE_NUMBER_FIELDS + extra_numbers]
-    payload = _kind(document, "$.payload")
-    values = F.map_values(F.try_variant_get(document, "$.payload", "map<string,variant>"))
-    plain = F.forall(values, lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")).isin("STRING", "VOID"))
-    checks.append((payload == "VOID") | (payload.startswith("OBJECT") & F.coalesce(plain, F.lit(False))))
-    verdict = checks[0]
-    for check in checks[1:]:
-        verdict = verdict & check
-    return F.coalesce(verdict, F.lit(False))
+    fields = [f"`{f}` variant" for f in texts] + [f"`{f}` int" for f in numbers]
+    fields += ["payload map<string,variant>"] if payload else []
+    schema = ", ".join([*fields, f"{_CORRUPT} string"])
+    document = F.from_json(F.col(text).cast("string"), schema, {"columnNameOfCorruptRecord": _CORRUPT})
+    opened = df.select("*", F.inline(F.array(F.struct(document.alias("_doc")))))
+    return opened, Document("_doc", text)

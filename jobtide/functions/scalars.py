@@ -74,11 +74,12 @@ def canonical_uuid(text: str | Column) -> Column:
     ``urn:uuid:`` prefix, and 32 bare hex digits.
     """
     raw = col(text)
-    spelled = F.regexp_extract(raw, f"^(?:(?i:urn:uuid:))?({HEX_UUID})$", 1)
-    enclosed = F.regexp_extract(raw, f"^.({HEX_UUID}).$", 1)
-    bare = F.when(raw.rlike("^[0-9a-fA-F]{32}$"), hex_to_uuid(raw)).otherwise(F.lit(""))
-    found = F.when(spelled != "", spelled).when(enclosed != "", enclosed).otherwise(bare)
-    return F.nullif(F.lower(found), F.lit(""))
+    return (
+        F.when(raw.rlike(f"^{HEX_UUID}$"), F.lower(raw))
+        .when(raw.rlike("^[0-9a-fA-F]{32}$"), F.lower(hex_to_uuid(raw)))
+        .when(raw.rlike(f"^(?i:urn:uuid:){HEX_UUID}$"), F.lower(F.substring(raw, 10, 36)))
+        .when(raw.rlike(f"^.{HEX_UUID}.$"), F.lower(F.substring(raw, 2, 36)))
+    )
 
 
 def check_task_id(text: str | Column, error_code: str = S.INVALID_TASK_ID) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from jobtide import schemas as S
 from jobtide.functions.headers import build_headers
-from jobtide.functions.jsontext import TEXT_FIELDS, WHOLE_NUMBER_FIELDS, blank_payload_values, fits_request, is_object, parsed
-from jobtide.functions.scalars import blank_to_null, canonical_uuid, null_to_blank, parse_rfc3339, rfc3339, surrogate_id
+from jobtide.functions.jsontext import NUMBER_FIELDS, TEXT_FIELDS, open_documents
+from jobtide.functions.scalars import blank_to_null, canonical_uuid, parse_rfc3339, rfc3339, surrogate_id
 
 
 def _task_body() -> Column:
@@ -71,44 +71,44 @@ def _meta() -> Column:
     )
 
 
-def _kind(document: Column, field: str) -> Column:
-    return F.coalesce(F.schema_of_variant(F.try_variant_get(document, f"$.{field}", "variant")), F.lit("VOID"))
+_COUNTS = (*NUMBER_FIELDS, "retry_count")
 
 
 def read_task_messages(messages: DataFrame) -> DataFrame:
     """Every message decoded, ``reject_reason`` NULL for the good ones."""
-    text = F.col("value").cast("string")
-    # As columns of their own the two parses run once per row, however often they are read below.
-    opened = messages.select("*", parsed(text).alias("_doc"), F.from_json(text, S.TASK_MESSAGE).alias("_body"))
-    document, body = F.col("_doc"), F.col("_body")
-    whole = fits_request(document, extra_numbers=("retry_count",)) & _kind(document, "task_id").isin("STRING", "VOID")
-    task_id = canonical_uuid(body["task_id"])
-    numbers = ("priority", "max_retries", "timeout_seconds", "retry_count")
-    fields = {f: null_to_blank(body[f]).alias(f) for f in TEXT_FIELDS}
-    fields |= {f: F.coalesce(body[f], F.lit(0)).alias(f) for f in numbers}
-    fields["payload"] = blank_payload_values(body["payload"]).alias("payload")
-    order = ("name", "type", "payload", "priority", "max_retries", "timeout_seconds", "retry_count", "idempotency_key")
+    texts = ("task_id", *TEXT_FIELDS)
+    opened, doc = open_documents(messages, "value", texts, _COUNTS)
+    whole = doc.fits(texts)
+    task_id = canonical_uuid(doc.text("task_id"))
     return opened.select(
         *messages.columns,
         F.when(~whole, "bad_json").when(task_id.isNull(), "bad_task_id").alias("reject_reason"),
         task_id.alias("task_id"),
-        *[fields[f] for f in order],
+        doc.blank_text("name").alias("name"),
+        doc.blank_text("type").alias("type"),
+        doc.payload().alias("payload"),
+        *[doc.number(f).alias(f) for f in _COUNTS],
+        doc.blank_text("idempotency_key").alias("idempotency_key"),
         _meta().alias("meta"),
     )
 
 
 def read_outbox_payloads(outbox: DataFrame) -> DataFrame:
     """Outbox rows with the fields of their payload; ``good`` is false where it does not decode."""
-    opened = outbox.select("*", parsed("payload").alias("_doc"), F.from_json("payload", S.OUTBOX_PAYLOAD).alias("_body"))
-    document, body = F.col("_doc"), F.col("_body")
-    task_id = canonical_uuid(body["task_id"])
-    good = fits_request(document) & _kind(document, "task_id").isin("STRING") & task_id.isNotNull()
+    texts = ("task_id", *TEXT_FIELDS)
+    opened, doc = open_documents(outbox, "payload", texts)
+    task_id = canonical_uuid(doc.text("task_id"))
     kept = [c for c in outbox.columns if c not in ("payload", "task_id")]
-    texts = [null_to_blank(body[f]).alias(f) for f in TEXT_FIELDS]
-    numbers = [F.coalesce(body[f], F.lit(0)).alias(f) for f in WHOLE_NUMBER_FIELDS]
-    payload = blank_payload_values(body["payload"]).alias("payload")
-    raw = [F.col("payload").alias("raw_payload"), F.col("task_id").alias("raw_task_id")]
-    return opened.select(*kept, *raw, good.alias("good"), task_id.alias("task_id"), *texts, *numbers, payload)
+    return opened.select(
+        *kept,
+        F.col("payload").alias("raw_payload"),
+        F.col("task_id").alias("raw_task_id"),
+        (doc.fits(texts) & task_id.isNotNull()).alias("good"),
+        task_id.alias("task_id"),
+        *[doc.blank_text(f).alias(f) for f in TEXT_FIELDS],
+        *[doc.number(f).alias(f) for f in NUMBER_FIELDS],
+        doc.payload().alias("payload"),
+    )
 
 
 def _quarantined(decoded: DataFrame) -> DataFrame:
@@ -137,18 +137,15 @@ def parse_task_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_history_messages(messages: DataFrame) -> DataFrame:
     """Every event decoded. A time that does not parse is replaced by the record's own time, not by
     the clock, so a replay gives the same rows."""
-    text = F.col("value").cast("string")
-    opened = messages.select("*", parsed(text).alias("_doc"), F.from_json(text, S.HISTORY_MESSAGE).alias("_body"))
-    document, body = F.col("_doc"), F.col("_body")
-    fits = is_object(document)
-    for field in S.HISTORY_MESSAGE.names:
-        fits = fits & _kind(document, field).isin("STRING", "VOID")
-    task_id = canonical_uuid(body["task_id"])
-    status = null_to_blank(body["status"])
-    at = F.coalesce(parse_rfc3339(body["at"]), F.col("timestamp").cast("timestamp"))
+    texts = tuple(S.HISTORY_MESSAGE.names)
+    opened, doc = open_documents(messages, "value", texts, (), payload=False)
+    task_id = canonical_uuid(doc.text("task_id"))
+    status = doc.blank_text("status")
+    at = F.coalesce(parse_rfc3339(doc.text("at")), F.col("timestamp").cast("timestamp"))
+    whole = doc.fits(texts, payload=False)
     return opened.select(
         *messages.columns,
-        F.when(~fits, "bad_json").when(task_id.isNull(), "bad_task_id").alias("reject_reason"),
+        F.when(~whole, "bad_json").when(task_id.isNull(), "bad_task_id").alias("reject_reason"),
         surrogate_id(task_id, status, at).alias("id"),
         task_id.alias("task_id"),
         status.alias("status"),

@@ -5,23 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide import schemas as S
-from jobtide.functions.jsontext import WHOLE_NUMBER_FIELDS, blank_payload_values, fits_request, is_object, parsed
-from jobtide.functions.scalars import null_to_blank
+from jobtide.functions.jsontext import NUMBER_FIELDS, is_object, open_documents
 
 
 def _request_columns(df: DataFrame, text: str, strict: bool) -> DataFrame:
     """Request fields beside the input columns, ``json_ok`` false where the text does not decode."""
-    opened = df.select("*", parsed(text).alias("_doc"), F.from_json(text, S.REQUEST).alias("_body"))
-    document, body = F.col("_doc"), F.col("_body")
+    opened, doc = open_documents(df, text)
     return opened.select(
         *df.columns,
-        (fits_request(document) if strict else is_object(document)).alias("json_ok"),
-        null_to_blank(body["name"]).alias("name"),
-        null_to_blank(body["type"]).alias("type"),
-        blank_payload_values(body["payload"]).alias("payload"),
-        *[F.coalesce(body[f], F.lit(0)).alias(f) for f in WHOLE_NUMBER_FIELDS],
-        null_to_blank(body["idempotency_key"]).alias("idempotency_key"),
+        (doc.fits() if strict else is_object(text)).alias("json_ok"),
+        doc.blank_text("name").alias("name"),
+        doc.blank_text("type").alias("type"),
+        doc.payload().alias("payload"),
+        *[doc.number(f).alias(f) for f in NUMBER_FIELDS],
+        doc.blank_text("idempotency_key").alias("idempotency_key"),
     )
 
 
@@ -36,7 +33,7 @@ def parse_request_batches(df: DataFrame, batch_id: str, text: str = "value", str
     decode, makes ``json_ok`` false for that row (and the batch is refused as a whole later on).
     """
     elements = F.from_json(text, "array<string>")
-    is_array = F.coalesce(F.schema_of_variant(parsed(text)).startswith("ARRAY"), F.lit(False))
+    is_array = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("ARRAY"), F.lit(False))
     others = [c for c in df.columns if c not in (text, batch_id)]
     rows = df.select(
         batch_id,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide import schemas as S
-from jobtide.functions.jsontext import decode_payload, encode_payload, is_object, parsed
+from jobtide.functions.jsontext import decode_payload, encode_payload, is_object
 from jobtide.functions.scalars import blank_to_null, event_month, instant, surrogate_id
 
 
@@ -16,7 +16,7 @@ def decoded(df: DataFrame, strict: bool = True) -> DataFrame:
     """``payload`` from JSON text to a string map. Text that is no JSON object is an error unless lenient."""
     value = decode_payload("payload")
     if strict:
-        broken = F.col("payload").isNotNull() & ~is_object(parsed("payload"))
+        broken = F.col("payload").isNotNull() & ~is_object("payload")
         problem = F.concat(F.lit("payload is not a JSON object, id "), F.col("id").cast("string"))
         value = F.when(broken, F.raise_error(problem).cast(S.PAYLOAD)).otherwise(value)
     return df.withColumn("payload", value)

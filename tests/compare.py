@@ -56,8 +56,8 @@ def difference(df, con, sql) -> str | None:
         return f"columns {got_columns} != {want_columns}"
     if got == want:
         return None
-    extra = [r for r in got if r not in set(want)][:3] if len(got) < 200_000 else []
-    missing = [r for r in want if r not in set(got)][:3] if len(want) < 200_000 else []
+    extra = sorted(set(got) - set(want), key=repr)[:3]
+    missing = sorted(set(want) - set(got), key=repr)[:3]
     return f"rows {len(got)} / {len(want)}; only here {extra}; only there {missing}"
 
 
