@@ -118,20 +118,28 @@ def first_by_key(req: DataFrame, key: str, order: list[str], id: str = "id") ->
 
 
 def resolve_idempotency(
-    req: DataFrame, tasks: DataFrame | None, order: list[str], id: str = "id", key: str = "idempotency_key"
+    req: DataFrame,
+    tasks: DataFrame | None,
+    order: list[str],
+    id: str = "id",
+    key: str = "idempotency_key",
+    prune_stored: bool = False,
 ) -> DataFrame:
     """Adds ``task_id`` (the row that owns the key) and ``outcome`` (``CREATED`` or ``EXISTING``).
 
     A key known to ``tasks`` keeps its stored row; otherwise the first request with the key owns it.
-    Rows without a key own themselves.
+    Rows without a key own themselves. With ``prune_stored``, for a few requests against many stored
+    keys, the requested keys are counted first and broadcast if they are few, so that the stored side is
+    filtered where it lies and not shuffled.
     """
     id_type = req.schema[id].dataType
     owners = first_by_key(req, key, order, id)
     if tasks is not None:
         stored = tasks.where(F.col(key).isNotNull()).select(key, F.col("id").cast(id_type).alias("stored_id"))
-        # Semi-join first: it may broadcast the requested keys and leaves only hits of the big table.
-        hits = stored.join(owners.select(key), key, "left_semi")
-        owners = owners.join(hits, key, "left")
+        if prune_stored:
+            wanted, small = broadcast_if_small(owners.select(key))
+            stored = stored.join(wanted, key, "left_semi") if small else stored
+        owners = owners.join(stored, key, "left")
     else:
         owners = owners.withColumn("stored_id", F.lit(None).cast(id_type))
     found = lookup_by_key(req, owners.select(key, "first_id", "stored_id", "n"), key, spread_by=id)
@@ -169,12 +177,13 @@ def create_tasks(
     known_types: Iterable[str] | DataFrame = S.BUILTIN_TYPES,
     order: list[str] | None = None,
     ts_type: str = "timestamp",
+    prune_stored: bool = False,
 ) -> CreateResult:
     """Validate, complete, de-duplicate. ``req`` carries a unique ``id`` for each request, which becomes
     the task id; ``order`` says which of two requests with one key came first (default: by id)."""
     checked = validate_requests(req, known_types)
     ready = apply_request_defaults(checked.where(F.col("code") == S.OK), as_of, ts_type)
-    resolved = resolve_idempotency(ready, tasks, order or ["id"])
+    resolved = resolve_idempotency(ready, tasks, order or ["id"], prune_stored=prune_stored)
     refused = checked.where(F.col("code") != S.OK).select(
         "id", "code", "message", F.lit(None).cast(req.schema["id"].dataType).alias("task_id"), F.lit("REJECTED").alias("outcome")
     )

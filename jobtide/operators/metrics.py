@@ -193,8 +193,11 @@ def latency_percentiles(
         *[F.max(F.when(F.col("p") == float(p), F.col("_v"))).alias(percentile_label(p)) for p in percentiles]
     )
     result = stats.select("_g", *keys, "n").join(picked, "_g", "left")
+    labels = [percentile_label(p) for p in percentiles]
+    if not keys:  # no rows at all still give one row, of zeros
+        result = result.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("n", *labels)])
     cut = truncate_ms if whole_ms else F.col
-    return result.select(*keys, "n", *[cut(percentile_label(p)).alias(percentile_label(p)) for p in percentiles])
+    return result.select(*keys, "n", *[cut(c).alias(c) for c in labels])
 
 
 def bucket_counts(df: DataFrame, value: str, bounds: tuple[float, ...], by: list[str | Column]) -> DataFrame:

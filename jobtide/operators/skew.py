@@ -42,7 +42,9 @@ def lookup_by_key(
     served = F.col("_hot").isNotNull() | F.col(key).isNull()
     fan = F.lit(1) + F.pmod(F.xxhash64(spread_by), F.lit(_SPREAD)).cast("int")
     tagged = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(served, fan).otherwise(F.lit(0)))
-    cold = lookup.select(key, F.lit(0).alias("_salt"), *[F.col(c).alias(f"_c_{c}") for c in values])
+    # Always 0, but read from a column: a literal would be folded away and take _salt out of the join keys.
+    zero = F.least(F.col(weight), F.lit(0)).cast("int")
+    cold = lookup.select(key, zero.alias("_salt"), *[F.col(c).alias(f"_c_{c}") for c in values])
     joined = tagged.join(cold, [key, "_salt"], "left")
     found = [F.when(F.col("_hot"), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in values]
     return joined.select(*rows.columns, *found)

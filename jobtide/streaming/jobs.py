@@ -80,7 +80,8 @@ def ingest_batch(
     """One batch of requests into tasks, history and outbox. Keys taken by earlier batches only are
     looked up, so running a batch again finds what it found the first time."""
     spark = batch.sparkSession
-    made = ingest.create_tasks(batch, as_of, read_batches(spark, target.keys, before=batch_id), known_types, order)
+    taken = read_batches(spark, target.keys, before=batch_id)
+    made = ingest.create_tasks(batch, as_of, taken, known_types, order, prune_stored=True)
     tasks = made.tasks.persist()
     # Everything derives from the task rows and has ids that follow from them.
     at = F.col("created_at")
