@@ -602,7 +602,7 @@ add(
     "consumer_lag",
     "messages",
     f", commits AS (SELECT topic, \"partition\", max(\"offset\") + 1 AS committed FROM messages WHERE \"timestamp\" < {E}"
-    ' AND "partition" <> 7 GROUP BY 1, 2), ends AS (SELECT topic, "partition", max("offset") + 1 AS end_offset FROM messages GROUP BY 1, 2)'
+    ' AND topic <> \'tasks-dlq\' GROUP BY 1, 2), ends AS (SELECT topic, "partition", max("offset") + 1 AS end_offset FROM messages GROUP BY 1, 2)'
     ' SELECT e.topic, e."partition", end_offset, committed, end_offset - coalesce(committed, 0) AS lag,'
     f" end_offset - coalesce(committed, 0) > {S.LAG_ALERT_THRESHOLD} AS over_threshold"
     ' FROM ends e LEFT JOIN commits c ON c.topic = e.topic AND c."partition" = e."partition"',
@@ -715,7 +715,7 @@ add(
     "samples",
     "SELECT \"index\" AS task_id, seen_at AS created_at, kind AS status, seen_at + INTERVAL '1' MICROSECOND *"
     " CAST(round(latency_seconds * 1000000) AS BIGINT) AS finished_at, round(latency_seconds, 6) AS e2e_seconds"
-    " FROM samples WHERE \"index\" % 3 <> 0 AND latency_seconds <= 3600",
+    " FROM samples WHERE error = '' AND latency_seconds <= 3600",
 )
 add(
     "stream_reaper",

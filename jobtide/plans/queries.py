@@ -677,7 +677,7 @@ def consumer_lag(spark, sf):
     log = V.view(spark, sf, "messages")
     read = log.where(F.col("timestamp") < F.lit(E_AS_OF).cast(NTZ))
     commits = read.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("committed"))
-    return metrics.consumer_lag(log, commits.where("partition <> 7"))
+    return metrics.consumer_lag(log, commits.where("topic <> 'tasks-dlq'"))
 
 
 @query

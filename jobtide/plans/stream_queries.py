@@ -162,11 +162,11 @@ def stream_live_totals(spark, sf):
 
 @query
 def stream_end_to_end(spark, sf):
-    """Two streams matched by id: every event is created; two of three finish ``value`` seconds later."""
+    """Two streams matched by id: every event is created; all but errors finish ``value`` seconds later."""
     with Run(spark) as run:
         created = stream_view(spark, sf, "samples").select(F.col("index").alias("task_id"), F.col("seen_at").alias("created_at"))
         took = F.make_dt_interval(secs=F.col("latency_seconds").cast("decimal(18,6)"))
-        finished = stream_view(spark, sf, "samples").where("index % 3 <> 0").select(
+        finished = stream_view(spark, sf, "samples").where("error = ''").select(
             F.col("index").alias("task_id"), F.col("kind").alias("status"), (F.col("seen_at") + took).alias("finished_at")
         )
         out = run.append(jobs.end_to_end(created, finished, within="1 hour"))
