@@ -58,8 +58,7 @@ def event_month(ts: str | Column) -> Column:
 
 
 def hex_to_uuid(digits: Column) -> Column:
-    cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
-    return F.concat_ws("-", *[F.substring(digits, start, length) for start, length in cuts])
+    return F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 
 def surrogate_id(*natural_key: str | Column) -> Column:
