@@ -78,7 +78,7 @@ def claim(tasks: DataFrame, k: int, as_of: AsOf, workers: int = 1) -> Transition
     at = instant(tasks, "updated_at", as_of)
     moved = chosen.withColumns({"status": F.lit(S.RUNNING), "updated_at": at})
     return TransitionResult(
-        tasks_delta=moved.select("id", "status", "updated_at"),
+        tasks_delta=moved.select("id", *CHANGED),
         history_delta=history_rows(moved, S.RUNNING, at),
         dispatch_delta=moved,
     )

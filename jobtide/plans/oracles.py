@@ -757,3 +757,58 @@ add(
     f", {_STALE} SELECT CAST(id AS VARCHAR) AS id, CASE outcome WHEN 'requeued' THEN 'queued' ELSE 'dead_lettered' END AS status,"
     " CASE outcome WHEN 'requeued' THEN retry_count + 1 ELSE retry_count END AS retry_count, outcome FROM stale",
 )
+
+
+def _report_part(section: str, source: str, measures: list[tuple[str, str]]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{section}' AS section, '{name}' AS measure, round(CAST({expr} AS DOUBLE), 6) AS value FROM {source}"
+        for name, expr in measures
+    )
+
+
+def _ranked(name: str, source: str, value: str, where: str) -> str:
+    ranked = f"SELECT {value} AS v, row_number() OVER (ORDER BY {value}) AS rn, count(*) OVER () AS n FROM {source} WHERE {where}"
+    picks = ", ".join(
+        f"floor(max(CASE WHEN rn = greatest(ceil(n * {p} / 100), 1) THEN v END) * 1000 + 0.000001) / 1000 AS {label}"
+        for p, label in (("50.0", "p50"), ("95.0", "p95"), ("99.0", "p99"), ("CAST(99.9 AS DOUBLE)", "p999"))
+    )
+    return f"{name} AS (SELECT {picks} FROM ({ranked}))"
+
+
+_SHARES = [(p, p) for p in ("p50", "p95", "p99", "p999")]
+_DONE = "status IN ('succeeded', 'dead_lettered')"
+add(
+    "load_report",
+    "samples task_history",
+    ", fin AS (SELECT h.status, s.latency_seconds AS e2e, h.occurred_at FROM task_history h JOIN samples s ON s.\"index\" = h.id),"
+    f" {_ranked('cl', 'samples', 'latency_seconds', "error = ''")},"
+    f" {_ranked('fl', 'fin', 'e2e', _DONE)},"
+    f" ok AS (SELECT count(*) / ({seconds('min(seen_at)', 'max(seen_at)')}) AS r FROM samples WHERE error = ''),"
+    f" dn AS (SELECT count(*) / ({seconds('min(occurred_at)', 'max(occurred_at)')}) AS r FROM fin WHERE {_DONE}) "
+    + " UNION ALL ".join(
+        [
+            _report_part(
+                "create",
+                "samples",
+                [
+                    ("created", "count(*) FILTER (WHERE error = '')"),
+                    ("errors", "count(*) FILTER (WHERE error <> '')"),
+                    ("error_rate", "100.0 * count(*) FILTER (WHERE error <> '') / count(*)"),
+                ],
+            ),
+            _report_part("create_latency", "cl", _SHARES),
+            _report_part("create_rate", "ok", [("per_second", "r")]),
+            _report_part(
+                "finish",
+                "fin",
+                [
+                    ("completed", "count(*) FILTER (WHERE status = 'succeeded')"),
+                    ("failed", "count(*) FILTER (WHERE status IN ('failed', 'dead_lettered'))"),
+                    ("stuck", "count(*) FILTER (WHERE status IN ('queued', 'running'))"),
+                ],
+            ),
+            _report_part("finish_latency", "fl", _SHARES),
+            _report_part("finish_rate", "dn", [("per_second", "r")]),
+        ]
+    ),
+)

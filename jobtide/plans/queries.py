@@ -12,6 +12,7 @@ from jobtide.functions import headers as H
 from jobtide.functions.jsontext import encode_payload
 from jobtide.functions.scalars import canonical_uuid, check_task_id
 from jobtide.operators import dispatch, handlers, history, ingest, lookups, metrics, sets, transitions
+from jobtide.plans import report
 from jobtide.plans import tick as ticks
 from jobtide.plans import views as V
 from jobtide.sources import messages as M
@@ -701,3 +702,14 @@ def worker_batch_size(spark, sf):
     """Polls of one minute."""
     log = V.view(spark, sf, "messages").withColumn("batch_id", F.window("timestamp", "1 minute")["start"])
     return metrics.worker_batch_size(log).drop("value_sum")
+
+
+@query
+def load_report(spark, sf):
+    """Creation and completion over the event log: every event a call, its kind what became of it."""
+    samples = V.view(spark, sf, "samples").withColumn("created_at", F.col("seen_at"))
+    finished = V.view(spark, sf, "task_history").join(
+        V.view(spark, sf, "samples").select(F.col("index").alias("id"), F.col("latency_seconds").alias("e2e_seconds")), "id"
+    )
+    made = report.load_report(samples, finished.withColumn("finished_at", F.col("occurred_at")))
+    return made.withColumn("value", F.round("value", 6))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobtide import schemas as S
 from jobtide.operators.sets import append_deltas
 from jobtide.operators.transitions import AsOf, TransitionResult, apply_transitions, claim, reap
+from jobtide.sources.tables import decoded, encoded
+from jobtide.streaming.sinks import write_batch
 
 
 @dataclass(frozen=True)
@@ -20,11 +23,12 @@ class Tick:
 
 
 def lifecycle_tick(tasks: DataFrame, as_of: AsOf, k: int, workers: int = 1) -> Tick:
-    """Claim and reap read the same snapshot and touch different rows (queued and running ones)."""
+    """Claim and reap read the same snapshot and touch different rows (queued and running ones), so
+    their deltas go into the table with one join."""
     claimed, reaped = claim(tasks, k, as_of, workers), reap(tasks, as_of)
-    after = apply_transitions(apply_transitions(tasks, claimed.tasks_delta), reaped.tasks_delta.drop("outcome"))
+    delta = append_deltas(claimed.tasks_delta, reaped.tasks_delta.drop("outcome"))
     log = append_deltas(claimed.history_delta, reaped.history_delta)
-    return Tick(claimed, reaped, after, log)
+    return Tick(claimed, reaped, apply_transitions(tasks, delta), log)
 
 
 def tick_summary(tick: Tick) -> DataFrame:
@@ -32,3 +36,34 @@ def tick_summary(tick: Tick) -> DataFrame:
     claimed = tick.claimed.tasks_delta.select(F.lit("claimed").alias("outcome"))
     moved = claimed.unionByName(tick.reaped.tasks_delta.select("outcome"))
     return moved.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@dataclass(frozen=True)
+class Store:
+    """Folders of a task system on files: a snapshot of the tasks per version, the rest appended."""
+
+    root: str
+
+    def path(self, table: str) -> str:
+        return f"{self.root}/{table}"
+
+    def tasks(self, spark: SparkSession, version: int) -> DataFrame:
+        stored = spark.read.schema(S.stored_as_text(S.TASK)).parquet(f"{self.path('tasks')}/batch_id={version}")
+        return decoded(stored)
+
+
+def save_tasks(tasks: DataFrame, store: Store, version: int) -> None:
+    write_batch(encoded(tasks.select(*S.TASK_COLUMNS)), store.path("tasks"), version)
+
+
+def run_tick(spark: SparkSession, store: Store, version: int, as_of: AsOf, k: int, workers: int = 1) -> None:
+    """From version ``version - 1`` of the tasks to ``version``, with the history, dead letters and work
+    that belong to it. There is one writer. All parts follow from the old snapshot and ``as_of``, with ids
+    that do too, so a tick that failed half way is simply run again. The snapshot is written last: where
+    it is there, the tick is complete."""
+    tick = lifecycle_tick(store.tasks(spark, version - 1), as_of, k, workers)
+    write_batch(tick.history, store.path("history"), version)
+    write_batch(encoded(tick.reaped.dlq_delta), store.path("dlq"), version)
+    write_batch(encoded(tick.claimed.dispatch_delta), store.path("claimed"), version)
+    write_batch(tick.reaped.dispatch_delta, store.path("outbox"), version)
+    save_tasks(tick.tasks_after, store, version)

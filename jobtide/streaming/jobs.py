@@ -80,6 +80,7 @@ def ingest_batch(
     """One batch of requests into tasks, history and outbox. Keys taken by earlier batches only are
     looked up, so running a batch again finds what it found the first time."""
     spark = batch.sparkSession
+    batch.persist()
     taken = read_batches(spark, target.keys, before=batch_id)
     made = ingest.create_tasks(batch, as_of, taken, known_types, order, prune_stored=True)
     tasks = made.tasks.persist()
@@ -91,6 +92,7 @@ def ingest_batch(
     write_batch(made.outcomes, target.outcomes, batch_id)
     write_batch(tasks.where("idempotency_key IS NOT NULL").select("idempotency_key", "id"), target.keys, batch_id)
     tasks.unpersist()
+    batch.unpersist()
 
 
 def stream_requests(

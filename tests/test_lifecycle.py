@@ -15,7 +15,8 @@ from jobtide.functions import headers as HD
 from jobtide.functions import scalars as X
 from jobtide.operators import dispatch, handlers, ingest, lookups, metrics, sets, transitions
 from jobtide.operators import history as H
-from jobtide.plans.tick import lifecycle_tick
+from jobtide.plans.report import load_report
+from jobtide.plans.tick import Store, lifecycle_tick, run_tick, save_tasks
 from jobtide.sources import messages as M
 from jobtide.sources import metric_text, requests, tables
 
@@ -338,6 +339,22 @@ def test_tick_touches_each_task_once(spark, table):
     assert tick.history.count() == 14
 
 
+def test_ticks_on_files_can_be_run_again(spark, table, tmp_path):
+    store = Store(str(tmp_path))
+    save_tasks(table(*[task(n, "queued" if n % 2 else "running", retry_count=n % 5) for n in range(12)]), store, 0)
+    run_tick(spark, store, 1, AS_OF, k=2)
+    read = lambda name: sorted(map(str, spark.read.parquet(store.path(name)).collect()))
+    once = {name: read(name) for name in ("tasks", "history", "dlq", "claimed", "outbox")}
+    run_tick(spark, store, 1, AS_OF, k=2)
+    assert {name: read(name) for name in once} == once
+    run_tick(spark, store, 2, "2024-01-15 12:10:00", k=100)
+    log = spark.read.parquet(store.path("history"))
+    last = {r.task_id: r.status for r in H.current_state(log).collect()}
+    now = {r.id: r.status for r in store.tasks(spark, 2).collect()}
+    assert all(now[i] == s for i, s in last.items()) and len(now) == 12
+    assert spark.read.parquet(store.path("dlq")).count() == sum(s == "dead_lettered" for s in now.values())
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     st.lists(
@@ -530,3 +547,31 @@ def test_handlers_errors_unknown_types_and_deadlines(spark, table):
         uid(1): (True, None, True), uid(2): (False, "no a@example.com", True), uid(3): (False, "deadline exceeded", True), uid(4): (False, None, False),
     }
     assert ran.schema["id"].dataType == T.StringType()
+
+
+def test_dlq_and_outbox_tables_round_trip(spark, table, tmp_path):
+    failures = spark.createDataFrame([(uid(1), "test error")], "id string, error_message string")
+    dead, _ = transitions.dlq_snapshot(failures, table(task(1, name="dlq-test-task")), AS_OF)
+    tables.write_dlq(dead, str(tmp_path / "dlq"))
+    back = one(tables.read_dlq(spark, str(tmp_path / "dlq")))
+    assert (back.name, back.error_message, back.payload) == ("dlq-test-task", "test error", {"to": "a@example.com"})
+    made = table(task(7, name="weekly-report", type="run_query", payload={"sql": "SELECT 1", "db": "analytics"}, priority=7, timeout_seconds=120, idempotency_key="idem-key-42"))
+    tables.write_outbox(made, str(tmp_path / "outbox"), AS_OF)
+    row = one(tables.read_outbox(spark, str(tmp_path / "outbox")))
+    m = row.message
+    assert (m.task_id, m.name, m.payload, m.priority, m.max_retries, m.timeout_seconds, m.idempotency_key) == (
+        uid(7), "weekly-report", {"sql": "SELECT 1", "db": "analytics"}, 7, 3, 120, "idem-key-42")
+    assert row.published_at is None and "retry_count" not in json.loads(row.payload)
+
+
+def test_durations_are_cut_not_rounded(spark):
+    df = spark.createDataFrame([(0.29,), (1.9999,), (0.0,)], "s double")
+    assert [tuple(r) for r in df.select(X.truncate_ms("s"), X.truncate_seconds("s")).collect()] == [(0.29, 0), (1.999, 1), (0.0, 0)]
+
+
+def test_report_of_creation_only(spark):
+    rows = [(NOW + timedelta(seconds=i), "" if i % 5 else "refused", i / 10) for i in range(21)]
+    got = {(r.section, r.measure): r.value for r in load_report(spark.createDataFrame(rows, "created_at timestamp, error string, latency_seconds double")).collect()}
+    assert got[("create", "created")] == 16 and got[("create", "errors")] == 5
+    assert got[("create_latency", "p50")] == 0.9 and got[("create_latency", "p999")] == 1.9
+    assert got[("create_rate", "per_second")] == 16 / 18 and not any(s.startswith("finish") for s, _ in got)
