@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -182,12 +182,19 @@ def create_tasks(
     """Validate, complete, de-duplicate. ``req`` carries a unique ``id`` for each request, which becomes
     the task id; ``order`` says which of two requests with one key came first (default: by id)."""
     checked = validate_requests(req, known_types)
-    ready = apply_request_defaults(checked.where(F.col("code") == S.OK), as_of, ts_type)
-    resolved = resolve_idempotency(ready, tasks, order or ["id"], prune_stored=prune_stored)
     refused = checked.where(F.col("code") != S.OK).select(
         "id", "code", "message", F.lit(None).cast(req.schema["id"].dataType).alias("task_id"), F.lit("REJECTED").alias("outcome")
     )
-    outcomes = resolved.select("id", "code", "message", "task_id", "outcome").unionByName(refused)
+    made = _create_valid(checked.where(F.col("code") == S.OK), as_of, tasks, order or ["id"], ts_type, prune_stored)
+    return replace(made, outcomes=made.outcomes.unionByName(refused))
+
+
+def _create_valid(
+    valid: DataFrame, as_of: str | datetime | Column, tasks: DataFrame | None, order: list[str], ts_type: str, prune_stored: bool = False
+) -> CreateResult:
+    ready = apply_request_defaults(valid, as_of, ts_type)
+    resolved = resolve_idempotency(ready, tasks, order, prune_stored=prune_stored)
+    outcomes = resolved.select("id", "code", "message", "task_id", "outcome")
     new = resolved.where(F.col("outcome") == "CREATED").select(*S.TASK_COLUMNS)
     at = instant(new, "created_at", as_of)
     return CreateResult(outcomes, new, history_rows(new, S.QUEUED, at), outbox_rows(new, as_of))
@@ -224,5 +231,7 @@ def create_task_batches(
         )
     verdict = batches.select("batch_id", F.col("code").alias("batch_code"), F.col("size").alias("n"))
     tagged = lookup_by_key(req.where(F.col("idx").isNotNull()), verdict, "batch_id", spread_by="id")
-    accepted = tagged.where(F.col("batch_code") == S.OK).drop("batch_code")
-    return batches, create_tasks(accepted, as_of, tasks, known_types, ["batch_id", "idx"], ts_type)
+    # Every row of a batch that passed is valid; there is nothing to check again.
+    accepted = tagged.where(F.col("batch_code") == S.OK).withColumnRenamed("batch_code", "code")
+    accepted = accepted.withColumn("message", F.lit(None).cast("string"))
+    return batches, _create_valid(accepted, as_of, tasks, ["batch_id", "idx"], ts_type)

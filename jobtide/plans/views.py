@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobtide.functions.jsontext import decode_payload
 from jobtide.sources.tables import decoded
 
 TASKS_AS_OF = "1998-06-01 00:00:00"
@@ -155,7 +156,10 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decoded(view(spark, sf_dir, "task_requests"), strict=False)
+    """Parsed behind a one-element ``inline``, as the request reader does: once per row, not per use."""
+    rows = view(spark, sf_dir, "task_requests").withColumnRenamed("payload", "_text")
+    opened = rows.select("*", F.inline(F.array(F.struct(decode_payload("_text").alias("payload")))))
+    return opened.drop("_text")
 
 
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
