@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator, Mapping
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from jobtide.operators.skew import settled
+
 Handler = Callable[[dict[str, str], "Deadline"], None]
 
 RESULT = "id {id_type}, type string, ok boolean, error string, known_type boolean, duration_seconds double"
@@ -58,3 +60,9 @@ def execute(tasks: DataFrame, registry: Mapping[str, Handler], partitions: int |
             yield pd.DataFrame(out, columns=["id", "type", "ok", "error", "known_type", "duration_seconds"])
 
     return rows.mapInPandas(run, RESULT.format(id_type=rows.schema["id"].dataType.simpleString()))
+
+
+def execute_once(tasks: DataFrame, registry: Mapping[str, Handler], partitions: int | None = None) -> DataFrame:
+    """``execute`` with its results kept in the checkpoint folder. The deltas made from the results are
+    written one by one; without this each write would run the handlers again."""
+    return settled(execute(tasks, registry, partitions))

@@ -12,7 +12,7 @@ from jobtide import schemas as S
 from jobtide.functions.scalars import col, is_terminal, micros, route_pattern, severity, truncate_ms
 from jobtide.operators.dispatch import outbox_pending
 from jobtide.operators.history import transitions
-from jobtide.operators.skew import broadcast_if_small, lookup_by_key
+from jobtide.operators.skew import broadcast_if_small, lookup_by_key, settled
 
 
 
@@ -156,6 +156,9 @@ def latency_percentiles(
         *[F.first(k).alias(k) for k in keys],
     )
     stats, small = broadcast_if_small(stats)
+    if not small:
+        # Cuts may come out differently each time they are computed, and they are used more than once.
+        stats = settled(stats)
     narrow = rows.select("_g", "_v")
     cuts = stats.select("_g", "cuts", "n")
     if small:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[D
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), True
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the checkpoint folder, for rows that must not come out differently
+    when they are used twice or when an executor is lost. The folder is the one the cluster names in
+    ``spark.checkpoint.dir``; only where there is none, as in a local test, a temporary one is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="jobtide-"))
+    return df.checkpoint()
+
+
 def lookup_by_key(
     rows: DataFrame,
     lookup: DataFrame,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobtide import schemas as S
 from jobtide.operators.sets import append_deltas
-from jobtide.operators.transitions import AsOf, TransitionResult, apply_transitions, claim, reap
+from jobtide.operators.transitions import AsOf, TransitionResult, apply_transitions, claim, reap, route_outcomes
 from jobtide.sources.tables import decoded, encoded
 from jobtide.streaming.sinks import write_batch
 
@@ -67,3 +67,13 @@ def run_tick(spark: SparkSession, store: Store, version: int, as_of: AsOf, k: in
     write_batch(encoded(tick.claimed.dispatch_delta), store.path("claimed"), version)
     write_batch(tick.reaped.dispatch_delta, store.path("outbox"), version)
     save_tasks(tick.tasks_after, store, version)
+
+
+def run_results(spark: SparkSession, store: Store, version: int, results: DataFrame, as_of: AsOf) -> None:
+    """The same for run results ``(id, ok, error, known_type)``: success, retry, dead letter or failure."""
+    tasks = store.tasks(spark, version - 1)
+    moved = route_outcomes(tasks, results, as_of)
+    write_batch(moved.history_delta, store.path("history"), version)
+    write_batch(encoded(moved.dlq_delta), store.path("dlq"), version)
+    write_batch(moved.dispatch_delta, store.path("outbox"), version)
+    save_tasks(apply_transitions(tasks, moved.tasks_delta.drop("outcome")), store, version)

@@ -16,7 +16,7 @@ from jobtide.functions import scalars as X
 from jobtide.operators import dispatch, handlers, ingest, lookups, metrics, sets, transitions
 from jobtide.operators import history as H
 from jobtide.plans.report import load_report
-from jobtide.plans.tick import Store, lifecycle_tick, run_tick, save_tasks
+from jobtide.plans.tick import Store, lifecycle_tick, run_results, run_tick, save_tasks
 from jobtide.sources import messages as M
 from jobtide.sources import metric_text, requests, tables
 
@@ -355,6 +355,29 @@ def test_ticks_on_files_can_be_run_again(spark, table, tmp_path):
     assert spark.read.parquet(store.path("dlq")).count() == sum(s == "dead_lettered" for s in now.values())
 
 
+def test_claim_run_and_route_on_files_runs_each_handler_once(spark, table, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def work(payload, deadline):
+        (calls / f"{payload['n']}-{len(list(calls.iterdir()))}").touch()
+        if int(payload["n"]) % 2:
+            raise ValueError("odd")
+
+    store = Store(str(tmp_path / "db"))
+    save_tasks(table(*[task(n, payload={"n": str(n)}, retry_count=3 if n == 1 else 0) for n in range(6)]), store, 0)
+    run_tick(spark, store, 1, AS_OF, k=4)
+    claimed = tables.decoded(spark.read.parquet(store.path("claimed") + "/batch_id=1"))
+    results = handlers.execute_once(claimed, {"noop": work})
+    run_results(spark, store, 2, results, "2024-01-15 12:01:00")
+    assert len(list(calls.iterdir())) == 4
+    now = {int(r.id[-2:]): (r.status, r.retry_count) for r in store.tasks(spark, 2).collect()}
+    assert now == {0: ("succeeded", 0), 1: ("dead_lettered", 3), 2: ("succeeded", 0), 3: ("queued", 1), 4: ("queued", 0), 5: ("queued", 0)}
+    assert one(spark.read.parquet(store.path("dlq"))).error_message == "odd"
+    log = spark.read.parquet(store.path("history"))
+    assert {int(r.task_id[-2:]): r.status for r in H.current_state(log).collect()} == {0: "succeeded", 1: "dead_lettered", 2: "succeeded", 3: "queued"}
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     st.lists(
