@@ -159,16 +159,25 @@ def latency_percentiles(
     if not small:
         # Cuts may come out differently each time they are computed, and they are used more than once.
         stats = settled(stats)
+    # Without groups there is one row of them, which goes into the plan as literals and needs no join.
+    whole = stats.head() if not keys else None
+
+    def beside(df: DataFrame, column: str) -> DataFrame:
+        if keys:
+            return df.join(stats.select("_g", column), "_g")
+        if column == "n":
+            return df.withColumn("n", F.lit(whole["n"] if whole else 0).cast("bigint"))
+        return df.withColumn("cuts", F.array(*[F.lit(c).cast("double") for c in (whole["cuts"] if whole else [None] * len(probes))]))
+
     narrow = rows.select("_g", "_v")
-    cuts = stats.select("_g", "cuts", "n")
     if small:
-        placed = narrow.join(cuts, "_g")
+        placed = beside(narrow, "cuts")
     else:
-        placed = lookup_by_key(narrow, cuts, "_g", spread_by="_v")
+        placed = lookup_by_key(narrow, stats.select("_g", "cuts", "n"), "_g", spread_by="_v")
     above = [(F.col("_v") > F.col("cuts")[i]).cast("int") for i in range(len(probes))]
     placed = placed.select("_g", "_v", reduce(lambda a, b: a + b, above).alias("cut"))
 
-    per_cut = placed.groupBy("_g", "cut").agg(F.count("*").alias("rows")).join(stats.select("_g", "n"), "_g")
+    per_cut = beside(placed.groupBy("_g", "cut").agg(F.count("*").alias("rows")), "n")
     upto = Window.partitionBy("_g").orderBy("cut").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranks = F.explode(
         F.array(
@@ -184,8 +193,13 @@ def latency_percentiles(
         .where((F.col("want.rank") <= F.col("seen")) & (F.col("want.rank") > F.col("seen") - F.col("rows")))
         .select("_g", "cut", "want.p", (F.col("want.rank") - F.col("seen") + F.col("rows")).alias("nth"))
     )
-    wanted = targets.select("_g", "cut").distinct()
-    inside = placed.join(F.broadcast(wanted) if small else wanted, ["_g", "cut"], "left_semi")
+    if small:
+        inside = placed.join(F.broadcast(targets.select("_g", "cut").distinct()), ["_g", "cut"], "left_semi")
+    else:
+        # At most one cut per percentile and group. Looked up by group, so that the wide cuts of a busy
+        # group, which are not wanted, do not travel to one place just to be dropped there.
+        wanted = beside(targets.groupBy("_g").agg(F.collect_set("cut").alias("wanted")), "n")
+        inside = lookup_by_key(placed, wanted, "_g", spread_by="_v").where(F.array_contains("wanted", F.col("cut")))
     values = inside.groupBy("_g", "cut", "_v").agg(F.count("*").alias("rows"))
     upto = Window.partitionBy("_g", "cut").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     values = values.withColumn("seen", F.sum("rows").over(upto))
@@ -195,10 +209,11 @@ def latency_percentiles(
     picked = hits.groupBy("_g").agg(
         *[F.max(F.when(F.col("p") == float(p), F.col("_v"))).alias(percentile_label(p)) for p in percentiles]
     )
-    result = stats.select("_g", *keys, "n").join(picked, "_g", "left")
     labels = [percentile_label(p) for p in percentiles]
-    if not keys:  # no rows at all still give one row, of zeros
-        result = result.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("n", *labels)])
+    if keys:
+        result = stats.select("_g", *keys, "n").join(picked, "_g", "left")
+    else:  # no rows at all still give one row, of zeros
+        result = beside(picked, "n").agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("n", *labels)])
     cut = truncate_ms if whole_ms else F.col
     return result.select(*keys, "n", *[cut(c).alias(c) for c in labels])
 

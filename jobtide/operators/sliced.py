@@ -16,7 +16,9 @@ from pyspark.sql.window import Window
 
 from jobtide.functions.scalars import micros
 
-SLICE_SECONDS = 3600
+# Short enough that a key with a third of a very large log still gives slices one task can sort; long
+# enough that a common task, done within minutes, has one slice or two.
+SLICE_SECONDS = 600
 _SLICE = "_slice"
 _CARRY = "_carry"
 
