@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from jobtide import schemas as S
+from jobtide.schemas import DEAD_LETTERED, REAPED_MESSAGE, RUNNING
 from jobtide.functions.scalars import backoff_seconds, micros
 from jobtide.streaming.sinks import use_rocksdb
 
@@ -36,7 +36,7 @@ class StuckRuns(StatefulProcessor):
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
             self.run.update(newest)
-            if newest[0] == S.RUNNING:
+            if newest[0] == RUNNING:
                 # One past the deadline, as a task is stuck only after it.
                 self.handle.registerTimer(_deadline_us(newest) // 1000 + 1)
         return iter(())
@@ -47,7 +47,7 @@ class StuckRuns(StatefulProcessor):
         if retries < limit:
             outcome, retries, error = "requeued", retries + 1, None
         else:
-            outcome, error = S.DEAD_LETTERED, S.REAPED_MESSAGE
+            outcome, error = DEAD_LETTERED, REAPED_MESSAGE
         yield Row(task_id=key[0], outcome=outcome, retry_count=retries, error_message=error, due_us=_deadline_us(run))
 
     def close(self) -> None:
