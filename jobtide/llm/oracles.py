@@ -1,0 +1,3 @@
+"""SQL counterparts of this subpackage's queries, where SQL can express them."""
+
+ORACLES: dict[str, str] = {}
