@@ -18,8 +18,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 def words(text: Column) -> Column:
     """Array of the words of a text; empty for a null or blank text."""
-    parts = F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")), " ")
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
 def worker_cache(name: str, make: Callable[[], object]) -> object:
