@@ -57,29 +57,32 @@ class Transducer:
 
     def encode(self, pieces: Iterable[bytes]) -> Iterator[int]:
         """Token ids of one piece that arrives in parts of any size."""
-        look, tokens, fits = self.lookahead, self.tokens, self.fits
+        look, tokens, fits = self.lookahead, self.tokens.get, self.fits
         tail = b""  # the last ``look`` bytes
-        # One node per prefix end: (token, node before it, depth). The empty prefix has depth 0.
+        # One node per prefix end, the last ``look + 1`` of them: (token, node before it, depth).
         nodes = [(-1, None, 0)]
         emitted, steps = 0, 0
         for part in pieces:
-            for byte in part:
-                tail = (tail + bytes([byte]))[-look:]
-                here = len(nodes)
-                for size in range(1, min(len(tail), here) + 1):
-                    token = tokens.get(tail[-size:])
-                    if token is None:
-                        continue
-                    node = nodes[here - size]
-                    if node is not None and (node[0] < 0 or fits[node[0], token]):
-                        nodes.append((token, node, node[2] + 1))
-                        break
-                else:
-                    raise ValueError("the vocabulary cannot spell this piece")
-                if len(nodes) > look:
-                    del nodes[0]
-                steps += 1
-                if steps % (2 * look) == 0:
+            for begin in range(0, len(part), look):
+                known = len(tail)
+                tail += part[begin : begin + look]
+                for end in range(known + 1, len(tail) + 1):
+                    here = len(nodes)
+                    # The longest token is most often the right one; which is tried first changes nothing else.
+                    for size in range(min(end, here, look), 0, -1):
+                        token = tokens(tail[end - size : end])
+                        if token is not None:
+                            node = nodes[here - size]
+                            if node[0] < 0 or fits[node[0], token]:
+                                nodes.append((token, node, node[2] + 1))
+                                break
+                    else:
+                        raise ValueError("the vocabulary cannot spell this piece")
+                steps += len(tail) - known
+                tail = tail[-look:]
+                del nodes[: -look - 1]
+                if steps > 2 * look:
+                    steps = 0
                     shared = _shared(nodes)
                     yield from _tokens(shared, emitted)
                     emitted = shared[2]
@@ -146,36 +149,35 @@ class Decoder:
 
 
 class Codec:
-    """Encodes and decodes whole texts in blocks. Results of pieces and chunks are kept in bounded caches."""
+    """Encodes whole texts in blocks. What pieces and chunks give is kept in bounded caches, as runs: number
+    of ids, their decimal text with a comma after each, their bytes, and the ids."""
 
     def __init__(self, path: str):
         self.vocabulary = v = Vocabulary(path)
         transducer = Transducer(v)
-        self.piece = Memo(lambda p: tuple(transducer.encode([p.encode()])))
-        self.plain = Memo(lambda s: tuple(i for p in v.cut(s) for i in self.piece[p]), 100_000)
-        self.after_space = Memo(lambda s: self.plain[" " + s])
+        self.piece = Memo(lambda p: tuple(transducer.encode([p.encode()])), 800_000)
+        self.after_space = Memo(lambda s: self.run(" " + s), 800_000)
+
+    def run(self, block: str) -> tuple[int, bytes, bytes]:
+        ids = tuple(i for p in self.vocabulary.cut(block) for i in self.piece[p])
+        return self.made(ids)
 
-    def encode(self, text: str) -> Iterator[tuple[int, ...]]:
-        """Runs of ids of a text, block by block."""
+    def made(self, ids: tuple[int, ...]) -> tuple[int, bytes, bytes]:
+        return len(ids), ("%d," * len(ids) % ids).encode(), b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
+
+    def encode(self, text: str) -> Iterator[list[tuple[int, bytes, bytes]]]:
+        """Runs of a text, a list for each block."""
         v = self.vocabulary
         for special, segment in v.segments(text):
             if special:
-                yield (v.special[segment],)
+                yield [self.made((v.special[segment],))]
                 continue
             for block in v.blocks(segment):
                 chunks = v.chunks(block)
                 if chunks is None:
-                    yield from map(self.piece.__getitem__, v.cut(block))
+                    yield [self.run(block)]
                 else:
-                    yield self.plain[chunks[0]]
-                    yield from map(self.after_space.__getitem__, chunks[1])
-
-
-class RunText(Memo):
-    """Decimal ids of a run, a comma after each, and the run's bytes."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__(lambda run: (len(run), ("%d," * len(run) % run).encode(), b"".join(map(vocabulary.bytes_of.__getitem__, run))))
+                    yield [self.run(chunks[0]), *map(self.after_space.__getitem__, chunks[1])]
 
 
 def encode_ids(df: DataFrame, vocabulary_path: str, text_col: str = "text") -> DataFrame:
@@ -186,7 +188,7 @@ def encode_ids(df: DataFrame, vocabulary_path: str, text_col: str = "text") -> D
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = worker_cache(f"codec {vocabulary_path}", lambda: Codec(vocabulary_path))
-        ids = [[i for run in codec.encode(t) for i in run] for t in batch.column(1).to_pylist()]
+        ids = [[int(i) for runs in codec.encode(t) for run in runs for i in run[1].split(b",")[:-1]] for t in batch.column(1).to_pylist()]
         return pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["row", "ids"])
 
     return map_batches(packed, work, f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>").select("row.*", "ids")
@@ -218,31 +220,19 @@ def encode_decode_digests(df: DataFrame, vocabulary_path: str, id_col: str = "do
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = worker_cache(f"codec {vocabulary_path}", lambda: Codec(vocabulary_path))
-        known = worker_cache(f"runs {vocabulary_path}", lambda: RunText(codec.vocabulary))
         counts, id_digests, text_digests = [], [], []
         for text in batch.column(1).to_pylist():
             n, digest, decoded = 0, hashlib.sha256(), hashlib.sha256()
             state = codecs.getincrementaldecoder("utf-8")("replace")
             comma = b""
-            runs: list = []
-
-            def flush():
-                nonlocal n, comma
+            for runs in codec.encode(text):
                 sizes, listed, raw = zip(*runs, strict=True)
-                ids = b"".join(listed)
-                if ids:
+                listed = b"".join(listed)
+                if listed:
                     n += sum(sizes)
-                    digest.update(comma + ids[:-1])
+                    digest.update(comma + listed[:-1])
                     comma = b","
                     decoded.update(state.decode(b"".join(raw)).encode())
-                runs.clear()
-
-            for run in map(known.__getitem__, codec.encode(text)):
-                runs.append(run)
-                if len(runs) >= 20_000:
-                    flush()
-            if runs:
-                flush()
             decoded.update(state.decode(b"", True).encode())
             counts.append(n)
             id_digests.append(digest.hexdigest())

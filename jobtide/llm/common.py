@@ -31,15 +31,19 @@ def worker_cache(name: str, make: Callable[[], object]) -> object:
 
 
 class Memo(dict):
-    """A cache of ``find(key)`` that starts afresh when it holds ``limit`` keys, so its memory is bounded."""
+    """A cache of ``find(key)`` with at most ``limit`` keys: when half of them are new, those not asked for since
+    the last time go."""
 
-    def __init__(self, find: Callable, limit: int = 300_000):
+    def __init__(self, find: Callable, limit: int = 600_000):
         super().__init__()
-        self.find, self.limit = find, limit
+        self.find, self.limit, self.older = find, limit // 2, {}
 
     def __missing__(self, key):
-        value = self.find(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.find(key)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
         self[key] = value
         return value

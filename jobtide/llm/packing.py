@@ -26,7 +26,7 @@ class WordIds:
     """Ids of whole texts by the tokenizers library, chunk by chunk: the vocabulary drops white space, so
     a text's ids are those of its parts between spaces, which recur. Kept as little-endian 32-bit runs."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
