@@ -19,6 +19,8 @@ END_ID = 1
 #: Ranks inside one size class are counted in this many slices, or one for each ``SLICE_ROWS`` rows if more.
 SLICES, SLICE_ROWS = 64, 1_000_000
 
+#: Marks that are neither part of a contraction nor of a special token.
+_PUNCTUATION = ".,!?;:*%$&#()"
 _PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -32,13 +34,23 @@ class WordIds:
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
         steps = (told["normalizer"] or {}).get("normalizers", [])
-        self.by_chunk = any(s.get("type") == "Replace" and s["content"] == " " for s in steps) and any(
+        self.by_chunk = any(s.get("type") == "Lowercase" for s in steps) and any(s.get("type") == "Replace" and s["content"] == " " for s in steps) and any(
             s.get("behavior") == "Removed" and "\\s" in s["pattern"]["Regex"] for s in told["pre_tokenizer"].get("pretokenizers", [])
         )
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known = Memo(self._encode, limit)
+        self.known = Memo(self._chunk, limit)
+
+    def _chunk(self, chunk: str) -> bytes:
+        """A chunk the cache has not seen. Cuts at punctuation behind a letter or digit are cuts of the vocabulary too, and
+        its letters are lower case, so rare chunks are put together from commoner ones."""
+        word = chunk.rstrip(_PUNCTUATION)
+        if word != chunk and word and word[-1].isalnum() and len(word[-1].lower()) == 1:
+            return self.known[word] + self.known[chunk[len(word) :]]
+        if chunk.isascii() and (lower := chunk.lower()) != chunk:
+            return self.known[lower]
+        return self._encode(chunk)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
