@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,32 +155,30 @@ def candidates(df: DataFrame, text_col: str, sizes: DataFrame, words: int, perce
     return sizes.join(shared, "k").where(F.col("shared") >= least).select("k", "n")
 
 
-def _filter_bytes(keys: DataFrame) -> bytes:
-    """A bitmap over hashed keys, of a fixed size at most, built by Spark's own bitmap aggregate."""
-    bit = F.pmod(F.xxhash64("k"), F.lit(FILTER_BITS)) + 1
+def _filter_of(keys: DataFrame) -> bytes:
+    """A bitmap of the keys' low bits, compressed; of a fixed size at most, built by Spark's own bitmap aggregate."""
+    bit = F.pmod("k", F.lit(FILTER_BITS)) + 1
     parts = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
     out = bytearray(FILTER_BITS // 8)
     for r in parts:
         out[(r["at"] - 1) * 4096 : r["at"] * 4096] = r["bits"]
-    return bytes(out)
+    return zlib.compress(bytes(out), 1)
 
 
-def token_sets(df: DataFrame, text_col: str, keys: DataFrame, words: int) -> DataFrame:
-    """``k``, ``n``, ``tokens`` (sorted 64-bit shingles) of the sets with the given keys, one row each."""
-    import zlib
-
-    packed = df.sparkSession.sparkContext.broadcast(zlib.compress(_filter_bits(keys).tobytes(), 1))
+def token_sets(df: DataFrame, text_col: str, keys: DataFrame, words: int = WORDS) -> DataFrame:
+    """``k``, ``n``, ``tokens`` (sorted 64-bit shingles) of the sets with the given keys, one row each. Texts are read again; a
+    filter of bounded size keeps most of the others from being moved, a join removes the rest."""
+    packed = df.sparkSession.sparkContext.broadcast(_filter_of(keys))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(zlib.decompress(packed.value), np.uint8)
-        known = _word_hashes()
+        bits, known = np.frombuffer(zlib.decompress(packed.value), np.uint8), _word_hashes()
         for batch in batches:
             found = {}
             for text in batch.column(0).to_pylist():
                 s = shingle_set(text, known, words)
                 if len(s):
                     k = _key(s)
-                    bit = _filter_place(k)
+                    bit = k & (FILTER_BITS - 1)
                     if bits[bit >> 3] >> (bit & 7) & 1:
                         found[k] = s
             if found:
@@ -187,3 +186,131 @@ def token_sets(df: DataFrame, text_col: str, keys: DataFrame, words: int) -> Dat
 
     sets = df.select(F.col(text_col).alias("text")).mapInArrow(work, "k long, tokens binary").groupBy("k").agg(F.first("tokens").alias("tokens"))
     return sets.join(keys, "k").select("k", "n", "tokens")
+
+
+def postings(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``token``, ``k``, ``n``: the rarest shingles of every set, as many as no two linked sets can avoid sharing one of.
+
+    Fragments count how many sets have each shingle. Shingles of one set only come first in the global order and
+    need no row; then the rarer, by the frequency and the shingle itself.
+    """
+    many = _fragments(sets)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 2_000):
+                part = batch.slice(begin, 2_000)
+                yield from _pack(part.column(0).to_pylist(), [np.frombuffer(b, np.uint64) for b in part.column(1).to_pylist()], many, 1.0, lambda t: t)
+
+    def count(table: pa.Table) -> pa.Table:
+        owner, tokens = _unpack(table, np.uint64)
+        often = _frequency(tokens)
+        keep = often > 1
+        owner, tokens, often = owner[keep], tokens[keep], often[keep].astype(np.uint32)
+        order = np.argsort(owner, kind="stable")
+        owner, tokens, often = owner[order], tokens[order], often[order]
+        keys, begins = np.unique(owner, return_index=True)
+        ends = [*begins[1:], len(owner)]
+        return pa.table([pa.array(keys), pa.array([tokens[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary()), pa.array([often[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())], ["k", "tokens", "often"])
+
+    shared = sets.select("k", "tokens").mapInArrow(cut, _PACKED).groupBy("fragment").applyInArrow(count, "k long, tokens binary, often binary")
+    by_set = sets.select("k", "n").join(shared.groupBy("k").agg(F.collect_list(F.struct("tokens", "often")).alias("parts")), "k")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 2_000):
+                keys, sizes, found = [], [], []
+                for k, n, parts in zip(*(c.to_pylist() for c in batch.slice(begin, 2_000).columns), strict=True):
+                    tokens = np.frombuffer(b"".join(p["tokens"] for p in parts), np.uint64)
+                    often = np.frombuffer(b"".join(p["often"] for p in parts), np.uint32)
+                    room = n - least_overlap(n, percent) + 1 - (n - len(tokens))
+                    if room > 0:
+                        chosen = tokens[np.lexsort((tokens, often))[:room]]
+                        found.append(chosen.view(np.int64))
+                        keys.append(np.full(len(chosen), k, np.int64))
+                        sizes.append(np.full(len(chosen), n, np.int64))
+                if found:
+                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (found, keys, sizes)], ["token", "k", "n"])
+
+    return by_set.mapInArrow(first, "token long, k long, n long")
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The given pairs (``a``, ``b``) with ``linked``: partial overlaps of their fragments, counted side by side and summed."""
+    left = pairs.join(sets.select(F.col("k").alias("a"), F.col("tokens").alias("x")), "a")
+    both = left.join(sets.select(F.col("k").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1_000):
+                part, linked = batch.slice(begin, 1_000), []
+                for x, y in zip(part.column(2), part.column(3), strict=True):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    shared = len(x) + len(y) - len(np.union1d(x, y))
+                    linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(linked)], ["a", "b", "linked"])
+
+    return both.mapInArrow(work, "a long, b long, linked boolean")
+
+
+def _fits(n: str, m: str, percent: int):
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def link_sets(sets: DataFrame, percent: int = PERCENT, rounds: int = STAR_ROUNDS) -> DataFrame:
+    """``(node, component)`` of all sets that have a link; no link between different sets is lost.
+
+    In a star round every set is compared with one other: the one that most often stands first among the sets of its shingles, an order that
+    changes with the round. Groups of copies so end up in one component without comparing all of their pairs.
+    Then every pair that shares a shingle, fits in size, lies in two components and was not compared yet is.
+    """
+    rows = settle(postings(sets, percent))
+    tried = of = None
+    for turn in range(rounds + 1):
+        now = rows.withColumn("c", F.col("k")) if of is None else settle(rows.join(of.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component"))
+        if turn < rounds:
+            head = F.min_by(F.struct("k", "n", "c"), F.xxhash64("k", F.lit(turn)))
+            heads = now.groupBy("token").agg(head.alias("h"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token", F.col("h.k").alias("hk"), F.col("h.n").alias("hn"), F.col("h.c").alias("hc"))
+            met = now.join(heads, "token").where((F.col("c") != F.col("hc")) & _fits("n", "hn", percent))
+            pairs = met.groupBy("k", "hk").agg(F.count("*").alias("often"))
+            if tried is not None:
+                pairs = pairs.join(tried.select(F.explode(F.array(F.struct(F.col("a").alias("k"), F.col("b").alias("hk")), F.struct(F.col("b").alias("k"), F.col("a").alias("hk")))).alias("t")).select("t.*"), ["k", "hk"], "left_anti")
+            best = pairs.groupBy("k").agg(F.max_by("hk", F.struct("often", "hk")).alias("hk"))
+            pairs = best.select(F.least("k", "hk").alias("a"), F.greatest("k", "hk").alias("b")).distinct()
+        else:
+            open_ = now.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token")
+            left = now.join(open_, "token")
+            right = left.select("token", F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+            met = left.join(right, "token").where((F.col("k") < F.col("k2")) & (F.col("c") != F.col("c2")) & _fits("n", "n2", percent))
+            pairs = met.select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct()
+            if tried is not None:
+                pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        done = settle(overlaps(settle(pairs), sets, percent))
+        tried = done if tried is None else tried.unionByName(done)
+        of = components(tried.where("linked").select("a", "b"))
+    return of
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``id_col``, ``n_shingles`` and ``component_id``: the least id reachable by links of ``percent`` hundredths Jaccard similarity
+    or more, the own one included. One row per row of ``df``.
+
+    Exact: vertical fragments of the global shingle order count partial overlaps, which are summed per set and prove most
+    documents to be without a partner; the others are linked by ``link_sets``. Equal sets are one from the start.
+
+    Words are runs without ASCII white space, A-Z lower-cased. A text with fewer words is one shingle; a null, empty
+    or blank one has none and links with nothing. A null id links nothing and gets a null component. Rows that repeat an id share its component;
+    an empty table gives no rows; other columns are ignored.
+    """
+    rows = settle(sets_of(df, id_col, text_col, words))
+    sizes = rows.where("k is not null").groupBy("k").agg(F.first("n").alias("n"), F.min("id").alias("id"))
+    keys = settle(candidates(df, text_col, sizes.select("k", "n"), words, percent))
+    sets = settle(token_sets(df, text_col, keys, words))
+    of = settle(link_sets(sets, percent))
+    named = sizes.join(of.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k"))
+    least = named.groupBy("c").agg(F.min("id").alias("component_id"))
+    named = settle(named.join(least, "c").select("k", "component_id"))
+    alone = rows.withColumn("_key", F.coalesce(F.col("k"), F.xxhash64("id")))
+    joined = alone.join(named.withColumnRenamed("k", "_key"), "_key", "left")
+    component = F.when(F.col("k").isNotNull() & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
+    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
