@@ -314,3 +314,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     joined = alone.join(named.withColumnRenamed("k", "_key"), "_key", "left")
     component = F.when(F.col("k").isNotNull() & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df`` whose id is the least of their component, one for each id; rows with a null id stay."""
+    of = settle(near_duplicates(df, id_col, text_col, words, percent).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), "component_id"))
+    rest = df.join(of.where("_id != component_id").select(F.col("_id").alias(id_col)).distinct(), id_col, "left_anti").select(*df.columns)
+    if of.groupBy("_id").count().where("count > 1").isEmpty():
+        return rest
+    return rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(rest.where(F.col(id_col).isNull()))
