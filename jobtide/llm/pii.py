@@ -24,7 +24,7 @@ _BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?"
 
 #: Bootstrapping: rounds, least confidence and least number of different seed identifiers of a usable context,
 #: least digits of an identifier that the fixed patterns miss, and words of context.
-ROUNDS, MIN_CONFIDENCE, MIN_SEEDS, MIN_DIGITS = 3, 0.8, 5, 4
+ROUNDS, MIN_CONFIDENCE, MIN_SEEDS, MIN_DIGITS = 3, 0.85, 5, 6
 
 #: What may be an identifier: a run without white space that holds a digit. Runs count from their beginning.
 MENTION = r"(?:\G|(?<![^\s]))[^\s0-9]*+[0-9][^\s]*+"
@@ -61,10 +61,10 @@ def _valid(kind: str):
 
 
 def base_spans(text: Column) -> Column:
-    """Array of ``(kind, start, end)`` of the fixed patterns, by kind as listed, then by start."""
+    """Array of ``(kind, start, end, found)`` of the fixed patterns, by kind as listed, then by start."""
     def of(i: int, kind: str) -> Column:
         found = matches(text, PATTERNS[kind], HINTS[kind], _valid(kind))
-        return F.transform(found, lambda m: F.struct(F.lit(i).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+        return F.transform(found, lambda m: F.struct(F.lit(i).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found")))
 
     return F.concat(*[of(i, k) for i, k in enumerate(KINDS)])
 
@@ -82,7 +82,7 @@ def mentions(df: DataFrame) -> DataFrame:
     before = F.regexp_replace(F.lower(F.col("m.before")), "[0-9]", "0")
     one = F.regexp_extract(before, r"([^\s]+)\s*$", 1)
     two = F.regexp_extract(before, r"([^\s]+\s+[^\s]+)\s*$", 1)
-    rows = rows.select("_key", F.col("m.start").alias("start"), F.col("m.end").alias("end"), "kind", F.col("m.found").alias("instance"), F.array(one, two).alias("contexts"))
+    rows = rows.select("_key", F.col("m.start").alias("start"), F.col("m.end").alias("end"), "kind", F.coalesce(first["found"], F.col("m.found")).alias("instance"), F.array(one, two).alias("contexts"))
     return rows.dropDuplicates(["_key", "start"])
 
 
@@ -128,8 +128,10 @@ def find_spans(df: DataFrame, text_col: str = "text", columns: list[str] | None
     rows = settle(rows.select("_row", "_base", "_mentions", key.alias("_key")))
     more = bootstrap(settle(mentions(rows))).groupBy("_key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("_more"))
     joined = rows.select("_row", "_base", "_key").join(settle(more), "_key", "left")
-    spans = F.array_sort(F.concat("_base", F.coalesce("_more", F.array().cast(_SPAN))))
-    return joined.select("_row.*", F.col("_base").alias("base"), spans.alias("spans"))
+    base = F.transform("_base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
+    joined = joined.withColumn("_spans", base)
+    spans = F.array_sort(F.concat("_spans", F.coalesce("_more", F.array().cast(_SPAN))))
+    return joined.select("_row.*", F.col("_spans").alias("base"), spans.alias("spans"))
 
 
 def listed(spans: Column) -> Column:
