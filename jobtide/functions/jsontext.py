@@ -25,6 +25,12 @@ def is_object(text: str | Column) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_parse_json(col(text))).startswith("OBJECT"), F.lit(False))
 
 
+def is_single(text: str | Column) -> Column:
+    """The text is one JSON value with nothing behind it: in brackets it makes an array of one."""
+    inside = F.from_json(F.concat(F.lit("["), col(text).cast("string"), F.lit("]")), "array<string>")
+    return F.coalesce(F.size(inside) == 1, F.lit(False))
+
+
 class Document:
     """A parsed JSON object in a struct column: typed access to its fields.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jobtide import schemas as S
 
+RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:[0-9]{2})$"
 HEX_UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 
 
@@ -53,8 +54,24 @@ def can_retry(retry_count: str | Column = "retry_count", max_retries: str | Colu
     return col(retry_count) < col(max_retries)
 
 
+def _utc_day(ts: Column) -> Column:
+    return F.date_from_unix_date(F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int"))
+
+
+def utc_text(ts: Column) -> Column:
+    """A zoned time as its UTC text, whatever the session's zone: ``2024-01-15 10:00:00.5``."""
+    inside = F.pmod(F.unix_micros(ts), F.lit(86_400_000_000))
+    part = lambda size, of: F.lpad((F.floor(inside / F.lit(size)) % of).cast("string"), 2, "0")
+    clock = F.concat_ws(":", part(3_600_000_000, 24), part(60_000_000, 60), part(1_000_000, 60))
+    fraction = F.regexp_replace(F.concat(F.lit("."), F.lpad((inside % 1_000_000).cast("string"), 6, "0")), r"\.?0+$", "")
+    return F.concat(_utc_day(ts).cast("string"), F.lit(" "), clock, fraction)
+
+
 def event_month(ts: str | Column) -> Column:
-    return F.date_format(col(ts), "yyyy-MM")
+    """Month of a time; of a zoned one the UTC month, so that a reader in another zone finds what was written."""
+    c = col(ts)
+    zoned = F.date_format(_utc_day(c.cast("timestamp")), "yyyy-MM")
+    return F.when(F.typeof(c) == "timestamp", zoned).otherwise(F.date_format(c, "yyyy-MM"))
 
 
 def hex_to_uuid(digits: Column) -> Column:
@@ -62,8 +79,13 @@ def hex_to_uuid(digits: Column) -> Column:
 
 
 def surrogate_id(*natural_key: str | Column) -> Column:
-    """Identifier that is the same on every run and every task retry: a digest of the natural key."""
-    return hex_to_uuid(F.md5(F.concat_ws(":", *[col(c).cast("string") for c in natural_key])))
+    """Identifier that is the same on every run, every task retry and in every session zone: a digest of
+    the natural key."""
+
+    def text(c: Column) -> Column:
+        return F.when(F.typeof(c) == "timestamp", utc_text(c.try_cast("timestamp"))).otherwise(c.cast("string"))
+
+    return hex_to_uuid(F.md5(F.concat_ws(":", *[text(col(c)) for c in natural_key])))
 
 
 def canonical_uuid(text: str | Column) -> Column:
@@ -103,7 +125,8 @@ def rfc3339(df: DataFrame, ts: str) -> Column:
 
 
 def parse_rfc3339(text: str | Column) -> Column:
-    return F.try_to_timestamp(col(text))
+    """The time, or NULL unless the text has date, ``T``, time and a zone; nothing is filled in from the clock."""
+    return F.when(col(text).rlike(RFC3339), F.try_to_timestamp(col(text)))
 
 
 def truncate_ms(seconds: str | Column) -> Column:
@@ -123,3 +146,18 @@ def route_pattern(path: str | Column) -> Column:
 def severity(status: str | Column) -> Column:
     code = col(status)
     return F.when(code >= 500, "error").when(code >= 400, "warn").otherwise("info")
+
+
+#: Control characters with a short escape in quoted text. Fixed values.
+ESCAPES = {"\a": "a", "\b": "b", "\f": "f", "\n": "n", "\r": "r", "\t": "t", "\v": "v"}
+
+
+def quoted(text: str | Column) -> Column:
+    """Text in double quotes; quotes, backslashes and control characters inside are escaped."""
+    plain = col(text)
+    escaped = F.replace(F.replace(plain, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for code in [*range(0x20), 0x7F]:
+        mark = ESCAPES.get(chr(code), f"x{code:02x}")
+        escaped = F.replace(escaped, F.lit(chr(code)), F.lit("\\" + mark))
+    special = plain.rlike(r'[\x00-\x1F\x7F"\\]')
+    return F.concat(F.lit('"'), F.when(special, escaped).otherwise(plain), F.lit('"'))

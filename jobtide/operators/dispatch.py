@@ -35,7 +35,7 @@ def outbox_prune(outbox: DataFrame, as_of: str | datetime | Column, age_seconds:
 
 
 def mark_published(outbox: DataFrame, ids: DataFrame, as_of: str | datetime | Column) -> DataFrame:
-    sent = ids.select("id", F.lit(True).alias("_sent"))
+    sent = ids.select("id").distinct().withColumn("_sent", F.lit(True))
     at = instant(outbox, "published_at", as_of)
     marked = F.when(F.col("_sent"), at).otherwise(F.col("published_at"))
     return outbox.join(sent, "id", "left").withColumn("published_at", marked).select(*outbox.columns)

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide import schemas as S
-from jobtide.functions.scalars import blank_to_null, instant, null_to_blank, surrogate_id
-from jobtide.operators.skew import broadcast_if_small, lookup_by_key
+from jobtide.functions.scalars import blank_to_null, instant, null_to_blank, quoted, surrogate_id
+from jobtide.operators.skew import lookup_by_key
 from jobtide.sources.tables import outbox_rows
 
 
@@ -41,7 +41,7 @@ def apply_request_defaults(req: DataFrame, as_of: str | datetime | Column, ts_ty
 def _with_known_flag(req: DataFrame, known_types: Iterable[str] | DataFrame) -> DataFrame:
     if isinstance(known_types, DataFrame):
         registry = known_types.select(F.col("type")).distinct().withColumn("type_known", F.lit(True))
-        joined = req.join(broadcast_if_small(registry)[0], "type", "left")
+        joined = req.join(registry, "type", "left")
         return joined.withColumn("type_known", F.coalesce("type_known", F.lit(False)))
     return req.withColumn("type_known", F.coalesce(F.col("type").isin(*known_types), F.lit(False)))
 
@@ -65,7 +65,7 @@ def validate_requests(req: DataFrame, known_types: Iterable[str] | DataFrame = S
         .otherwise(S.OK)
     )
     message = F.when(
-        F.col("code") == S.UNKNOWN_TASK_TYPE, F.concat(F.lit('unknown task type "'), F.col("type"), F.lit('"'))
+        F.col("code") == S.UNKNOWN_TASK_TYPE, F.concat(F.lit("unknown task type "), quoted("type"))
     )
     for name in (S.INVALID_JSON_BODY, S.NAME_REQUIRED, S.TYPE_REQUIRED, S.PAYLOAD_NULL):
         message = message.when(F.col("code") == name, S.MESSAGES[name])
@@ -128,17 +128,15 @@ def resolve_idempotency(
     """Adds ``task_id`` (the row that owns the key) and ``outcome`` (``CREATED`` or ``EXISTING``).
 
     A key known to ``tasks`` keeps its stored row; otherwise the first request with the key owns it.
-    Rows without a key own themselves. With ``prune_stored``, for a few requests against many stored
-    keys, the requested keys are counted first and broadcast if they are few, so that the stored side is
-    filtered where it lies and not shuffled.
+    Rows without a key own themselves. With ``prune_stored``, for a few requests against many stored keys,
+    stored rows whose key is not asked for leave before the join; Spark decides how by the sizes it meets.
     """
     id_type = req.schema[id].dataType
     owners = first_by_key(req, key, order, id)
     if tasks is not None:
         stored = tasks.where(F.col(key).isNotNull()).select(key, F.col("id").cast(id_type).alias("stored_id"))
         if prune_stored:
-            wanted, small = broadcast_if_small(owners.select(key))
-            stored = stored.join(wanted, key, "left_semi") if small else stored
+            stored = stored.join(owners.select(key), key, "left_semi")
         owners = owners.join(stored, key, "left")
     else:
         owners = owners.withColumn("stored_id", F.lit(None).cast(id_type))

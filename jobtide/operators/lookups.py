@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions.scalars import is_terminal
-from jobtide.operators.skew import broadcast_if_small, lookup_by_key
 
 
 def lookup_tasks(tasks: DataFrame, ids: DataFrame, id: str = "id") -> DataFrame:
@@ -40,19 +39,13 @@ def history_for(history: DataFrame, tasks: DataFrame, ids: DataFrame) -> DataFra
     """Rows ``(task_id, task_exists, history columns)``. A task without history has one row with NULLs;
     so has an id without a task, told apart by ``task_exists``. History of unknown tasks is not shown.
 
-    A few ids are broadcast and the log is read where it lies. Many ids are joined by shuffle with the
-    busiest tasks taken out, so a task that holds much of the log does not end up in one place.
+    Only rows of asked tasks leave the log. It is the large side of an inner join, which Spark broadcasts into
+    or splits where one task holds much of it, by the sizes it meets.
     """
-    asked = lookup_tasks(tasks.select("id"), ids).select(F.col("id").alias("task_id"), F.col("found").alias("task_exists"))
-    wanted, small = broadcast_if_small(asked.distinct())
-    if small:
-        shown = history.join(wanted.where("task_exists"), "task_id")
-        present = shown.select("task_id").distinct()
-    else:
-        sizes = history.groupBy("task_id").agg(F.count("*").alias("n"))
-        present = wanted.where("task_exists").join(sizes, "task_id")
-        shown = lookup_by_key(history, present, "task_id", spread_by="id").where("task_exists")
-    blank = wanted.join(present.select("task_id"), "task_id", "left_anti")
+    asked = lookup_tasks(tasks.select("id"), ids).select(F.col("id").alias("task_id"), F.col("found").alias("task_exists")).distinct()
+    shown = history.join(asked.where("task_exists"), "task_id")
+    present = history.join(asked.where("task_exists"), "task_id", "left_semi").select("task_id").distinct()
+    blank = asked.join(present, "task_id", "left_anti")
     columns = ["task_id", "task_exists", *[c for c in history.columns if c != "task_id"]]
     return shown.select(*columns).unionByName(blank, allowMissingColumns=True)
 

@@ -12,7 +12,11 @@ from jobtide import schemas as S
 from jobtide.functions.scalars import col, is_terminal, micros, route_pattern, severity, truncate_ms
 from jobtide.operators.dispatch import outbox_pending
 from jobtide.operators.history import transitions
-from jobtide.operators.skew import broadcast_if_small, lookup_by_key, settled
+from jobtide.operators.skew import settled
+from jobtide.operators.sliced import with_running_sum
+
+#: Seconds of a series that are summed in one task; there is one row per so many seconds in the window over all of it.
+SERIES_SLICE = 30 * 86_400
 
 
 
@@ -37,11 +41,10 @@ def in_progress(tasks: DataFrame) -> DataFrame:
 def depth_series(changes: DataFrame, ts: str, delta: str, step: str) -> DataFrame:
     """``step_start, delta, depth``: net change per step, then a running total over the steps that have one.
 
-    Only the per-step totals, never raw rows, reach the ordered window.
+    Per-step totals are summed inside slices of time; only one row per slice meets in one place.
     """
     steps = changes.groupBy(F.window(ts, step)["start"].alias("step_start")).agg(F.sum(delta).alias("delta"))
-    order = Window.orderBy("step_start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return steps.withColumn("depth", F.sum("delta").over(order))
+    return with_running_sum(steps, [], "step_start", "step_start", F.col("delta"), "depth", slice_seconds=SERIES_SLICE)
 
 
 def _gauge(history: DataFrame, up: Column, down: Column, step: str) -> DataFrame:
@@ -155,10 +158,8 @@ def latency_percentiles(
         F.percentile_approx("_v", probes, accuracy).alias("cuts"),
         *[F.first(k).alias(k) for k in keys],
     )
-    stats, small = broadcast_if_small(stats)
-    if not small:
-        # Cuts may come out differently each time they are computed, and they are used more than once.
-        stats = settled(stats)
+    # Cuts may come out differently each time they are computed, and they are used more than once.
+    stats = settled(stats)
     # Without groups there is one row of them, which goes into the plan as literals and needs no join.
     whole = stats.head() if not keys else None
 
@@ -170,10 +171,7 @@ def latency_percentiles(
         return df.withColumn("cuts", F.array(*[F.lit(c).cast("double") for c in (whole["cuts"] if whole else [None] * len(probes))]))
 
     narrow = rows.select("_g", "_v")
-    if small:
-        placed = beside(narrow, "cuts")
-    else:
-        placed = lookup_by_key(narrow, stats.select("_g", "cuts", "n"), "_g", spread_by="_v")
+    placed = beside(narrow, "cuts")
     above = [(F.col("_v") > F.col("cuts")[i]).cast("int") for i in range(len(probes))]
     placed = placed.select("_g", "_v", reduce(lambda a, b: a + b, above).alias("cut"))
 
@@ -193,13 +191,10 @@ def latency_percentiles(
         .where((F.col("want.rank") <= F.col("seen")) & (F.col("want.rank") > F.col("seen") - F.col("rows")))
         .select("_g", "cut", "want.p", (F.col("want.rank") - F.col("seen") + F.col("rows")).alias("nth"))
     )
-    if small:
-        inside = placed.join(F.broadcast(targets.select("_g", "cut").distinct()), ["_g", "cut"], "left_semi")
-    else:
-        # At most one cut per percentile and group. Looked up by group, so that the wide cuts of a busy
-        # group, which are not wanted, do not travel to one place just to be dropped there.
-        wanted = beside(targets.groupBy("_g").agg(F.collect_set("cut").alias("wanted")), "n")
-        inside = lookup_by_key(placed, wanted, "_g", spread_by="_v").where(F.array_contains("wanted", F.col("cut")))
+    # At most one cut per percentile and group. Looked up by group, so that rows of a busy group's other cuts
+    # do not travel to one place just to be dropped there.
+    wanted = targets.groupBy("_g").agg(F.collect_set("cut").alias("wanted"))
+    inside = placed.join(settled(wanted), "_g").where(F.array_contains("wanted", F.col("cut"))).drop("wanted")
     values = inside.groupBy("_g", "cut", "_v").agg(F.count("*").alias("rows"))
     upto = Window.partitionBy("_g", "cut").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     values = values.withColumn("seen", F.sum("rows").over(upto))
@@ -291,15 +286,11 @@ def live_rate(samples: DataFrame, ts: str, seconds: int = 2) -> DataFrame:
     steps = samples.groupBy(F.window(ts, f"{seconds} seconds").alias("w")).agg(
         F.count("*").alias("_sent"), F.count_if(failed).alias("_err")
     )
-    order = Window.orderBy("step_end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     steps = steps.select(F.col("w.start").alias("step_start"), F.col("w.end").alias("step_end"), "_sent", "_err")
-    totals = steps.withColumns(
-        {
-            "sent": F.sum("_sent").over(order),
-            "err": F.sum("_err").over(order),
-            "elapsed": (micros("step_end") - F.min(micros("step_start")).over(order)) / F.lit(1_000_000.0),
-        }
-    ).withColumn("ok", F.col("sent") - F.col("err"))
+    totals = with_running_sum(steps, [], "step_end", "step_end", F.col("_sent"), "sent", slice_seconds=SERIES_SLICE)
+    totals = with_running_sum(totals, [], "step_end", "step_end", F.col("_err"), "err", slice_seconds=SERIES_SLICE)
+    first = steps.agg(F.min(micros("step_start"))).scalar()
+    totals = totals.withColumn("elapsed", (micros("step_end") - first) / F.lit(1_000_000.0)).withColumn("ok", F.col("sent") - F.col("err"))
     return totals.select(
         "step_end",
         "sent",

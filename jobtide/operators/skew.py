@@ -2,35 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobtide.streaming.sinks import shared_folder
+
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
-BROADCAST_ROWS = 10_000
 _SPREAD = 1024
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``(frame, True)``: ``df`` read once into a local table with a broadcast hint when it has at most
-    ``max_rows`` rows; ``(df, False)`` above that. At most ``max_rows + 1`` rows reach the driver."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df, False
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), True
-
-
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the checkpoint folder, for rows that must not come out differently
-    when they are used twice or when an executor is lost. The folder is the one the cluster names in
-    ``spark.checkpoint.dir``; only where there is none, as in a local test, a temporary one is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="jobtide-"))
-    return df.checkpoint()
+    """``df`` computed once and kept in the shared folder, for rows that must not come out differently when
+    they are used twice or when an executor is lost. Read back, its size is known when joins are planned."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lookup_by_key(

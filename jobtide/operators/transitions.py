@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 from pyspark.sql.window import Window
 
 from jobtide import schemas as S
@@ -32,8 +33,11 @@ class TransitionResult:
 
 
 def apply_transitions(tasks: DataFrame, delta: DataFrame) -> DataFrame:
-    """``tasks`` with the rows of ``delta`` (unique ids) taking over its columns."""
+    """``tasks`` with the rows of ``delta`` taking over its columns. An id that is given twice, as at-least-once
+    delivery may do, counts once: the greatest of its rows."""
     columns = [c for c in delta.columns if c != "id"]
+    if columns and not any(isinstance(delta.schema[c].dataType, MapType) for c in columns):
+        delta = delta.groupBy("id").agg(F.max(F.struct(*columns)).alias("_row")).select("id", "_row.*")
     changed = delta.select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns])
     joined = tasks.join(changed, "id", "left")
     return joined.select(
@@ -46,7 +50,7 @@ def apply_transitions(tasks: DataFrame, delta: DataFrame) -> DataFrame:
 
 def unmatched(delta: DataFrame, tasks: DataFrame) -> DataFrame:
     """Ids of ``delta`` that no task has."""
-    return delta.select("id").join(tasks.select("id"), "id", "left_anti")
+    return delta.select("id").distinct().join(tasks.select("id"), "id", "left_anti")
 
 
 def last_update(updates: DataFrame, order: str | None = None) -> DataFrame:
@@ -144,7 +148,8 @@ def dlq_rows(tasks: DataFrame, error: Column, as_of: AsOf) -> DataFrame:
 
 def dlq_snapshot(failures: DataFrame, tasks: DataFrame, as_of: AsOf) -> tuple[DataFrame, DataFrame]:
     """``(dead-letter rows, ids without a task)`` for failures ``(id, error_message)``."""
-    rows = tasks.join(failures.select("id", F.col("error_message").alias("_error")), "id", "inner")
+    once = failures.groupBy("id").agg(F.min("error_message").alias("_error"))
+    rows = tasks.join(once, "id", "inner")
     return dlq_rows(rows, F.col("_error"), as_of), unmatched(failures, tasks)
 
 
@@ -217,7 +222,10 @@ def dlq_retry(dlq: DataFrame, tasks: DataFrame, dlq_ids: DataFrame, as_of: AsOf)
 
 def failure_route(tasks: DataFrame, results: DataFrame) -> DataFrame:
     """Task rows joined to results ``(id, ok, error, known_type)`` with the ``outcome`` of each:
-    ``succeeded``, ``retry``, ``dead_lettered`` or ``failed`` (no handler for the type)."""
+    ``succeeded``, ``retry``, ``dead_lettered`` or ``failed`` (no handler for the type). Results may come more than
+    once: a success wins, then the least error."""
+    first = F.min(F.struct((~F.col("ok")).alias("bad"), "ok", "error", "known_type")).alias("r")
+    results = results.groupBy("id").agg(first).select("id", "r.ok", "r.error", "r.known_type")
     outcome = (
         F.when(~F.col("known_type"), S.FAILED)
         .when(F.col("ok"), S.SUCCEEDED)

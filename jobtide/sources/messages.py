@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobtide import schemas as S
 from jobtide.functions.headers import build_headers
-from jobtide.functions.jsontext import NUMBER_FIELDS, TEXT_FIELDS, open_documents
+from jobtide.functions.jsontext import NUMBER_FIELDS, TEXT_FIELDS, is_single, open_documents
 from jobtide.functions.scalars import blank_to_null, canonical_uuid, parse_rfc3339, rfc3339, surrogate_id
 
 
@@ -78,7 +78,7 @@ def read_task_messages(messages: DataFrame) -> DataFrame:
     """Every message decoded, ``reject_reason`` NULL for the good ones."""
     texts = ("task_id", *TEXT_FIELDS)
     opened, doc = open_documents(messages, "value", texts, _COUNTS)
-    whole = doc.fits(texts)
+    whole = doc.fits(texts) & is_single("value")
     task_id = canonical_uuid(doc.text("task_id"))
     return opened.select(
         *messages.columns,
@@ -103,7 +103,7 @@ def read_outbox_payloads(outbox: DataFrame) -> DataFrame:
         *kept,
         F.col("payload").alias("raw_payload"),
         F.col("task_id").alias("raw_task_id"),
-        (doc.fits(texts) & task_id.isNotNull()).alias("good"),
+        (doc.fits(texts) & is_single("payload") & task_id.isNotNull()).alias("good"),
         task_id.alias("task_id"),
         *[doc.blank_text(f).alias(f) for f in TEXT_FIELDS],
         *[doc.number(f).alias(f) for f in NUMBER_FIELDS],
@@ -142,7 +142,7 @@ def read_history_messages(messages: DataFrame) -> DataFrame:
     task_id = canonical_uuid(doc.text("task_id"))
     status = doc.blank_text("status")
     at = F.coalesce(parse_rfc3339(doc.text("at")), F.col("timestamp").cast("timestamp"))
-    whole = doc.fits(texts, payload=False)
+    whole = doc.fits(texts, payload=False) & is_single("value")
     return opened.select(
         *messages.columns,
         F.when(~whole, "bad_json").when(task_id.isNull(), "bad_task_id").alias("reject_reason"),

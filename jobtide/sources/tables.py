@@ -54,8 +54,9 @@ def in_range(df: DataFrame, start: str | datetime, end: str | datetime, ts: str
 
 
 def history_between(history: DataFrame, start: str | datetime, end: str | datetime) -> DataFrame:
-    """Rows in ``[start, end)``. The month condition beside the time condition is what prunes directories."""
-    months = F.col("event_month").between(str(start)[:7], str(end)[:7])
+    """Rows in ``[start, end)``. The month condition beside the time condition is what prunes directories; its
+    months are those of the same instants, computed as for the rows, so bounds may have any form and zone."""
+    months = F.col("event_month").between(*[event_month(instant(history, "occurred_at", t)) for t in (start, end)])
     return history.where(months & in_range(history, start, end))
 
 

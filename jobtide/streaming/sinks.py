@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,13 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``. Only where the cluster names none, as in a local
-    test, a temporary one is made."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="jobtide-")
+    """A new folder below ``spark.checkpoint.dir``. Only in local mode, as in a test, a temporary one is made
+    where none is named: on a cluster, each executor would have a folder of its own behind that name."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="jobtide-")
     return f"{root.rstrip('/')}/jobtide-{uuid.uuid4().hex}"
 
 

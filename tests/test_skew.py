@@ -158,8 +158,7 @@ def test_percentiles_are_exact_even_with_poor_cuts(spark, accuracy):
         assert [row.p50, row.p95, row.p99, row.p999] == [nearest_rank(values, p) for p in (50, 95, 99, 99.9)]
 
 
-def test_percentiles_with_more_groups_than_a_broadcast_takes(spark, monkeypatch):
-    monkeypatch.setattr(metrics, "broadcast_if_small", lambda df: skew.broadcast_if_small(df, 3))
+def test_percentiles_of_many_groups(spark):
     df = spark.range(400).select((F.col("id") % 20).cast("string").alias("kind"), F.col("id").cast("double").alias("v"))
     got = {r.kind: r.p50 for r in metrics.latency_percentiles(df, "v", ["kind"], whole_ms=False).collect()}
     assert got == {str(k): float(k + 20 * 9) for k in range(20)}
@@ -170,12 +169,15 @@ def test_percentiles_of_nothing_are_zero(spark):
     assert [tuple(r) for r in row] == [(0, 0.0, 0.0, 0.0, 0.0)]
 
 
-def test_history_for_is_the_same_by_broadcast_and_by_shuffle(spark, monkeypatch, log):
+def test_history_for_by_broadcast_and_by_shuffle(spark, log):
     rows, df = log
     tasks = spark.createDataFrame([("hot",), ("t1",), ("silent",)], "id string")
-    ids = spark.createDataFrame([("hot",), ("t1",), ("silent",), ("t2",)], "id string")
+    ids = spark.createDataFrame([("hot",), ("t1",), ("silent",), ("t2",), ("t2",)], "id string")
     want = {(r[1], True, r[0]) for r in rows if r[1] in ("hot", "t1")} | {("silent", True, None), ("t2", False, None)}
-    for limit in (10_000, 1):
-        monkeypatch.setattr(lookups, "broadcast_if_small", lambda d, n=limit: skew.broadcast_if_small(d, n))
-        got = lookups.history_for(df, tasks, ids).collect()
+    for limit in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            got = lookups.history_for(df, tasks, ids).collect()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert {(r.task_id, r.task_exists, r.id) for r in got} == want and len(got) == len(want)
