@@ -15,8 +15,8 @@ from jobtide.llm.common import Memo, settle, worker_cache
 from jobtide.llm.components import components
 
 WORDS, PERCENT = 5, 80
-#: Rounds that compare with one document per shingle before what is left is compared pair by pair.
-STAR_ROUNDS = 2
+#: Sets that share one shingle are compared pair by pair up to this number, beyond it block by block.
+PAIR_GROUP, BLOCK_ROWS = 64, 512
 #: Bits of the filter that keeps documents without a chance from being moved; a full filter keeps too many, never too few.
 FILTER_BITS = 1 << 26
 
@@ -30,7 +30,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes() -> Memo:
-    return worker_cache("word hashes", lambda: Memo(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), 1_000_000))
+    return worker_cache("word hashes", lambda: Memo(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), 600_000))
 
 
 def shingle_set(text: str | None, known: Memo, words: int = WORDS) -> np.ndarray:
@@ -124,8 +124,8 @@ def _frequency(tokens: np.ndarray) -> np.ndarray:
 
 
 def _fragments(df: DataFrame) -> int:
-    """Fragments of a pass: a third of the shuffle partitions, which Spark's user sizes to the data."""
-    return max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 3)
+    """Fragments of a pass: a third of the shuffle partitions, which the user sizes to the data, and not too few, so that each is small."""
+    return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 3)
 
 
 def candidates(df: DataFrame, text_col: str, sizes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -139,8 +139,10 @@ def candidates(df: DataFrame, text_col: str, sizes: DataFrame, words: int, perce
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _word_hashes()
         for batch in batches:
-            found = {_key(s): s[: prefix_length(len(s), percent)[0]] for t in batch.column(0).to_pylist() if len(s := shingle_set(t, known, words))}
-            yield from _pack(list(found), list(found.values()), many, 0.5, lambda t: (t >> np.uint64(20)).astype(np.uint32))
+            for begin in range(0, batch.num_rows, 3_000):
+                texts = batch.column(0).slice(begin, 3_000).to_pylist()
+                found = {_key(s): s[: prefix_length(len(s), percent)[0]] for t in texts if len(s := shingle_set(t, known, words))}
+                yield from _pack(list(found), list(found.values()), many, 0.5, lambda t: (t >> np.uint64(20)).astype(np.uint32))
 
     def count(table: pa.Table) -> pa.Table:
         owner, tokens = _unpack(table, np.uint32)
@@ -189,7 +191,8 @@ def token_sets(df: DataFrame, text_col: str, keys: DataFrame, words: int = WORDS
 
 
 def postings(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``token``, ``k``, ``n``: the rarest shingles of every set, as many as no two linked sets can avoid sharing one of.
+    """``token``, ``k``, ``n``, ``own`` (share of shingles that no other set has): the rarest shingles of every set, as many
+    as no two linked sets can avoid sharing one of.
 
     Fragments count how many sets have each shingle. Shingles of one set only come first in the global order and
     need no row; then the rarer, by the frequency and the shingle itself.
@@ -219,7 +222,7 @@ def postings(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 2_000):
-                keys, sizes, found = [], [], []
+                keys, sizes, owns, found = [], [], [], []
                 for k, n, parts in zip(*(c.to_pylist() for c in batch.slice(begin, 2_000).columns), strict=True):
                     tokens = np.frombuffer(b"".join(p["tokens"] for p in parts), np.uint64)
                     often = np.frombuffer(b"".join(p["often"] for p in parts), np.uint32)
@@ -229,10 +232,11 @@ def postings(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
                         found.append(chosen.view(np.int64))
                         keys.append(np.full(len(chosen), k, np.int64))
                         sizes.append(np.full(len(chosen), n, np.int64))
+                        owns.append(np.full(len(chosen), 1 - len(tokens) / n))
                 if found:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (found, keys, sizes)], ["token", "k", "n"])
+                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (found, keys, sizes, owns)], ["token", "k", "n", "own"])
 
-    return by_set.mapInArrow(first, "token long, k long, n long")
+    return by_set.mapInArrow(first, "token long, k long, n long, own double")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -257,38 +261,87 @@ def _fits(n: str, m: str, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def link_sets(sets: DataFrame, percent: int = PERCENT, rounds: int = STAR_ROUNDS) -> DataFrame:
-    """``(node, component)`` of all sets that have a link; no link between different sets is lost.
-
-    In a star round every set is compared with one other: the one that most often stands first among the sets of its shingles, an order that
-    changes with the round. Groups of copies so end up in one component without comparing all of their pairs.
-    Then every pair that shares a shingle, fits in size, lies in two components and was not compared yet is.
+def _block_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) between different components of sets that common shingles bring together, from rows
+    ``token``, ``k``, ``c``. Such groups may be of any size: the sets outside a group's largest component meet each
+    other and that component in blocks, and of the links of two blocks only a spanning part leaves the task."""
+    heads = open_.groupBy("token").agg(F.min("k").alias("h"))
+    group = components(open_.join(heads, "token").select(F.col("k").alias("a"), F.col("h").alias("b"))).withColumnsRenamed({"node": "k", "component": "g"})
+    members = settle(open_.select("k", "c").distinct().join(group, "k"))
+    largest = members.groupBy("g", "c").agg(F.count("*").alias("size")).groupBy("g").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.max("size").alias("mains"), F.sum("size").alias("all"))
+    sized = members.join(largest, "g").select("k", "g", "c", (F.col("c") == F.col("main")).alias("main"), F.ceil(F.col("mains") / BLOCK_ROWS).alias("p"), F.ceil((F.col("all") - F.col("mains")) / BLOCK_ROWS).alias("q"))
+    part = F.pmod(F.xxhash64("k"), F.when(F.col("main"), F.col("p")).otherwise(F.col("q")))
+    sized = sized.where("q > 0").withColumn("part", part)
+    # Task (i, true, j): part i of the others against part j of the largest component; (i, false, j): against others.
+    as_main = F.expr("transform(sequence(0L, q - 1), i -> struct(i as i, true as with_main, part as j))")
+    as_other = F.expr(
+        "concat(transform(sequence(0L, p - 1), j -> struct(part as i, true as with_main, j as j)),"
+        " transform(sequence(0L, q - 1), o -> struct(least(part, o) as i, false as with_main, greatest(part, o) as j)))"
+    )
+    dealt = sized.select("k", "g", "c", "main", "part", F.explode(F.when(F.col("main"), as_main).otherwise(as_other)).alias("t"))
+    wide = dealt.select("k", "g", "c", "main", "part", "t.*").join(sets.select("k", "tokens"), "k")
+
+    def compare(table: pa.Table) -> pa.Table:
+        i, with_main, j = table["i"][0].as_py(), table["with_main"][0].as_py(), table["j"][0].as_py()
+        keys, comps, main, part = (table[c].to_numpy(zero_copy_only=False) for c in ("k", "c", "main", "part"))
+        tokens = [np.frombuffer(b, np.uint64) for b in table["tokens"].to_pylist()]
+        sizes = np.array([len(t) for t in tokens])
+        left = np.flatnonzero(~main & (part == i))
+        right = np.flatnonzero((main == with_main) & (part == j))
+        held = np.concatenate([tokens[x] for x in left]) if len(left) else np.empty(0, np.uint64)
+        owner = np.repeat(np.arange(len(left)), sizes[left])
+        order = np.argsort(held, kind="stable")
+        held, owner = held[order], owner[order]
+        label = {int(c): int(c) for c in comps}
+
+        def root(c: int) -> int:
+            while label[c] != c:
+                label[c] = label[label[c]]
+                c = label[c]
+            return c
+
+        links = []
+        for y in right:
+            begin, end = np.searchsorted(held, tokens[y], "left"), np.searchsorted(held, tokens[y], "right")
+            counts = end - begin
+            at = np.repeat(begin - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+            shared = np.bincount(owner[at], minlength=len(left))
+            for x in left[100 * shared >= percent * (sizes[left] + sizes[y] - shared)]:
+                a, b = root(int(comps[x])), root(int(comps[y]))
+                if a != b:
+                    label[max(a, b)] = min(a, b)
+                    links.append((int(keys[x]), int(keys[y])))
+        return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+    return wide.groupBy("g", "i", "with_main", "j").applyInArrow(compare, "a long, b long")
+
+
+def link_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``(node, component)`` of all sets that have a link; no component is split for a link that was not looked at.
+
+    First every set is compared with one other: of the sets at the head of its shingles, the one it meets most often. The head of a shingle
+    is its set with the fewest shingles of its own, as the source of a group of copies has, so most of a group is in one component
+    without comparing its pairs. Then sets of different components that still share a shingle are compared, pair by pair
+    where few sets have the shingle, block by block where many do.
     """
     rows = settle(postings(sets, percent))
-    tried = of = None
-    for turn in range(rounds + 1):
-        now = rows.withColumn("c", F.col("k")) if of is None else settle(rows.join(of.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component"))
-        if turn < rounds:
-            head = F.min_by(F.struct("k", "n", "c"), F.xxhash64("k", F.lit(turn)))
-            heads = now.groupBy("token").agg(head.alias("h"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token", F.col("h.k").alias("hk"), F.col("h.n").alias("hn"), F.col("h.c").alias("hc"))
-            met = now.join(heads, "token").where((F.col("c") != F.col("hc")) & _fits("n", "hn", percent))
-            pairs = met.groupBy("k", "hk").agg(F.count("*").alias("often"))
-            if tried is not None:
-                pairs = pairs.join(tried.select(F.explode(F.array(F.struct(F.col("a").alias("k"), F.col("b").alias("hk")), F.struct(F.col("b").alias("k"), F.col("a").alias("hk")))).alias("t")).select("t.*"), ["k", "hk"], "left_anti")
-            best = pairs.groupBy("k").agg(F.max_by("hk", F.struct("often", "hk")).alias("hk"))
-            pairs = best.select(F.least("k", "hk").alias("a"), F.greatest("k", "hk").alias("b")).distinct()
-        else:
-            open_ = now.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token")
-            left = now.join(open_, "token")
-            right = left.select("token", F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            met = left.join(right, "token").where((F.col("k") < F.col("k2")) & (F.col("c") != F.col("c2")) & _fits("n", "n2", percent))
-            pairs = met.select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct()
-            if tried is not None:
-                pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        done = settle(overlaps(settle(pairs), sets, percent))
-        tried = done if tried is None else tried.unionByName(done)
-        of = components(tried.where("linked").select("a", "b"))
-    return of
+    head = F.min_by(F.struct("k", "n"), F.struct("own", "k"))
+    heads = rows.groupBy("token").agg(head.alias("h")).select("token", F.col("h.k").alias("hk"), F.col("h.n").alias("hn"))
+    met = rows.join(heads, "token").where((F.col("k") != F.col("hk")) & _fits("n", "hn", percent)).groupBy("k", "hk").agg(F.count("*").alias("often"))
+    best = met.groupBy("k").agg(F.max_by("hk", F.struct("often", "hk")).alias("hk"))
+    pairs = best.select(F.least("k", "hk").alias("a"), F.greatest("k", "hk").alias("b")).distinct()
+    first = settle(overlaps(settle(pairs), sets, percent))
+    of = components(first.where("linked").select("a", "b")).withColumnsRenamed({"node": "k", "component": "c"})
+
+    now = settle(rows.select("token", "k", "n").join(of, "k", "left").withColumn("c", F.coalesce("c", "k")))
+    open_ = settle(now.groupBy("token").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token", "size"))
+    few = now.join(open_.where(F.col("size") <= PAIR_GROUP), "token").select("token", "k", "n", "c")
+    other = few.select("token", F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+    near = few.join(other, "token").where((F.col("k") < F.col("k2")) & (F.col("c") != F.col("c2")) & _fits("n", "n2", percent))
+    pairs = near.select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    found = overlaps(settle(pairs), sets, percent).where("linked").select("a", "b")
+    blocks = _block_links(settle(now.join(open_.where(F.col("size") > PAIR_GROUP), "token").select("token", "k", "c")), sets, percent)
+    return components(first.where("linked").select("a", "b").unionByName(found).unionByName(blocks))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -65,6 +65,24 @@ def test_jaccard_components_are_those_of_all_pairs(docs):
     assert jaccard.near_duplicates(docs([])).count() == 0
 
 
+def test_jaccard_by_blocks_is_the_same(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIR_GROUP", 1)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 3)
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):  # edits of one text, about half of the pairs below the bound
+        t = list(base)
+        for _ in range(rnd.randint(0, 6)):
+            t[rnd.randrange(len(t))] = f"x{rnd.randrange(1000)}"
+        texts.append(" ".join(t))
+    texts += corpus(2)
+    sets = [shingles(t) for t in texts]
+    linked = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = rows_by(jaccard.near_duplicates(docs(texts)), "doc_id")
+    assert [got[i]["component_id"] for i in range(len(texts))] == classes(len(texts), linked)
+
+
 def test_jaccard_takes_null_and_repeated_ids(docs):
     same = "a b c d e f g h"
     got = jaccard.near_duplicates(docs([(5, same), (5, same), (None, same), (7, same), (9, None)])).collect()

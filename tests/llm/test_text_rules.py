@@ -132,7 +132,9 @@ def all_segments(scores, drift):
 def test_segments_are_the_maximal_ones():
     rnd = random.Random(4)
     for _ in range(200):
+        # Odd values, so that no two runs have the same sum.
         scores = [rnd.choice([-0.15, -0.15, -0.15, 1.3, 0.7, 2.9, -2.1]) for _ in range(rnd.randint(0, 25))]
+        scores = [s if s == -0.15 else s + rnd.random() / 100 for s in scores]
         got = toxicity.segments([(i, s) for i, s in enumerate(scores) if s != -0.15], -0.15)
         want = all_segments(scores, -0.15)
         assert len(got) == len(want)
