@@ -12,10 +12,21 @@ from jobtide.functions.scalars import is_terminal, seconds_between
 from jobtide.operators.sliced import SLICE_SECONDS, with_neighbour, with_running_sum
 
 
+def step_order(status: Column | str = "status") -> Column:
+    """Place of a status inside one instant: a task is queued before it runs, and runs before it is done."""
+    name = F.col(status) if isinstance(status, str) else status
+    return F.when(name == S.QUEUED, 0).when(name == S.RUNNING, 1).otherwise(2)
+
+
+def _tied(history: DataFrame) -> DataFrame:
+    """``history`` with the text that orders rows of one instant: the step, then the id."""
+    return history.withColumn("_tie", F.concat(step_order().cast("string"), F.col("id").cast("string")))
+
+
 def current_state(history: DataFrame) -> DataFrame:
     """Latest row per task as ``task_id, status, occurred_at, id``. An aggregate, not a window: each map
     task sends one row per task id, so a task with very many rows costs no more than another."""
-    last = F.max(F.struct("occurred_at", "id", "status")).alias("last")
+    last = F.max(F.struct("occurred_at", step_order().alias("step"), "id", "status")).alias("last")
     return history.groupBy("task_id").agg(last).select("task_id", "last.status", "last.occurred_at", "last.id")
 
 
@@ -27,28 +38,28 @@ def task_timeline(history: DataFrame) -> DataFrame:
 def transitions(history: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Adds ``prev_status, prev_at, gap_seconds`` (NULL in the first row of a task)."""
     seen = with_neighbour(
-        history,
+        _tied(history),
         ["task_id"],
         "occurred_at",
-        "id",
+        "_tie",
         {"prev_status": "status", "prev_at": "occurred_at"},
         slice_seconds=slice_seconds,
     )
-    return seen.withColumn("gap_seconds", seconds_between("prev_at", "occurred_at"))
+    return seen.drop("_tie").withColumn("gap_seconds", seconds_between("prev_at", "occurred_at"))
 
 
 def next_transitions(history: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Adds ``next_status, next_at, gap_seconds`` (NULL in the last row of a task)."""
     seen = with_neighbour(
-        history,
+        _tied(history),
         ["task_id"],
         "occurred_at",
-        "id",
+        "_tie",
         {"next_status": "status", "next_at": "occurred_at"},
         forward=True,
         slice_seconds=slice_seconds,
     )
-    return seen.withColumn("gap_seconds", seconds_between("occurred_at", "next_at"))
+    return seen.drop("_tie").withColumn("gap_seconds", seconds_between("occurred_at", "next_at"))
 
 
 def is_legal(previous: Column, status: Column) -> Column:
@@ -72,28 +83,28 @@ def transition_matrix(history: DataFrame) -> DataFrame:
 def with_cycle(history: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Adds ``cycle``: how many terminal rows the task had before this row."""
     return with_running_sum(
-        history,
+        _tied(history),
         ["task_id"],
         "occurred_at",
-        "id",
+        "_tie",
         is_terminal("status").cast("int"),
         "cycle",
         inclusive=False,
         slice_seconds=slice_seconds,
-    )
+    ).drop("_tie")
 
 
 def attempts(history: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Adds ``attempt``: how often the task was set running so far in its cycle, this row included."""
     return with_running_sum(
-        with_cycle(history, slice_seconds),
+        _tied(with_cycle(history, slice_seconds)),
         ["task_id", "cycle"],
         "occurred_at",
-        "id",
+        "_tie",
         (F.col("status") == S.RUNNING).cast("int"),
         "attempt",
         slice_seconds=slice_seconds,
-    )
+    ).drop("_tie")
 
 
 def queue_wait(history: DataFrame) -> DataFrame:

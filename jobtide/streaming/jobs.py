@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from jobtide import schemas as S
 from jobtide.functions.scalars import event_month
 from jobtide.operators import ingest, lookups, metrics, transitions
+from jobtide.operators.history import step_order
 from jobtide.sources import messages as M
 from jobtide.sources import tables
 from jobtide.streaming.sinks import read_batches, start, write_batch
@@ -188,7 +189,7 @@ def stream_messages(
 def stream_current_state(history: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Latest status per task as a native streaming aggregate: each batch writes the tasks it changed,
     ``current_from_changes`` folds the batches."""
-    last = F.max(F.struct("occurred_at", "id", "status")).alias("last")
+    last = F.max(F.struct("occurred_at", step_order().alias("step"), "id", "status")).alias("last")
     state = history.groupBy("task_id").agg(last).select("task_id", "last.status", "last.occurred_at", "last.id")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -198,7 +199,7 @@ def stream_current_state(history: DataFrame, path: str, checkpoint: str, trigger
 
 
 def current_from_changes(spark: SparkSession, path: str) -> DataFrame:
-    last = F.max(F.struct("occurred_at", "id", "status")).alias("last")
+    last = F.max(F.struct("occurred_at", step_order().alias("step"), "id", "status")).alias("last")
     changes = spark.read.parquet(path)
     return changes.groupBy("task_id").agg(last).select("task_id", "last.status", "last.occurred_at", "last.id")
 
