@@ -193,8 +193,11 @@ def latency_percentiles(
     )
     # At most one cut per percentile and group. Looked up by group, so that rows of a busy group's other cuts
     # do not travel to one place just to be dropped there.
-    wanted = targets.groupBy("_g").agg(F.collect_set("cut").alias("wanted"))
-    inside = placed.join(settled(wanted), "_g").where(F.array_contains("wanted", F.col("cut"))).drop("wanted")
+    if keys:
+        wanted = targets.groupBy("_g").agg(F.collect_set("cut").alias("wanted"))
+        inside = placed.join(settled(wanted), "_g").where(F.array_contains("wanted", F.col("cut"))).drop("wanted")
+    else:
+        inside = placed.where(F.col("cut").isin([r["cut"] for r in targets.select("cut").distinct().collect()]))
     values = inside.groupBy("_g", "cut", "_v").agg(F.count("*").alias("rows"))
     upto = Window.partitionBy("_g", "cut").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     values = values.withColumn("seen", F.sum("rows").over(upto))
