@@ -30,12 +30,11 @@ _EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003030000000000") + bytes(4)
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(data: Column) -> Column:
-    """Bare upper-case base32 SHA-1 of a binary column, by built-in functions: five bytes are eight letters."""
-    hexed = F.sha1(data)
+def base32_of_hex(digest: Column) -> Column:
+    """Bare upper-case base32 of a digest of 40 hex digits, by built-in functions: five bytes are eight letters."""
     letters = []
     for five in range(4):
-        value = F.conv(F.substring(hexed, 10 * five + 1, 10), 16, 10).cast("long")
+        value = F.conv(F.substring(digest, 10 * five + 1, 10), 16, 10).cast("long")
         letters += [F.substring(F.lit(_BASE32), F.shiftright(value, 35 - 5 * k).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for k in range(8)]
     return F.concat(*letters)
 
@@ -79,9 +78,9 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     come from Spark's own writer, so a repeated task leaves no half archives."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), payload.alias("payload"))
-    rows = rows.select("*", F.octet_length("payload").cast("long").alias("size"), base32_sha1(F.col("payload")).alias("digest"))
-    first = rows.groupBy("digest").agg(F.max("page").alias("stored"))
-    joined = rows.join(first, "digest")
+    rows = rows.select("*", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("hex"))
+    first = rows.groupBy("hex").agg(F.max("page").alias("stored"))
+    joined = rows.join(first, "hex").withColumn("digest", base32_of_hex(F.col("hex")))
     revisit = (F.col("size") >= min_revisit) & ~F.col("page").eqNullSafe(F.col("stored"))
     joined = joined.select("page", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "size", F.when(revisit, F.col("stored")).alias("refers_to"))
 
