@@ -34,7 +34,9 @@ class WordIds:
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
         steps = (told["normalizer"] or {}).get("normalizers", [])
-        self.by_chunk = any(s.get("type") == "Lowercase" for s in steps) and any(s.get("type") == "Replace" and s["content"] == " " for s in steps) and any(
+        #: Special tokens are looked for in the raw text, so other spellings of them must reach the library as they are.
+        self.special = [t["content"].lower() for t in told.get("added_tokens", [])]
+        self.by_chunk = not any(c.isspace() for t in self.special for c in t) and any(s.get("type") == "Lowercase" for s in steps) and any(s.get("type") == "Replace" and s["content"] == " " for s in steps) and any(
             s.get("behavior") == "Removed" and "\\s" in s["pattern"]["Regex"] for s in told["pre_tokenizer"].get("pretokenizers", [])
         )
         self.library = Tokenizer.from_file(path)
@@ -43,12 +45,13 @@ class WordIds:
         self.known = Memo(self._chunk, limit)
 
     def _chunk(self, chunk: str) -> bytes:
-        """A chunk the cache has not seen. Cuts at punctuation behind a letter or digit are cuts of the vocabulary too, and
-        its letters are lower case, so rare chunks are put together from commoner ones."""
+        """A chunk the cache has not seen. Cuts at punctuation behind an ASCII letter or digit are cuts of the vocabulary too
+        (others may be taken apart by NFC, or be no letter to the library), and its letters are lower case,
+        so rare chunks are put together from commoner ones."""
         word = chunk.rstrip(_PUNCTUATION)
-        if word != chunk and word and word[-1].isalnum() and len(word[-1].lower()) == 1:
+        if word != chunk and word and word[-1].isascii() and word[-1].isalnum():
             return self.known[word] + self.known[chunk[len(word) :]]
-        if chunk.isascii() and (lower := chunk.lower()) != chunk:
+        if chunk.isascii() and (lower := chunk.lower()) != chunk and not any(t in lower for t in self.special):
             return self.known[lower]
         return self._encode(chunk)
 

@@ -103,6 +103,15 @@ def test_word_ids_by_chunks_are_those_of_whole_texts():
         assert words.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
+def test_word_ids_of_special_spellings_and_letters_that_nfc_takes_apart():
+    library, words, rnd = Tokenizer.from_file(WORDS), packing.WordIds(WORDS), random.Random(7)
+    texts = ["<|ENDOFTEXT|>", "<|EndOfText|>", "A<|endoftext|>B", "X<|STARTOFTEXT|>.", "\u0958.", "\u095f!?", "\ufb2a,", "\ufb4e).", "e\u0301.", "\u212b;"]
+    parts = ["a", "B", " ", ".", ",", ")", "\u0958", "\u095c", "\ufb2a", "\ufb1d", "\u2126", "\u0344", "<|", "|>", "EndOfText", "endoftext", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    texts += ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 20))) for _ in range(2000)]
+    for text in texts:
+        assert words.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
 def test_packing_is_gapless_complete_and_tight(docs):
     library = Tokenizer.from_file(WORDS)
     texts = [*EDGES, *["word " * n for n in (1, 5, 60, 100, 900, 4094, 4095, 4096, 4097, 9000)], *["tie"] * 400]
