@@ -50,7 +50,8 @@ class Model:
         return next((self.weights[f] for f in features(token) if f in self.weights), None)
 
     def scorer(self):
-        return Memo(self.score).__getitem__
+        """A cached ``score`` of tokens as the text has them; they are lower-cased one by one, so that places stay those of the text."""
+        return Memo(lambda token: self.score(token.lower())).__getitem__
 
 
 def segments(scores: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
@@ -79,7 +80,7 @@ def segments(scores: list[tuple[int, float]], drift: float = DRIFT) -> list[tupl
 
 def evidence(text: str, model: Model, score) -> tuple[float, int, list[tuple[int, int, float]]]:
     """``(evidence, tokens, segments)``: minus the summed log of the segments' E-values in a text of so many tokens."""
-    tokens = _TOKEN(text.lower())
+    tokens = _TOKEN(text)
     scores = [(i, s) for i, s in enumerate(map(score, tokens)) if s is not None]
     found = segments(scores) if scores else []
     n = max(len(tokens), 1)
@@ -107,7 +108,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         by = (Counter(), Counter())
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by[toxic > 0].update({f for t in set(_TOKEN(text.lower())) for f in features(t)})
+            by[toxic > 0].update({f for t in {t.lower() for t in set(_TOKEN(text))} for f in features(t)})
         tokens = list(by[0].keys() | by[1].keys())
         return pa.record_batch([pa.array(tokens, "string"), *(pa.array([c[t] for t in tokens], "int64") for c in by)], ["token", "clean", "toxic"])
 
@@ -141,7 +142,7 @@ def calibrate(rows: DataFrame, model: Model) -> Model:
     def look(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, score = [], model.scorer()
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tokens = _TOKEN(text.lower())
+            tokens = _TOKEN(text)
             hits = [(i, s) for i, s in enumerate(map(score, tokens)) if s is not None]
             out.append((int(toxic > 0), len(tokens), len(hits), sum(s for _, s in hits), [s for *_, s in segments(hits)]))
         cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())), strict=True)]
@@ -197,10 +198,8 @@ def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_co
             scores.append(probability(math.log1p(x), model))
             kept = [(a, b, model.k * n * math.exp(-model.decay * s)) for a, b, s in found]
             kept = [p for p in kept if p[2] <= MAX_E]
-            # Lower-casing may change the length of a text, so places are looked up in the text itself.
             spans = [m.span() for m in _SPANS(text)] if kept else []
-            fits = len(spans) == n
-            passages.append([{"start": spans[a][0], "end": spans[b][1], "e_value": e} for a, b, e in kept] if fits else [])
+            passages.append([{"start": spans[a][0], "end": spans[b][1], "e_value": e} for a, b, e in kept])
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("e_value", pa.float64())]))
         return pa.record_batch([batch.column(0), pa.array(scores, "float64"), pa.array(passages, kind)], ["id", "score", "passages"])
 

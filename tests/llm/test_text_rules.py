@@ -162,6 +162,23 @@ def test_toxicity_learns_from_labels_only(spark, docs):
     assert toxicity.score_documents(docs([]), model).count() == 0
 
 
+def test_passages_of_texts_that_lower_casing_would_cut_otherwise(spark, docs):
+    rnd = random.Random(8)
+    plain = ["tree", "river", "cloud", "stone", "field", "water", "light", "house"]
+    texts = [" ".join(rnd.choice(plain) for _ in range(40)) for _ in range(300)]
+    for i in range(0, 300, 5):
+        texts[i] = texts[i].replace("tree", "vileword", 3) + " vileword"
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    known = "cloud vileword İvileword"
+    long = "İstanbul river " + "stone " * 400 + "VILEWORD Vileword vileword vileword" + " cloud" * 400 + " vileword vileword vileword vileword İ"
+    df = docs([*texts, known, long])
+    model = toxicity.learn(df, labels.where(~toxicity.held_out()))
+    got = rows_by(toxicity.score_documents(df, model), "doc_id")
+    assert [known[p["start"] : p["end"]] for p in got[300]["passages"]] == ["vileword"]
+    found = [long[p["start"] : p["end"]] for p in got[301]["passages"]]
+    assert found == ["VILEWORD Vileword vileword vileword", "vileword vileword vileword vileword"]
+
+
 def test_span_digest_of_no_spans(docs):
     got = pii.find_spans(docs([""])).select(F.sha2(pii.listed(F.col("base")), 256).alias("h")).first()
     assert got["h"] == hashlib.sha256(b"").hexdigest()
