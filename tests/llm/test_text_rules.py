@@ -99,6 +99,40 @@ def test_contexts_find_what_the_patterns_miss(spark, docs):
     assert all(got[i]["s"] == spans(seeds[i]) for i in range(12))
 
 
+def listed_spans(docs, texts):
+    got = rows_by(pii.find_spans(docs(texts)).select("doc_id", pii.listed(F.col("spans")).alias("s")), "doc_id")
+    return [got[i]["s"] for i in range(len(texts))]
+
+
+def test_numbers_written_with_blanks_are_one_identifier(docs):
+    seeds = [f"line {i} reach me under mobile number +49 (170) 555-{1000 + i} any time" for i in range(60)]
+    texts = [f"call mobile number {n}, thanks" for n in ("(555) 123-4567", "555 123 4567", "( 555 ) 1234567")]
+    for text, found, number in zip(texts, listed_spans(docs, [*seeds, *texts])[60:], ("(555) 123-4567", "555 123 4567", "555 ) 1234567"), strict=True):
+        assert found == f"phone:{text.index(number)}:{text.index(number) + len(number)}", text
+
+
+def test_contexts_may_hold_numbers(docs):
+    seeds = [f"gate 7 {word} +49 (170) 555-{1000 + i} open" for i, word in enumerate(["line"] * 12)]
+    text = "in gate 5 line 0170/5551234 there"
+    assert listed_spans(docs, [*seeds, text])[12] == "phone:15:27"
+    seeds = [f"reach room 77/1 +49 (170) 555-{1000 + i} open" for i in range(12)]
+    text = "so reach room 12/5 0170/5551234 there"
+    assert listed_spans(docs, [*seeds, text])[12] == "phone:19:31"
+
+
+def test_digit_free_addresses_seed_contexts_and_are_found_by_them(docs):
+    names = ["ann", "bob", "cid", "dan", "eve", "fay", "gus", "hal", "ida", "joe", "kim", "lea"]
+    seeds = [f"please write to mailbox {n}@example.com soon" for n in names]
+    hidden = "do write to mailbox jane(at)example.com, thanks"
+    at = hidden.index("jane")
+    found = listed_spans(docs, [*seeds, hidden])
+    assert found[12] == f"email:{at}:{at + len('jane(at)example.com')}"
+    assert found[:12] == [spans(s) for s in seeds]
+    # Where plain words follow as well, the context tells nothing.
+    loose = ["write to mailbox " + "".join(p) for p in zip("abcdefgh", "bcdefghi", "cdefghij", strict=True)]
+    assert listed_spans(docs, [*seeds, hidden, *loose])[12] == ""
+
+
 def test_redaction_keeps_columns_and_replaces_spans(docs):
     df = docs(["é mail a@b.de, ip 1.2.3.4!", None, "", "nothing", "a@b.de"])
     out = pii.redact(df)
