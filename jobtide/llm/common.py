@@ -66,4 +66,13 @@ def settle(df: DataFrame) -> DataFrame:
     are not tied to an executor, and later plans begin at them."""
     path = shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    rows = df.sparkSession.read.schema(df.schema).parquet(path)
+    rows.settled_at = path
+    return rows
+
+
+def forget(*settled: DataFrame) -> None:
+    """Removes the files of settled rows that nothing reads any more."""
+    for rows in settled:
+        path = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(rows.settled_at)
+        path.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,3 +1,34 @@
 """SQL counterparts of this subpackage's queries, where SQL can express them."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op11_source_divergence"] = r"""
+WITH d AS (
+ SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (
+ SELECT k, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT k) >= 30),
+langs AS (
+ SELECT lang, count(term) AS v, coalesce(sum(total), 0) AS n FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counted AS (
+ SELECT g.lang, g.source, kept.term, kept.total, coalesce(c.n, 0) AS n FROM groups g JOIN kept ON kept.lang = g.lang
+ LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL) c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+sums AS (SELECT lang, source, sum(n) AS n FROM counted GROUP BY ALL),
+p AS (
+ SELECT counted.lang, counted.source, term, counted.n AS c,
+  1 + (1000000000 * (counted.n + 5)::HUGEINT) // (sums.n + 5 * v)::HUGEINT AS p,
+  1 + (1000000000 * (total + 5)::HUGEINT) // (langs.n + 5 * v)::HUGEINT AS q
+ FROM counted JOIN sums USING (lang, source) JOIN langs ON langs.lang = counted.lang),
+found AS (
+ SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+  coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term
+   WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+ FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+ UNION ALL
+ SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q),
+ranked AS (
+ SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.llm import bpe_codec, embeddings, jaccard, packing, pii, quality, suffix, token_counts, toxicity, warc
+from jobtide.llm import bpe_codec, divergence, embeddings, jaccard, packing, pii, quality, suffix, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -78,3 +78,8 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeat_digests(documents(spark, sf_dir))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
