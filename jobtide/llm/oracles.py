@@ -32,3 +32,36 @@ ranked AS (
  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """
+
+
+def _clustering(rounds: int, clusters: int, dimensions: int) -> str:
+    """One pair of steps per round: assign every vector, then move the centroids that have some."""
+    steps = [
+        f"""x AS MATERIALIZED (
+ SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+ FROM embeddings WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dimensions}),
+c0 AS MATERIALIZED (
+ SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, x) - 1 AS INTEGER) AS cluster, x AS c FROM x
+ QUALIFY cluster < {clusters})"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (
+ SELECT k, vec_id, x, cluster, d FROM (
+  SELECT k, vec_id, x, cluster, list_sum(list_transform(generate_series(1, {dimensions}), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS d FROM x, c{r})
+ QUALIFY row_number() OVER (PARTITION BY k ORDER BY d, cluster) = 1)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""m{r} AS MATERIALIZED (
+ SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (
+  SELECT cluster, i, sum(e) AS s, count(*) AS n FROM (SELECT cluster, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY ALL)
+ GROUP BY cluster),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (cluster))"""
+            )
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+ CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
+ORACLES["op13_centroid_clustering"] = _clustering(10, 8, 64)
