@@ -36,6 +36,11 @@ def plus_seconds(ts: str | Column, seconds: str | Column) -> Column:
     return col(ts) + F.make_dt_interval(secs=col(seconds).cast("decimal(18,6)"))
 
 
+def seq_of(df: DataFrame) -> Column:
+    """How many state changes a task row has had, or the ordinal of a log row; 0 where that is not kept."""
+    return F.coalesce(F.col("seq"), F.lit(0)).cast("bigint") if "seq" in df.columns else F.lit(0).cast("bigint")
+
+
 def backoff_seconds(retry_count: str | Column) -> Column:
     """Delay before the next attempt, from the count before it is raised."""
     grown = F.lit(float(S.BACKOFF_BASE_SECONDS)) * F.pow(F.lit(2.0), col(retry_count))

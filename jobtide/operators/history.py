@@ -8,31 +8,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide import schemas as S
-from jobtide.functions.scalars import is_terminal, seconds_between
+from jobtide.functions.scalars import is_terminal, seconds_between, seq_of
 from jobtide.operators.sliced import SLICE_SECONDS, with_neighbour, with_running_sum
 
 
-def step_order(status: Column | str = "status") -> Column:
-    """Place of a status inside one instant: a task is queued before it runs, and runs before it is done."""
-    name = F.col(status) if isinstance(status, str) else status
-    return F.when(name == S.QUEUED, 0).when(name == S.RUNNING, 1).otherwise(2)
+def log_order(history: DataFrame) -> list[Column]:
+    """The one order of a task's rows: time, then the ordinal that its state change gave it, then the id. Rows without
+    an ordinal, as foreign logs have them, come first in their instant."""
+    return [F.col("occurred_at"), seq_of(history).alias("seq"), F.col("id")]
 
 
 def _tied(history: DataFrame) -> DataFrame:
-    """``history`` with the text that orders rows of one instant: the step, then the id."""
-    return history.withColumn("_tie", F.concat(step_order().cast("string"), F.col("id").cast("string")))
+    """``history`` with what orders rows of one instant."""
+    return history.withColumn("_tie", F.struct(*log_order(history)[1:]))
 
 
-def current_state(history: DataFrame) -> DataFrame:
-    """Latest row per task as ``task_id, status, occurred_at, id``. An aggregate, not a window: each map
+def latest(history: DataFrame) -> DataFrame:
+    """Latest row per task as ``task_id, status, occurred_at, seq, id``. An aggregate, not a window: each map
     task sends one row per task id, so a task with very many rows costs no more than another."""
-    last = F.max(F.struct("occurred_at", step_order().alias("step"), "id", "status")).alias("last")
-    return history.groupBy("task_id").agg(last).select("task_id", "last.status", "last.occurred_at", "last.id")
+    last = F.max(F.struct(*log_order(history), "status")).alias("last")
+    return history.groupBy("task_id").agg(last).select("task_id", "last.status", "last.occurred_at", "last.seq", "last.id")
+
+
+def current_state(history: DataFrame) -> DataFrame:
+    """Latest row per task as ``task_id, status, occurred_at, id``."""
+    return latest(history).drop("seq")
 
 
 def task_timeline(history: DataFrame) -> DataFrame:
-    """Rows by task, then time. Range partitioning on all three columns may cut one task's rows apart."""
-    return history.orderBy("task_id", "occurred_at", "id")
+    """Rows by task, then log order. Range partitioning on all columns may cut one task's rows apart."""
+    return history.orderBy("task_id", *log_order(history))
 
 
 def transitions(history: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
@@ -133,7 +138,7 @@ def e2e_latency(history: DataFrame, tasks: DataFrame | None = None) -> DataFrame
         .groupBy("task_id", "cycle")
         .agg(
             F.min(F.when(F.col("status") == S.QUEUED, F.col("occurred_at"))).alias("created_at"),
-            F.min(F.when(is_terminal("status"), F.struct("occurred_at", "id", "status"))).alias("done"),
+            F.min(F.when(is_terminal("status"), F.struct(*log_order(history), "status"))).alias("done"),
         )
         .where("created_at IS NOT NULL AND done IS NOT NULL")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide import schemas as S
-from jobtide.functions.scalars import blank_to_null, instant, null_to_blank, quoted, surrogate_id
+from jobtide.functions.scalars import blank_to_null, instant, null_to_blank, quoted, seq_of, surrogate_id
 from jobtide.operators.skew import lookup_by_key
 from jobtide.sources.tables import outbox_rows
 
@@ -34,6 +34,7 @@ def apply_request_defaults(req: DataFrame, as_of: str | datetime | Column, ts_ty
             "created_at": at,
             "updated_at": at,
             "run_after": at,
+            "seq": F.lit(1).cast("bigint"),
         }
     )
 
@@ -159,12 +160,15 @@ class CreateResult:
 
 
 def history_rows(tasks: DataFrame, status: str | Column, at: Column, id: str = "id") -> DataFrame:
+    """Log rows of ``tasks`` as they are after a state change: their ``seq`` tells rows of one instant apart."""
     state = F.lit(status) if isinstance(status, str) else status
+    seq = seq_of(tasks)
     return tasks.select(
-        surrogate_id(id, state, at).alias("id"),
+        surrogate_id(id, state, at, seq).alias("id"),
         F.col(id).alias("task_id"),
         state.alias("status"),
         at.alias("occurred_at"),
+        seq.alias("seq"),
     )
 
 
@@ -193,7 +197,7 @@ def _create_valid(
     ready = apply_request_defaults(valid, as_of, ts_type)
     resolved = resolve_idempotency(ready, tasks, order, prune_stored=prune_stored)
     outcomes = resolved.select("id", "code", "message", "task_id", "outcome")
-    new = resolved.where(F.col("outcome") == "CREATED").select(*S.TASK_COLUMNS)
+    new = resolved.where(F.col("outcome") == "CREATED").select(*S.TASK_COLUMNS, "seq")
     at = instant(new, "created_at", as_of)
     return CreateResult(outcomes, new, history_rows(new, S.QUEUED, at), outbox_rows(new, as_of))
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from jobtide.functions.scalars import micros
+from jobtide.operators.skew import settled
 
 # Short enough that a key with a third of a very large log still gives slices one task can sort; long
 # enough that a common task, done within minutes, has one slice or two.
@@ -66,6 +67,18 @@ def with_neighbour(
     return seen.where(~F.col(_CARRY)).drop(_SLICE, _CARRY)
 
 
+def with_place(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """Adds the place from 1 of every row among those of its key by ``order`` (no ties). Rows are cut into ranges of
+    ``(key, order)`` and numbered there; a key that spans ranges moves on by the counts of the ranges before, one row each."""
+    cut = df.repartitionByRange(key, order).withColumn(_SLICE, F.spark_partition_id())
+    rows = settled(cut)
+    inside = F.row_number().over(Window.partitionBy(_SLICE, key).orderBy(order))
+    earlier = Window.partitionBy(key).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(_SLICE, key).agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(earlier))
+    moved = rows.withColumn("_inside", inside).join(counts.where("_before > 0").drop("_n"), [_SLICE, key], "left")
+    return moved.withColumn(name, F.col("_inside") + F.coalesce("_before", F.lit(0))).drop(_SLICE, "_inside", "_before")
+
+
 def with_running_sum(
     df: DataFrame,
     keys: list[str],

@@ -11,13 +11,17 @@ from pyspark.sql.types import MapType
 from pyspark.sql.window import Window
 
 from jobtide import schemas as S
-from jobtide.functions.scalars import backoff_seconds, can_retry, deadline, instant, plus_seconds, surrogate_id
+from jobtide.functions.jsontext import encode_payload
+from jobtide.functions.scalars import backoff_seconds, can_retry, deadline, instant, plus_seconds, seq_of, surrogate_id
 from jobtide.operators.ingest import history_rows
+from jobtide.operators.sliced import with_place
 from jobtide.sources.tables import outbox_rows
 
 AsOf = str | datetime | Column
 
-CHANGED = ("status", "retry_count", "updated_at", "run_after")
+#: ``seq`` counts the changes of a task: it rises with every change, also between calls at one instant, and the
+#: log row of a change carries it, so the fold of the log always ends where the table does.
+CHANGED = ("status", "retry_count", "updated_at", "run_after", "seq")
 
 
 @dataclass(frozen=True)
@@ -32,12 +36,31 @@ class TransitionResult:
     dlq_after: DataFrame | None = None
 
 
-def apply_transitions(tasks: DataFrame, delta: DataFrame) -> DataFrame:
+def next_seq(tasks: DataFrame) -> Column:
+    """Ordinal of the next change of a task."""
+    return (seq_of(tasks) + 1).alias("seq")
+
+
+def last_rows(delta: DataFrame) -> DataFrame:
+    """One row per id: the latest by ``seq``, then by ``updated_at``; rows alike in both are told apart by their other
+    values, so the choice never depends on where a row stood. Maps are compared as text."""
+    columns = [c for c in delta.columns if c != "id"]
+    if not columns:
+        return delta.distinct()
+    rest = [c for c in columns if c not in ("seq", "updated_at")]
+    plain = [encode_payload(c).alias(c) if isinstance(delta.schema[c].dataType, MapType) else F.col(c) for c in rest]
+    order = F.struct(seq_of(delta).alias("seq"), *[c for c in ("updated_at",) if c in columns], *plain)
+    return delta.groupBy("id").agg(F.max_by(F.struct(*columns), order).alias("_row")).select("id", "_row.*")
+
+
+def apply_transitions(tasks: DataFrame, delta: DataFrame, unique: bool = False) -> DataFrame:
     """``tasks`` with the rows of ``delta`` taking over its columns. An id that is given twice, as at-least-once
-    delivery may do, counts once: the greatest of its rows."""
+    delivery may do, counts once: the latest of its rows (``last_rows``). ``unique`` says that no id is, which spares
+    an aggregation. A table without ``seq`` gets one when the delta brings it."""
     columns = [c for c in delta.columns if c != "id"]
-    if columns and not any(isinstance(delta.schema[c].dataType, MapType) for c in columns):
-        delta = delta.groupBy("id").agg(F.max(F.struct(*columns)).alias("_row")).select("id", "_row.*")
+    delta = delta if unique else last_rows(delta)
+    if "seq" in columns and "seq" not in tasks.columns:
+        tasks = tasks.withColumn("seq", seq_of(tasks))
     changed = delta.select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns])
     joined = tasks.join(changed, "id", "left")
     return joined.select(
@@ -53,11 +76,13 @@ def unmatched(delta: DataFrame, tasks: DataFrame) -> DataFrame:
     return delta.select("id").distinct().join(tasks.select("id"), "id", "left_anti")
 
 
-def last_update(updates: DataFrame, order: str | None = None) -> DataFrame:
-    """One update per id: the one with the highest ``order``, or the greatest text without an order."""
+def accepted_updates(updates: DataFrame, order: str | None = None) -> DataFrame:
+    """``id, status, place``: the updates that count, numbered from 1 per id in their ``order``. Updates of one id with the
+    same order, repeated ones among them, are one: the greatest text. Without an order there is one per id."""
     if order is None:
-        return updates.groupBy("id").agg(F.max("status").alias("status"))
-    return updates.groupBy("id").agg(F.max_by("status", order).alias("status"))
+        return updates.groupBy("id").agg(F.max("status").alias("status")).withColumn("place", F.lit(1).cast("bigint"))
+    once = updates.groupBy("id", F.col(order).alias("_order")).agg(F.max("status").alias("status"))
+    return with_place(once, "id", "_order", "place").drop("_order")
 
 
 def claimable(tasks: DataFrame, as_of: AsOf) -> DataFrame:
@@ -80,7 +105,7 @@ def claim(tasks: DataFrame, k: int, as_of: AsOf, workers: int = 1) -> Transition
     """The next ``k`` tasks set running; ``dispatch_delta`` holds them with their ``worker``."""
     chosen = assign_workers(claim_topk(tasks, k, as_of), workers)
     at = instant(tasks, "updated_at", as_of)
-    moved = chosen.withColumns({"status": F.lit(S.RUNNING), "updated_at": at})
+    moved = chosen.withColumns({"status": F.lit(S.RUNNING), "updated_at": at, "seq": next_seq(chosen)})
     return TransitionResult(
         tasks_delta=moved.select("id", *CHANGED),
         history_delta=history_rows(moved, S.RUNNING, at),
@@ -91,11 +116,15 @@ def claim(tasks: DataFrame, k: int, as_of: AsOf, workers: int = 1) -> Transition
 def set_status(
     tasks: DataFrame, updates: DataFrame, as_of: AsOf, with_history: bool = True, order: str | None = None
 ) -> TransitionResult:
-    """Any text is taken as a status and the old status is not looked at."""
+    """Any text is taken as a status and the old status is not looked at. The updates of one id take effect one after the
+    other in their ``order``: each accepted one has its log row, and the last one stays in the table."""
     at = instant(tasks, "updated_at", as_of)
-    known = updates.join(tasks.select("id"), "id", "left_semi")
-    delta = last_update(known, order).withColumn("updated_at", at)
-    log = history_rows(known, F.col("status"), at) if with_history else None
+    old = tasks.select("id", seq_of(tasks).alias("_seq"))
+    done = accepted_updates(updates, order).join(old, "id")
+    done = done.withColumn("seq", F.col("_seq") + F.col("place")).select("id", "status", "seq")
+    last = done.groupBy("id").agg(F.max(F.struct("seq", "status")).alias("r"))
+    delta = last.select("id", "r.status", at.alias("updated_at"), "r.seq")
+    log = history_rows(done, F.col("status"), at) if with_history else None
     return TransitionResult(delta, log, not_found=unmatched(updates, tasks))
 
 
@@ -106,6 +135,7 @@ def _requeued(rows: DataFrame, as_of: AsOf, run_after: Column) -> DataFrame:
             "status": F.lit(S.QUEUED),
             "retry_count": F.col("retry_count") + 1,
             "updated_at": instant(rows, "updated_at", as_of),
+            "seq": next_seq(rows),
         }
     )
 
@@ -156,9 +186,9 @@ def dlq_snapshot(failures: DataFrame, tasks: DataFrame, as_of: AsOf) -> tuple[Da
 def dead_letter(tasks: DataFrame, failures: DataFrame, as_of: AsOf, with_history: bool = True) -> TransitionResult:
     snapshot, missing = dlq_snapshot(failures, tasks, as_of)
     at = instant(tasks, "updated_at", as_of)
-    moved = tasks.join(failures.select("id"), "id", "left_semi")
+    moved = tasks.join(failures.select("id"), "id", "left_semi").withColumn("seq", next_seq(tasks))
     return TransitionResult(
-        moved.select("id", F.lit(S.DEAD_LETTERED).alias("status"), at.alias("updated_at")),
+        moved.select("id", F.lit(S.DEAD_LETTERED).alias("status"), at.alias("updated_at"), "seq"),
         history_rows(moved, S.DEAD_LETTERED, at) if with_history else None,
         dlq_delta=snapshot,
         not_found=missing,
@@ -186,6 +216,7 @@ def reap(tasks: DataFrame, as_of: AsOf) -> TransitionResult:
             "retry_count": F.when(again, F.col("retry_count") + 1).otherwise(F.col("retry_count")),
             "run_after": F.when(again, instant(tasks, "run_after", as_of)).otherwise(F.col("run_after")),
             "updated_at": at,
+            "seq": next_seq(tasks),
         }
     )
     return TransitionResult(
@@ -208,6 +239,7 @@ def dlq_retry(dlq: DataFrame, tasks: DataFrame, dlq_ids: DataFrame, as_of: AsOf)
             "retry_count": F.lit(0),
             "updated_at": at,
             "run_after": instant(tasks, "run_after", as_of),
+            "seq": next_seq(tasks),
         }
     )
     served = targets.join(tasks.select("id"), "id", "left_semi").select(F.col("dlq_id").alias("id"))
@@ -246,6 +278,7 @@ def route_outcomes(tasks: DataFrame, results: DataFrame, as_of: AsOf) -> Transit
             "status": F.when(again, S.QUEUED).otherwise(F.col("outcome")),
             "retry_count": F.when(again, F.col("retry_count") + 1).otherwise(F.col("retry_count")),
             "updated_at": at,
+            "seq": next_seq(tasks),
         }
     )
     return TransitionResult(

@@ -130,6 +130,16 @@ ORACLES["request_parse"] = ORACLES["request_parse"].replace(
 ORACLES["message_parse_fields"] = ORACLES["message_parse_fields"].replace(
     "json_extract_string(task_value", "json_extract_string(CASE WHEN json_valid(task_value) THEN task_value END"
 )
+add(
+    "request_key_case",
+    "messages",
+    "SELECT event_id, event_id % 4 <> 3 AS json_ok,"
+    " concat(CASE event_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE 'd' END, CAST(event_id AS VARCHAR)) AS name,"
+    " CASE event_id % 4 WHEN 1 THEN 'run_query' WHEN 3 THEN '5' ELSE 'noop' END AS type,"
+    " CAST(CASE event_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 0 END AS INT) AS priority,"
+    " CAST(CASE event_id % 4 WHEN 2 THEN 9 ELSE 0 END AS INT) AS max_retries,"
+    " CASE event_id % 4 WHEN 0 THEN 'low' WHEN 2 THEN 'two' END AS payload_k FROM messages",
+)
 add(
     "metric_text_parse",
     "samples",
@@ -285,6 +295,31 @@ add(
     f" after AS (SELECT coalesce(r.status, t.status) AS status, CASE WHEN r.id IS NULL THEN t.updated_at ELSE {T} END AS updated_at"
     " FROM tasks t LEFT JOIN ranked r ON r.id = t.id AND r.rn = 1) SELECT status, updated_at, count(*) AS n FROM after GROUP BY 1, 2",
 )
+_CHANGES = (
+    "changes AS (SELECT id, p AS place, CASE WHEN p = 1 THEN 'running' WHEN p = 3 AND id % 10 = 0 THEN 'succeeded' ELSE 'queued' END AS status"
+    " FROM tasks, (VALUES (1), (2), (3)) AS t(p) WHERE id % 5 = 0)"
+)
+_LOG_ID = uuid_of("CAST(id AS VARCHAR)", "status", f"'{TASKS_AS_OF}'", "CAST(place AS VARCHAR)")
+add(
+    "set_status_repeated",
+    "tasks",
+    f", {_CHANGES} SELECT 'log' AS part, {_LOG_ID} AS id, id AS task_id, status, CAST(place AS BIGINT) AS seq FROM changes"
+    " UNION ALL SELECT 'table', NULL, id, status, CAST(3 AS BIGINT) FROM changes WHERE place = 3",
+)
+add(
+    "apply_transitions_repeated",
+    "tasks",
+    "SELECT id, CASE WHEN id % 3 = 0 THEN upper(status) ELSE status END AS status,"
+    " CASE WHEN id % 3 = 0 THEN 'new' ELSE json_extract_string(payload, '$.cust') END AS payload_cust,"
+    " CAST(CASE WHEN id % 3 = 0 THEN 2 ELSE 0 END AS BIGINT) AS seq FROM tasks",
+)
+add(
+    "fold_at_one_instant",
+    "tasks",
+    ", after AS (SELECT CASE WHEN id % 10 = 0 THEN 'succeeded' WHEN id % 5 = 0 OR id % 6 = 0 THEN 'queued' WHEN id % 3 = 0"
+    " THEN 'dead_lettered' ELSE status END AS status, id % 5 = 0 OR id % 3 = 0 AS hit FROM tasks)"
+    " SELECT status, count(*) AS n, count(*) FILTER (WHERE hit) AS moved, CAST(0 AS BIGINT) AS apart FROM after GROUP BY 1",
+)
 _BACKOFF = "CAST(least(5 * power(2, retry_count), 300) AS INT)"
 add(
     "requeue_backoff",
@@ -473,6 +508,27 @@ add(
     " WHERE ends.created_at IS NOT NULL AND finished_at IS NOT NULL",
 )
 
+_TIED = "tied AS (SELECT id, task_id, status, date_trunc('hour', occurred_at) AS occurred_at, CAST(id * 7 % 5 AS BIGINT) AS seq FROM task_history)"
+add(
+    "current_state_ties",
+    "task_history",
+    f", {_TIED} SELECT task_id, status, occurred_at, id FROM (SELECT *, row_number() OVER (PARTITION BY task_id"
+    " ORDER BY occurred_at DESC, seq DESC, id DESC) AS rn FROM tied) WHERE rn = 1",
+)
+add(
+    "audit_ties",
+    "task_history",
+    f", {_TIED}, {_STEPS.replace('occurred_at, id', 'occurred_at, seq, id').replace('task_history', 'tied')}"
+    f" SELECT id, task_id, coalesce(prev_status, 'start') AS prev_status, status FROM steps WHERE {_PAIR} NOT IN {_LEGAL}",
+)
+add(
+    "attempts_ties",
+    "task_history",
+    f", {_TIED}, {_CYCLES.replace('occurred_at, id', 'occurred_at, seq, id').replace('task_history', 'tied')}"
+    " SELECT id, task_id, status, cycle, CAST(sum(CASE WHEN status = 'running' THEN 1 ELSE 0 END) OVER"
+    " (PARTITION BY task_id, cycle ORDER BY occurred_at, seq, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS attempt FROM cycles",
+)
+
 add("terminal_counts", "tasks", f"SELECT status, status IN {_TERMINAL} AS terminal, count(*) AS n FROM tasks GROUP BY 1, 2")
 add("status_breakdown", "tasks", "SELECT status, count(*) AS n FROM tasks GROUP BY status ORDER BY status")
 add(

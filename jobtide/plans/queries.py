@@ -181,6 +181,21 @@ def request_parse(spark, sf):
     return requests.parse_requests(rows).select("event_id", "json_ok", "name", "type", "priority", F.col("payload")["k"].alias("payload_k"))
 
 
+@query
+def request_key_case(spark, sf):
+    """Request documents with key names in any case, doubled keys and doubled payload keys: the last one counts."""
+    rows = V.view(spark, sf, "messages").select("event_id", F.col("status"))
+    n = F.col("event_id").cast("string")
+    text = (
+        F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"NAME":"a'), n, F.lit('","Type":"noop","Priority":3,"PAYLOAD":{"K":"up","k":"low"}}')))
+        .when(F.col("event_id") % 4 == 1, F.concat(F.lit('{"name":"first","type":"x","Name":"b'), n, F.lit('","TYPE":"run_query","priority":1,"PRIORITY":2}')))
+        .when(F.col("event_id") % 4 == 2, F.concat(F.lit('{"name":"c'), n, F.lit('","type":"noop","payload":{"k":"one","k":"two"},"max_retries":9}')))
+        .otherwise(F.concat(F.lit('{"name":"d'), n, F.lit('","Type":5,"priority":"7"}')))
+    )
+    parsed = requests.parse_requests(rows.select("event_id", text.alias("value")))
+    return parsed.select("event_id", "json_ok", "name", "type", "priority", "max_retries", F.col("payload")["k"].alias("payload_k"))
+
+
 @query
 def metric_text_parse(spark, sf):
     """Exposition lines made from the event log, one comment and one unwanted series among them."""
@@ -264,7 +279,7 @@ def _created(spark, sf):
 
 @query
 def create_tasks(spark, sf):
-    return flat(_created(spark, sf).tasks)
+    return flat(_created(spark, sf).tasks).select(*S.TASK_COLUMNS)
 
 
 @query
@@ -359,17 +374,68 @@ def set_status(spark, sf):
     tasks = V.view(spark, sf, "tasks")
     lines = V.table(spark, sf, "lineitem")
     updates = lines.select((F.col("l_orderkey") * 2).alias("id"), F.lower("l_linestatus").alias("status"), "l_linenumber", "l_partkey")
-    seq = F.struct("l_linenumber", "l_partkey", "status")
-    delta = transitions.set_status(tasks, updates.withColumn("seq", seq), T_AS_OF, order="seq").tasks_delta
+    place = F.struct("l_linenumber", "l_partkey", "status")
+    delta = transitions.set_status(tasks, updates.withColumn("place", place), T_AS_OF, order="place").tasks_delta
     after = transitions.apply_transitions(tasks, delta)
     return metrics.counts(after, "status", "updated_at")
 
 
+def _changes(spark, sf):
+    """Three ordered status changes for some tasks, each of them delivered twice."""
+    ids = V.view(spark, sf, "tasks").where(F.col("id") % 5 == 0).select("id")
+    steps = F.array(
+        F.struct(F.lit(S.RUNNING).alias("status"), F.lit(1).alias("place")),
+        F.struct(F.lit(S.QUEUED).alias("status"), F.lit(2).alias("place")),
+        F.struct(F.when(F.col("id") % 10 == 0, S.SUCCEEDED).otherwise(S.QUEUED).alias("status"), F.lit(3).alias("place")),
+    )
+    return ids.select("id", F.explode(F.concat(steps, steps)).alias("c")).select("id", "c.status", "c.place")
+
+
+@query
+def set_status_repeated(spark, sf):
+    """Log rows and table rows of changes that came more than once."""
+    moved = transitions.set_status(V.view(spark, sf, "tasks"), _changes(spark, sf), T_AS_OF, order="place")
+    log = moved.history_delta.select(F.lit("log").alias("part"), "id", "task_id", "status", "seq")
+    table = moved.tasks_delta.select(F.lit("table").alias("part"), F.lit(None).cast("string").alias("id"), F.col("id").alias("task_id"), "status", "seq")
+    return sets.append_deltas(log, table)
+
+
+@query
+def apply_transitions_repeated(spark, sf):
+    """A delta whose rows came twice and out of date, with a map among its columns."""
+    tasks = V.tasks(spark, sf)
+    rows = tasks.where(F.col("id") % 3 == 0).select("id", F.upper("status").alias("status"), F.create_map(F.lit("cust"), F.lit("new")).alias("payload"), F.lit(2).cast("bigint").alias("seq"))
+    stale = rows.withColumns({"status": F.lit("zombie"), "payload": F.create_map(F.lit("cust"), F.lit("old")), "seq": F.lit(1).cast("bigint")})
+    after = transitions.apply_transitions(tasks, rows.unionByName(stale).unionByName(rows))
+    return after.select("id", "status", F.col("payload")["cust"].alias("payload_cust"), "seq")
+
+
+@query
+def fold_at_one_instant(spark, sf):
+    """Four state changes at one instant: the fold of their log must end where the table does, for every task."""
+    tasks, log = V.tasks(spark, sf), []
+
+    def step(moved):
+        nonlocal tasks
+        log.append(moved.history_delta)
+        tasks = transitions.apply_transitions(tasks, moved.tasks_delta)
+
+    failures = tasks.where(F.col("id") % 3 == 0).select("id", F.lit("boom").alias("error_message"))
+    lost = transitions.dead_letter(tasks, failures, T_AS_OF)
+    step(lost)
+    asked = lost.dlq_delta.where(F.col("original_task_id") % 2 == 0).select("id")
+    step(transitions.dlq_retry(lost.dlq_delta, tasks, asked, T_AS_OF))
+    step(transitions.set_status(tasks, _changes(spark, sf), T_AS_OF, order="place"))
+    folded = history.current_state(sets.append_deltas(*log)).select(F.col("task_id").alias("id"), F.col("status").alias("logged"))
+    both = tasks.join(folded, "id", "left")
+    return both.groupBy("status").agg(F.count("*").alias("n"), F.count("logged").alias("moved"), F.count_if(F.col("logged") != F.col("status")).alias("apart"))
+
+
 @query
 def requeue_backoff(spark, sf):
     tasks = V.tasks(spark, sf)
     running = tasks.where(F.col("status") == S.RUNNING).select("id")
-    return transitions.requeue(tasks, running, T_AS_OF).tasks_delta
+    return transitions.requeue(tasks, running, T_AS_OF).tasks_delta.drop("seq")
 
 
 @query
@@ -414,7 +480,7 @@ def _retried(spark, sf):
 
 @query
 def dlq_retry(spark, sf):
-    return _retried(spark, sf).tasks_delta
+    return _retried(spark, sf).tasks_delta.drop("seq")
 
 
 @query
@@ -426,7 +492,7 @@ def dlq_retry_remaining(spark, sf):
 
 @query
 def failure_route(spark, sf):
-    return transitions.route_outcomes(V.tasks(spark, sf), results(spark, sf), T_AS_OF).tasks_delta
+    return transitions.route_outcomes(V.tasks(spark, sf), results(spark, sf), T_AS_OF).tasks_delta.drop("seq")
 
 
 @query
@@ -511,6 +577,27 @@ def current_state(spark, sf):
     return history.current_state(V.view(spark, sf, "task_history"))
 
 
+def _tied(spark, sf):
+    """The log with its times cut to hours: most rows share their instant with others and go by their ordinal."""
+    log = V.view(spark, sf, "task_history")
+    return log.withColumns({"occurred_at": F.date_trunc("hour", "occurred_at").cast(NTZ), "seq": (F.col("id") * 7 % 5).cast("bigint")})
+
+
+@query
+def current_state_ties(spark, sf):
+    return history.current_state(_tied(spark, sf))
+
+
+@query
+def audit_ties(spark, sf):
+    return history.lifecycle_audit(_tied(spark, sf)).select("id", "task_id", "prev_status", "status")
+
+
+@query
+def attempts_ties(spark, sf):
+    return history.attempts(_tied(spark, sf)).select("id", "task_id", "status", "cycle", "attempt")
+
+
 @query
 def transition_steps(spark, sf):
     steps = history.transitions(V.view(spark, sf, "task_history"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide import schemas as S
+from jobtide.functions.scalars import seq_of
 from jobtide.operators.sets import append_deltas
 from jobtide.operators.transitions import AsOf, TransitionResult, apply_transitions, claim, reap, route_outcomes
 from jobtide.sources.tables import decoded, encoded
@@ -28,7 +29,7 @@ def lifecycle_tick(tasks: DataFrame, as_of: AsOf, k: int, workers: int = 1) -> T
     claimed, reaped = claim(tasks, k, as_of, workers), reap(tasks, as_of)
     delta = append_deltas(claimed.tasks_delta, reaped.tasks_delta.drop("outcome"))
     log = append_deltas(claimed.history_delta, reaped.history_delta)
-    return Tick(claimed, reaped, apply_transitions(tasks, delta), log)
+    return Tick(claimed, reaped, apply_transitions(tasks, delta, unique=True), log)
 
 
 def tick_summary(tick: Tick) -> DataFrame:
@@ -48,13 +49,13 @@ class Store:
         return f"{self.root}/{table}"
 
     def tasks(self, spark: SparkSession, version: int) -> DataFrame:
-        stored = spark.read.schema(S.stored_as_text(S.TASK)).parquet(f"{self.path('tasks')}/batch_id={version}")
+        stored = spark.read.schema(S.stored_as_text(S.STORED_TASK)).parquet(f"{self.path('tasks')}/batch_id={version}")
         return decoded(stored)
 
 
 def save_tasks(tasks: DataFrame, store: Store, version: int) -> None:
     """Rows are clustered by status, so a claim or a reap skips the row groups of finished tasks."""
-    rows = encoded(tasks.select(*S.TASK_COLUMNS)).repartitionByRange("status", "id").sortWithinPartitions("status", "id")
+    rows = encoded(tasks.select(*S.TASK_COLUMNS, seq_of(tasks).alias("seq"))).repartitionByRange("status", "id").sortWithinPartitions("status", "id")
     write_batch(rows, store.path("tasks"), version)
 
 
@@ -78,4 +79,4 @@ def run_results(spark: SparkSession, store: Store, version: int, results: DataFr
     write_batch(moved.history_delta, store.path("history"), version)
     write_batch(encoded(moved.dlq_delta), store.path("dlq"), version)
     write_batch(moved.dispatch_delta, store.path("outbox"), version)
-    save_tasks(apply_transitions(tasks, moved.tasks_delta.drop("outcome")), store, version)
+    save_tasks(apply_transitions(tasks, moved.tasks_delta.drop("outcome"), unique=True), store, version)

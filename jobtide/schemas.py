@@ -117,7 +117,8 @@ TASK = _fields(
     " created_at timestamp, updated_at timestamp, run_after timestamp"
 )
 TASK_HISTORY = _fields("id string, task_id string, status string, occurred_at timestamp")
-STORED_HISTORY = _fields("id string, task_id string, status string, occurred_at timestamp, event_month string")
+TASK_LOG = _fields("id string, task_id string, status string, occurred_at timestamp, seq bigint")
+STORED_HISTORY = _fields("id string, task_id string, status string, occurred_at timestamp, seq bigint, event_month string")
 DEAD_LETTER = _fields(
     "id string, original_task_id string, name string, type string, payload payload,"
     " priority int, retry_count int, max_retries int, timeout_seconds int, error_message string,"
@@ -136,12 +137,15 @@ TASK_MESSAGE = _fields(
     "task_id string, name string, type string, payload payload, priority int,"
     " max_retries int, timeout_seconds int, retry_count int, idempotency_key string"
 )
-HISTORY_MESSAGE = _fields("task_id string, status string, at string")
+HISTORY_MESSAGE = _fields("task_id string, status string, at string, seq bigint")
 MESSAGE_ROW = _fields(
     "key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp,"
     " headers headers"
 )
+# In storage a task also has the count of its changes and a log row the ordinal of its change; both may be absent.
+STORED_TASK = T.StructType([*TASK.fields, T.StructField("seq", T.LongType())])
 TASK_COLUMNS = tuple(TASK.fieldNames())
+LOG_COLUMNS = tuple(TASK_LOG.fieldNames())
 
 
 def stored_as_text(schema: T.StructType) -> T.StructType:

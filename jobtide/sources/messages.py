@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobtide import schemas as S
 from jobtide.functions.headers import build_headers
-from jobtide.functions.jsontext import NUMBER_FIELDS, TEXT_FIELDS, is_single, open_documents
+from jobtide.functions.jsontext import NUMBER_FIELDS, TEXT_FIELDS, open_documents
 from jobtide.functions.scalars import blank_to_null, canonical_uuid, parse_rfc3339, rfc3339, surrogate_id
 
 
@@ -50,9 +50,8 @@ def to_dlq_messages(tasks: DataFrame, error: str | Column, topic: str | None = "
 
 
 def to_history_messages(history: DataFrame, topic: str = "task-history") -> DataFrame:
-    body = F.struct(
-        F.col("task_id").cast("string").alias("task_id"), "status", rfc3339(history, "occurred_at").alias("at")
-    )
+    seq = [F.col("seq").cast("bigint").alias("seq")] if "seq" in history.columns else []
+    body = F.struct(F.col("task_id").cast("string").alias("task_id"), "status", rfc3339(history, "occurred_at").alias("at"), *seq)
     return history.select(
         F.col("task_id").cast("string").cast("binary").alias("key"),
         F.to_json(body).cast("binary").alias("value"),
@@ -78,11 +77,10 @@ def read_task_messages(messages: DataFrame) -> DataFrame:
     """Every message decoded, ``reject_reason`` NULL for the good ones."""
     texts = ("task_id", *TEXT_FIELDS)
     opened, doc = open_documents(messages, "value", texts, _COUNTS)
-    whole = doc.fits(texts) & is_single("value")
     task_id = canonical_uuid(doc.text("task_id"))
     return opened.select(
         *messages.columns,
-        F.when(~whole, "bad_json").when(task_id.isNull(), "bad_task_id").alias("reject_reason"),
+        F.when(~doc.fits(), "bad_json").when(task_id.isNull(), "bad_task_id").alias("reject_reason"),
         task_id.alias("task_id"),
         doc.blank_text("name").alias("name"),
         doc.blank_text("type").alias("type"),
@@ -103,7 +101,7 @@ def read_outbox_payloads(outbox: DataFrame) -> DataFrame:
         *kept,
         F.col("payload").alias("raw_payload"),
         F.col("task_id").alias("raw_task_id"),
-        (doc.fits(texts) & is_single("payload") & task_id.isNotNull()).alias("good"),
+        (doc.fits() & task_id.isNotNull()).alias("good"),
         task_id.alias("task_id"),
         *[doc.blank_text(f).alias(f) for f in TEXT_FIELDS],
         *[doc.number(f).alias(f) for f in NUMBER_FIELDS],
@@ -137,25 +135,25 @@ def parse_task_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_history_messages(messages: DataFrame) -> DataFrame:
     """Every event decoded. A time that does not parse is replaced by the record's own time, not by
     the clock, so a replay gives the same rows."""
-    texts = tuple(S.HISTORY_MESSAGE.names)
-    opened, doc = open_documents(messages, "value", texts, (), payload=False)
+    opened, doc = open_documents(messages, "value", ("task_id", "status", "at"), ("seq",), payload=False)
     task_id = canonical_uuid(doc.text("task_id"))
     status = doc.blank_text("status")
     at = F.coalesce(parse_rfc3339(doc.text("at")), F.col("timestamp").cast("timestamp"))
-    whole = doc.fits(texts, payload=False) & is_single("value")
+    seq = doc.whole_number("seq")
     return opened.select(
         *messages.columns,
-        F.when(~whole, "bad_json").when(task_id.isNull(), "bad_task_id").alias("reject_reason"),
-        surrogate_id(task_id, status, at).alias("id"),
+        F.when(~doc.fits(), "bad_json").when(task_id.isNull(), "bad_task_id").alias("reject_reason"),
+        surrogate_id(task_id, status, at, seq).alias("id"),
         task_id.alias("task_id"),
         status.alias("status"),
         at.alias("occurred_at"),
+        seq.alias("seq"),
     )
 
 
 def parse_history_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     decoded = read_history_messages(messages)
-    good = decoded.where("reject_reason IS NULL").select("id", "task_id", "status", "occurred_at")
+    good = decoded.where("reject_reason IS NULL").select(*S.LOG_COLUMNS)
     return good, _quarantined(decoded)
 
 

@@ -10,7 +10,7 @@ from jobtide.functions.jsontext import NUMBER_FIELDS, is_object, open_documents
 
 def _request_columns(df: DataFrame, text: str, strict: bool) -> DataFrame:
     """Request fields beside the input columns, ``json_ok`` false where the text does not decode."""
-    opened, doc = open_documents(df, text)
+    opened, doc = open_documents(df, text, whole=False)
     return opened.select(
         *df.columns,
         (doc.fits() if strict else is_object(text)).alias("json_ok"),

@@ -27,7 +27,7 @@ def encoded(df: DataFrame) -> DataFrame:
 
 
 def read_tasks(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    return decoded(spark.read.schema(S.stored_as_text(S.TASK)).parquet(path).select(*S.TASK_COLUMNS), strict)
+    return decoded(spark.read.schema(S.stored_as_text(S.STORED_TASK)).parquet(path), strict)
 
 
 def read_dlq(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -67,7 +67,12 @@ def read_history(
     log = spark.read.schema(S.STORED_HISTORY).parquet(path)
     if start is not None and end is not None:
         log = history_between(log, start, end)
-    return log.select("id", "task_id", "status", "occurred_at")
+    return log.select(*S.LOG_COLUMNS)
+
+
+def log_columns(log: DataFrame) -> DataFrame:
+    """The columns of a log; a foreign one has no ordinals."""
+    return log.select(*[c for c in S.LOG_COLUMNS if c in log.columns])
 
 
 def with_month(history: DataFrame) -> DataFrame:
@@ -75,11 +80,11 @@ def with_month(history: DataFrame) -> DataFrame:
 
 
 def append_history(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Append ``(task_id, status, occurred_at)``; the id is a digest of the three when there is none."""
+    """Append ``(task_id, status, occurred_at)`` and ``seq`` where there is one; the id is a digest of them when there is none."""
     if "id" not in events.columns:
-        events = events.withColumn("id", surrogate_id("task_id", "status", "occurred_at"))
-    rows = events.select("id", "task_id", "status", "occurred_at")
-    monthly(rows).write.mode(mode).partitionBy("event_month").parquet(path)
+        seq = ["seq"] if "seq" in events.columns else []
+        events = events.withColumn("id", surrogate_id("task_id", "status", "occurred_at", *seq))
+    monthly(log_columns(events)).write.mode(mode).partitionBy("event_month").parquet(path)
 
 
 def monthly(history: DataFrame) -> DataFrame:
@@ -90,12 +95,12 @@ def monthly(history: DataFrame) -> DataFrame:
 
 def repartition_history(spark: SparkSession, source: str, target: str) -> None:
     """One-off copy of an unpartitioned log into the monthly layout."""
-    monthly(spark.read.schema(S.TASK_HISTORY).parquet(source)).write.partitionBy("event_month").parquet(target)
+    monthly(log_columns(spark.read.option("mergeSchema", True).parquet(source))).write.partitionBy("event_month").parquet(target)
 
 
 def flatten_history(spark: SparkSession, source: str, target: str) -> None:
     """The way back: the monthly layout into one unpartitioned log."""
-    read_history(spark, source).write.parquet(target)
+    log_columns(spark.read.option("mergeSchema", True).parquet(source)).write.parquet(target)
 
 
 def outbox_rows(tasks: DataFrame, as_of: str | datetime | Column) -> DataFrame:

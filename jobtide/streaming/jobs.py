@@ -17,9 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from jobtide import schemas as S
-from jobtide.functions.scalars import event_month
 from jobtide.operators import ingest, lookups, metrics, transitions
-from jobtide.operators.history import step_order
+from jobtide.operators.history import latest
 from jobtide.sources import messages as M
 from jobtide.sources import tables
 from jobtide.streaming.sinks import read_batches, start, write_batch
@@ -34,7 +33,7 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
 
 def stream_history(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """History rows appended to the monthly layout by the exactly-once file sink."""
-    rows = events.select("id", "task_id", "status", "occurred_at", event_month("occurred_at").alias("event_month"))
+    rows = tables.with_month(tables.log_columns(events))
     writer = rows.writeStream.format("parquet").partitionBy("event_month").option("path", path)
     return start(writer.outputMode("append"), checkpoint, trigger)
 
@@ -189,8 +188,7 @@ def stream_messages(
 def stream_current_state(history: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Latest status per task as a native streaming aggregate: each batch writes the tasks it changed,
     ``current_from_changes`` folds the batches."""
-    last = F.max(F.struct("occurred_at", step_order().alias("step"), "id", "status")).alias("last")
-    state = history.groupBy("task_id").agg(last).select("task_id", "last.status", "last.occurred_at", "last.id")
+    state = latest(history)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, path, batch_id)
@@ -199,9 +197,7 @@ def stream_current_state(history: DataFrame, path: str, checkpoint: str, trigger
 
 
 def current_from_changes(spark: SparkSession, path: str) -> DataFrame:
-    last = F.max(F.struct("occurred_at", step_order().alias("step"), "id", "status")).alias("last")
-    changes = spark.read.parquet(path)
-    return changes.groupBy("task_id").agg(last).select("task_id", "last.status", "last.occurred_at", "last.id")
+    return latest(spark.read.parquet(path)).drop("seq")
 
 
 def rates(events: DataFrame, ts: str, by: list[str], delay: str = "1 minute", seconds: int = 60) -> DataFrame:

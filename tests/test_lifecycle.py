@@ -287,7 +287,7 @@ def test_retries_run_out_after_max_retries_plus_one_attempts(spark, table):
         routed = transitions.route_outcomes(tasks, results(spark, (uid(1), False, "boom", True)), str(clock))
         outcomes.append(one(routed.tasks_delta).outcome)
         log += [r.status for r in claimed.history_delta.collect()] + [r.status for r in routed.history_delta.collect()]
-        tasks = spark.createDataFrame(transitions.apply_transitions(tasks, routed.tasks_delta.drop("outcome")).collect(), S.TASK)
+        tasks = spark.createDataFrame(transitions.apply_transitions(tasks, routed.tasks_delta.drop("outcome")).collect(), S.STORED_TASK)
         clock += timedelta(minutes=10)
     assert outcomes == ["retry", "retry", "dead_lettered"]
     assert one(routed.dlq_delta).error_message == "boom" and one(tasks).retry_count == 2
