@@ -22,12 +22,14 @@ def words(text: Column) -> Column:
 
 
 def worker_cache(name: str, make: Callable[[], object]) -> object:
-    """One object per Python worker, kept between tasks. Code travels to the workers by value, so a plain
-    module variable would be made anew for each task."""
+    """One object per Python worker, kept between tasks until another one is asked for, so that what one operator has
+    cached does not stay while the next one works. Code travels to the workers by value, so a plain module
+    variable would be made anew for each task."""
     place = sys.modules.setdefault("_jobtide_worker", types.ModuleType("_jobtide_worker"))
-    if not hasattr(place, name):
-        setattr(place, name, make())
-    return getattr(place, name)
+    if getattr(place, "name", None) != name:
+        place.held = None
+        place.name, place.held = name, make()
+    return place.held
 
 
 class Memo(dict):
@@ -49,6 +51,17 @@ class Memo(dict):
         return value
 
 
+#: Longer texts are not kept in caches: a document without a blank may be one.
+LONGEST_KEY = 256
+
+
+class TextMemo(Memo):
+    """A ``Memo`` of texts that leaves long ones out, which bounds its bytes."""
+
+    def __missing__(self, key):
+        return self.find(key) if len(key) > LONGEST_KEY else super().__missing__(key)
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` with one function per record batch."""
 
@@ -67,12 +80,42 @@ def settle(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     rows = df.sparkSession.read.schema(df.schema).parquet(path)
-    rows.settled_at = path
+    return scratch(rows, path)
+
+
+def scratch(rows: DataFrame, path: str, table: str | None = None) -> DataFrame:
+    """``rows``, whose files (and table of that name) may go once nothing reads them any more."""
+    rows.settled_at, rows.settled_as = path, table
+    if Tidy._open:
+        Tidy._open[-1].made.append(rows)
     return rows
 
 
+class Tidy:
+    """Removes what was settled inside a ``with`` block when it ends, but for the frames given to ``keep``."""
+
+    _open: list[Tidy] = []
+
+    def __enter__(self) -> Tidy:
+        self.made: list[DataFrame] = []
+        Tidy._open.append(self)
+        return self
+
+    def keep(self, rows: DataFrame) -> DataFrame:
+        self.made = [m for m in self.made if m is not rows]
+        if len(Tidy._open) > 1:
+            Tidy._open[-2].made.append(rows)
+        return rows
+
+    def __exit__(self, *problem) -> None:
+        Tidy._open.remove(self)
+        forget(*self.made)
+
+
 def forget(*settled: DataFrame) -> None:
     """Removes the files of settled rows that nothing reads any more."""
     for rows in settled:
+        if rows.settled_as:
+            rows.sparkSession.sql(f"DROP TABLE IF EXISTS {rows.settled_as}")
         path = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(rows.settled_at)
         path.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

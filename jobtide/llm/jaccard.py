@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.common import Memo, settle, worker_cache
+from jobtide.llm.common import Memo, TextMemo, Tidy, settle, worker_cache
 from jobtide.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -19,6 +19,8 @@ WORDS, PERCENT = 5, 80
 PAIR_GROUP, BLOCK_ROWS = 64, 512
 #: Bits of the filter that keeps documents without a chance from being moved; a full filter keeps too many, never too few.
 FILTER_BITS = 1 << 26
+#: Shingles of one fragment, fragments of a pass at least, bytes of text that a shingle stands for, parts that a pair is compared in.
+FRAGMENT_TOKENS, LEAST_FRAGMENTS, BYTES_PER_SHINGLE, PAIR_FRAGMENTS = 2_000_000, 16, 6, 4
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -30,7 +32,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes() -> Memo:
-    return worker_cache("word hashes", lambda: Memo(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), 600_000))
+    return worker_cache("word hashes", lambda: TextMemo(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), 300_000))
 
 
 def shingle_set(text: str | None, known: Memo, words: int = WORDS) -> np.ndarray:
@@ -68,19 +70,6 @@ def prefix_length(n: int, percent: int = PERCENT) -> tuple[int, int]:
     return min(n, n - smallest + k), max(1, min(k, -(-smallest * (100 - percent) // 100)))
 
 
-def sets_of(df: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
-    """``id``, ``n``, ``k``: size and key of every row's shingle set; the key of an empty set is null."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _word_hashes()
-        for batch in batches:
-            sets = [shingle_set(t, known, words) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], "int64"), pa.array([_key(s) if len(s) else None for s in sets], "int64")], ["id", "n", "k"])
-
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, n long, k long")
-
-
 _PACKED = "fragment int, keys binary, counts binary, tokens binary"
 
 
@@ -123,33 +112,46 @@ def _frequency(tokens: np.ndarray) -> np.ndarray:
     return counts[inverse]
 
 
-def _fragments(df: DataFrame) -> int:
-    """Fragments of a pass: a third of the shuffle partitions, which the user sizes to the data, and not too few, so that each is small."""
-    return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 3)
+def fragments_for(tokens: int) -> int:
+    """Fragments of a pass over so many shingles: a fragment has about ``FRAGMENT_TOKENS`` whatever the size of the table."""
+    return max(LEAST_FRAGMENTS, -(-tokens // FRAGMENT_TOKENS))
 
 
-def candidates(df: DataFrame, text_col: str, sizes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Keys of sets that may have a partner: enough of their first shingles occur among the first ones of other sets.
-
-    One row per set, fragment by fragment: partial counts of shared shingles, summed per set. Shingles are cut to 32 bits
-    inside a fragment; a clash only lets a set stay.
-    """
-    many = _fragments(df)
+def read_sets(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """One look at every text. Rows with ``id``, ``n`` and ``k``, size and key of the shingle set (null where it is empty),
+    and rows with a ``fragment``, the first shingles of many sets that lie in it. Shingles are cut to 32 bits inside a
+    fragment; a clash only lets a set stay."""
+    text = F.col(text_col)
+    many = fragments_for((df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // BYTES_PER_SHINGLE)
+    kind = df.schema[id_col].dataType
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _word_hashes()
+        names = ["id", "n", "k", "fragment", "keys", "counts", "tokens"]
         for batch in batches:
             for begin in range(0, batch.num_rows, 3_000):
-                texts = batch.column(0).slice(begin, 3_000).to_pylist()
-                found = {_key(s): s[: prefix_length(len(s), percent)[0]] for t in texts if len(s := shingle_set(t, known, words))}
-                yield from _pack(list(found), list(found.values()), many, 0.5, lambda t: (t >> np.uint64(20)).astype(np.uint32))
+                part = batch.slice(begin, 3_000)
+                sets = [shingle_set(t, known, words) for t in part.column(1).to_pylist()]
+                keys = [_key(s) if len(s) else None for s in sets]
+                blank = [pa.nulls(len(sets), t) for t in (pa.int32(), pa.binary(), pa.binary(), pa.binary())]
+                yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], "int64"), pa.array(keys, "int64"), *blank], names)
+                firsts = {k: s[: prefix_length(len(s), percent)[0]] for k, s in zip(keys, sets, strict=True) if k is not None}
+                for packed in _pack(list(firsts), list(firsts.values()), many, 0.5, lambda t: (t >> np.uint64(20)).astype(np.uint32)):
+                    rest = [pa.nulls(len(packed), t) for t in (part.column(0).type, pa.int64(), pa.int64())]
+                    yield pa.record_batch([*rest, *packed.columns], names)
+
+    return df.select(F.col(id_col).alias("id"), text.alias("text")).mapInArrow(work, f"id {kind.simpleString()}, n long, k long, {_PACKED}")
+
+
+def candidates(packed: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Keys of sets that may have a partner: enough of their first shingles occur among the first ones of other sets.
+    Every fragment counts the shared shingles of the sets in it; the partial counts are summed per set."""
 
     def count(table: pa.Table) -> pa.Table:
         owner, tokens = _unpack(table, np.uint32)
         keys, counts = np.unique(owner[_frequency(tokens) > 1], return_counts=True)
         return pa.table([pa.array(keys), pa.array(counts.astype(np.int64))], ["k", "shared"])
 
-    packed = df.select(F.col(text_col).alias("text")).mapInArrow(cut, _PACKED)
     shared = packed.groupBy("fragment").applyInArrow(count, "k long, shared long").groupBy("k").agg(F.sum("shared").alias("shared"))
     fifth = 100 - percent
     smallest = F.ceil(F.col("n") * percent / 100)
@@ -167,26 +169,24 @@ def _filter_of(keys: DataFrame) -> bytes:
     return zlib.compress(bytes(out), 1)
 
 
-def token_sets(df: DataFrame, text_col: str, keys: DataFrame, words: int = WORDS) -> DataFrame:
-    """``k``, ``n``, ``tokens`` (sorted 64-bit shingles) of the sets with the given keys, one row each. Texts are read again; a
-    filter of bounded size keeps most of the others from being moved, a join removes the rest."""
-    packed = df.sparkSession.sparkContext.broadcast(_filter_of(keys))
+def token_sets(df: DataFrame, id_col: str, text_col: str, rows: DataFrame, keys: DataFrame, words: int = WORDS) -> DataFrame:
+    """``k``, ``n``, ``tokens`` (sorted 64-bit shingles) of the sets with the given keys, one row each. Only texts whose id
+    may belong to one are looked at again, by a filter of bounded size; a join removes what it lets through."""
+    ids = rows.join(keys, "k", "left_semi").select(F.xxhash64("id").alias("k"))
+    packed = df.sparkSession.sparkContext.broadcast(_filter_of(ids))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, known = np.frombuffer(zlib.decompress(packed.value), np.uint8), _word_hashes()
         for batch in batches:
-            found = {}
-            for text in batch.column(0).to_pylist():
-                s = shingle_set(text, known, words)
-                if len(s):
-                    k = _key(s)
-                    bit = k & (FILTER_BITS - 1)
-                    if bits[bit >> 3] >> (bit & 7) & 1:
-                        found[k] = s
+            bit = batch.column(0).to_numpy() & (FILTER_BITS - 1)
+            asked = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            sets = [shingle_set(t, known, words) for t in batch.column(1).take(pa.array(asked)).to_pylist()]
+            found = {_key(s): s for s in sets if len(s)}
             if found:
                 yield pa.record_batch([pa.array(list(found), "int64"), pa.array([s.tobytes() for s in found.values()], "binary")], ["k", "tokens"])
 
-    sets = df.select(F.col(text_col).alias("text")).mapInArrow(work, "k long, tokens binary").groupBy("k").agg(F.first("tokens").alias("tokens"))
+    texts = df.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
+    sets = texts.mapInArrow(work, "k long, tokens binary").groupBy("k").agg(F.first("tokens").alias("tokens"))
     return sets.join(keys, "k").select("k", "n", "tokens")
 
 
@@ -197,7 +197,7 @@ def postings(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     Fragments count how many sets have each shingle. Shingles of one set only come first in the global order and
     need no row; then the rarer, by the frequency and the shingle itself.
     """
-    many = _fragments(sets)
+    many = fragments_for(sets.agg(F.sum("n")).first()[0] or 0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,22 +239,42 @@ def postings(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return by_set.mapInArrow(first, "token long, k long, n long, own double")
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The given pairs (``a``, ``b``) with ``linked``: partial overlaps of their fragments, counted side by side and summed."""
-    left = pairs.join(sets.select(F.col("k").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("k").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+def cut_sets(sets: DataFrame, parts: int = PAIR_FRAGMENTS) -> DataFrame:
+    """``k``, ``part``, ``tokens``: every set cut at the same places of the global order, one row for each part it has shingles in."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        borders = (np.arange(1, parts) * (2**64 // parts)).astype(np.uint64) if parts > 1 else np.empty(0, np.uint64)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 2_000):
+                piece, rows = batch.slice(begin, 2_000), []
+                for k, tokens in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                    ends = [0, *(8 * np.searchsorted(np.frombuffer(tokens, np.uint64), borders)).tolist(), len(tokens)]
+                    rows += [(k, p, tokens[a:b]) for p, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if a < b]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["k", "part", "tokens"])
+
+    return sets.select("k", "tokens").mapInArrow(cut, "k long, part int, tokens binary")
+
+
+def overlaps(pairs: DataFrame, cut: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (``a``, ``b``, with their sizes ``na``, ``nb``) that are linked. A pair meets part by part of the global
+    order; each part's overlap is counted on its own, and the counts are summed per pair."""
+    left = pairs.join(cut.select(F.col("k").alias("a"), "part", F.col("tokens").alias("x")), "a")
+    both = left.join(cut.select(F.col("k").alias("b"), "part", F.col("tokens").alias("y")), ["b", "part"]).select("a", "b", "na", "nb", "x", "y")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1_000):
-                part, linked = batch.slice(begin, 1_000), []
-                for x, y in zip(part.column(2), part.column(3), strict=True):
+            for begin in range(0, batch.num_rows, 2_000):
+                part, shared = batch.slice(begin, 2_000), []
+                for x, y in zip(part.column(4), part.column(5), strict=True):
                     x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    shared = len(x) + len(y) - len(np.union1d(x, y))
-                    linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(linked)], ["a", "b", "linked"])
+                    both = np.concatenate([x, y])
+                    both.sort()
+                    shared.append(int((both[1:] == both[:-1]).sum()))
+                yield pa.record_batch([*part.columns[:4], pa.array(shared, "int64")], ["a", "b", "na", "nb", "shared"])
 
-    return both.mapInArrow(work, "a long, b long, linked boolean")
+    partial = both.mapInArrow(count, "a long, b long, na long, nb long, shared long")
+    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    return summed.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
 def _fits(n: str, m: str, percent: int):
@@ -324,24 +344,26 @@ def link_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     without comparing its pairs. Then sets of different components that still share a shingle are compared, pair by pair
     where few sets have the shingle, block by block where many do.
     """
-    rows = settle(postings(sets, percent))
+    rows, cut = settle(postings(sets, percent)), settle(cut_sets(sets))
     head = F.min_by(F.struct("k", "n"), F.struct("own", "k"))
     heads = rows.groupBy("token").agg(head.alias("h")).select("token", F.col("h.k").alias("hk"), F.col("h.n").alias("hn"))
-    met = rows.join(heads, "token").where((F.col("k") != F.col("hk")) & _fits("n", "hn", percent)).groupBy("k", "hk").agg(F.count("*").alias("often"))
-    best = met.groupBy("k").agg(F.max_by("hk", F.struct("often", "hk")).alias("hk"))
-    pairs = best.select(F.least("k", "hk").alias("a"), F.greatest("k", "hk").alias("b")).distinct()
-    first = settle(overlaps(settle(pairs), sets, percent))
-    of = components(first.where("linked").select("a", "b")).withColumnsRenamed({"node": "k", "component": "c"})
+    met = rows.join(heads, "token").where((F.col("k") != F.col("hk")) & _fits("n", "hn", percent)).groupBy("k", "hk").agg(F.count("*").alias("often"), F.first("n").alias("n"), F.first("hn").alias("hn"))
+    best = met.groupBy("k").agg(F.max_by(F.struct("hk", "n", "hn"), F.struct("often", "hk")).alias("m"))
+    turned = F.col("k") > F.col("m.hk")
+    way = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    pairs = settle(best.select(way("k", "m.hk").alias("a"), way("m.hk", "k").alias("b"), way("m.n", "m.hn").alias("na"), way("m.hn", "m.n").alias("nb")).distinct())
+    first = settle(overlaps(pairs, cut, percent))
+    of = components(first).withColumnsRenamed({"node": "k", "component": "c"})
 
     now = settle(rows.select("token", "k", "n").join(of, "k", "left").withColumn("c", F.coalesce("c", "k")))
     open_ = settle(now.groupBy("token").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token", "size"))
     few = now.join(open_.where(F.col("size") <= PAIR_GROUP), "token").select("token", "k", "n", "c")
     other = few.select("token", F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
     near = few.join(other, "token").where((F.col("k") < F.col("k2")) & (F.col("c") != F.col("c2")) & _fits("n", "n2", percent))
-    pairs = near.select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    found = overlaps(settle(pairs), sets, percent).where("linked").select("a", "b")
+    more = near.select(F.col("k").alias("a"), F.col("k2").alias("b"), F.col("n").alias("na"), F.col("n2").alias("nb")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    found = overlaps(settle(more), cut, percent)
     blocks = _block_links(settle(now.join(open_.where(F.col("size") > PAIR_GROUP), "token").select("token", "k", "c")), sets, percent)
-    return components(first.where("linked").select("a", "b").unionByName(found).unionByName(blocks))
+    return components(first.unionByName(found).unionByName(blocks))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -349,20 +371,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     or more, the own one included. One row per row of ``df``.
 
     Exact: vertical fragments of the global shingle order count partial overlaps, which are summed per set and prove most
-    documents to be without a partner; the others are linked by ``link_sets``. Equal sets are one from the start.
+    documents to be without a partner; the others are paired by ``link_sets``, which sums the partial overlaps of a pair's
+    fragments. Equal sets are one from the start.
 
     Words are runs without ASCII white space, A-Z lower-cased. A text with fewer words is one shingle; a null, empty
     or blank one has none and links with nothing. A null id links nothing and gets a null component. Rows that repeat an id share its component;
     an empty table gives no rows; other columns are ignored.
     """
-    rows = settle(sets_of(df, id_col, text_col, words))
-    sizes = rows.where("k is not null").groupBy("k").agg(F.first("n").alias("n"), F.min("id").alias("id"))
-    keys = settle(candidates(df, text_col, sizes.select("k", "n"), words, percent))
-    sets = settle(token_sets(df, text_col, keys, words))
-    of = settle(link_sets(sets, percent))
-    named = sizes.join(of.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k"))
-    least = named.groupBy("c").agg(F.min("id").alias("component_id"))
-    named = settle(named.join(least, "c").select("k", "component_id"))
+    with Tidy() as scratch:
+        read = settle(read_sets(df, id_col, text_col, words, percent))
+        rows = scratch.keep(settle(read.where("fragment is null").select("id", "n", "k")))
+        sizes = settle(rows.where("k is not null").groupBy("k").agg(F.first("n").alias("n"), F.min("id").alias("id")))
+        keys = settle(candidates(read.where("fragment is not null").select("fragment", "keys", "counts", "tokens"), sizes.select("k", "n"), percent))
+        sets = settle(token_sets(df, id_col, text_col, rows, keys, words))
+        of = link_sets(sets, percent)
+        named = sizes.join(of.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k"))
+        least = named.groupBy("c").agg(F.min("id").alias("component_id"))
+        named = scratch.keep(settle(named.join(least, "c").select("k", "component_id")))
     alone = rows.withColumn("_key", F.coalesce(F.col("k"), F.xxhash64("id")))
     joined = alone.join(named.withColumnRenamed("k", "_key"), "_key", "left")
     component = F.when(F.col("k").isNotNull() & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
@@ -371,7 +396,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` whose id is the least of their component, one for each id; rows with a null id stay."""
-    of = settle(near_duplicates(df, id_col, text_col, words, percent).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), "component_id"))
+    with Tidy() as scratch:
+        found = near_duplicates(df, id_col, text_col, words, percent).where(F.col(id_col).isNotNull())
+        of = scratch.keep(settle(found.select(F.col(id_col).alias("_id"), "component_id")))
     rest = df.join(of.where("_id != component_id").select(F.col("_id").alias(id_col)).distinct(), id_col, "left_anti").select(*df.columns)
     if of.groupBy("_id").count().where("count > 1").isEmpty():
         return rest
