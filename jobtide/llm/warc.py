@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from bisect import bisect_right
@@ -15,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobtide.llm.common import settle
 from jobtide.streaming.sinks import shared_folder
 
 #: Payloads below this size are always stored in full.
@@ -196,11 +198,15 @@ def build_index(spark: SparkSession, archives: str, index: str, block_lines: int
     ordered.mapInArrow(block, "shard int, first_key string, first_page long, lines binary").write.parquet(index)
 
 
+_ESCAPES = {"\\\\": "\\", "\\t": "\t", "\\n": "\n"}
+_ESCAPED = re.compile(r"\\[\\tn]")
+
+
 def _block_lines(data: bytes) -> list[tuple[tuple[bytes, int], str, int, int]]:
     out = []
     for line in zlib.decompress(data).decode().split("\n"):
         key, page, path, offset, length = line.split("\t")
-        key = key.replace("\\n", "\n").replace("\\t", "\t").replace("\\\\", "\\")
+        key = _ESCAPED.sub(lambda m: _ESCAPES[m.group()], key)
         out.append(((key.encode(), int(page)), path, int(offset), int(length)))
     return out
 
@@ -290,10 +296,15 @@ def archive_round_trip(df: DataFrame, min_revisit: int = MIN_REVISIT_BYTES) -> D
     """Writes ``df`` (``page_id``, ``url``, ``html``) as archives in the shared folder, indexes them, looks every page up and reads its record.
 
     A null html is an empty payload; null pages and URLs keep their record. Rows that repeat page and URL give as many
-    records; an empty table gives no rows; other columns are ignored.
+    records; an empty table gives no rows; payloads and URLs may have any length and characters; other columns are ignored,
+    whatever their names. An index that gives another number of captures than there are rows is an error.
     """
     spark = df.sparkSession
     folder = shared_folder(spark)
     write_archives(df, f"{folder}/archives", min_revisit=min_revisit)
     build_index(spark, f"{folder}/archives", f"{folder}/index")
-    return read_records(lookup(spark, f"{folder}/index", df))
+    places = settle(lookup(spark, f"{folder}/index", df))
+    found, rows = places.count(), df.count()
+    if found != rows:
+        raise ValueError(f"the index gave {found} captures for {rows} rows")
+    return read_records(places)
