@@ -345,7 +345,8 @@ def flush_stats(batches: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def worker_batch_size(messages: DataFrame, batch_id: str = "batch_id") -> DataFrame:
-    """Histogram of how many messages a poll delivered."""
-    sizes = counts(messages, batch_id).withColumn("size", F.col("n").cast("double"))
+def worker_batch_size(polls: DataFrame) -> DataFrame:
+    """Histogram of how many messages a poll delivered, from audit rows ``(batch_id, n, ms, status)``. A poll that failed is
+    tried again, so only those that were handled count."""
+    sizes = polls.where(F.col("status") == "success").withColumn("size", F.col("n").cast("double"))
     return histogram(sizes, "size", S.BUCKETS["worker_batch_size"])

@@ -670,27 +670,26 @@ def bucket_values(name: str) -> str:
     return ", ".join(f"(CAST({b} AS DOUBLE))" for b in S.BUCKETS[name]) + ", (CAST('Infinity' AS DOUBLE))"
 
 
+_FLUSHES = (
+    "parts AS (SELECT * FROM (VALUES (0, 7), (7, 40), (40, 400), (400, 9000000000000)) AS t(low, high)),"
+    " flushes AS (SELECT low, count(*) AS n FROM messages JOIN parts ON event_id >= low AND event_id < high GROUP BY low)"
+)
 add(
     "flush_stats",
-    "samples",
-    ", batches AS (SELECT CAST(floor(\"index\" / 1000) AS BIGINT) AS batch_id, count(*) AS n, CAST(max(\"index\") % 977 AS DOUBLE) AS ms,"
-    " CASE WHEN CAST(floor(\"index\" / 1000) AS BIGINT) % 9 = 4 THEN 'error' ELSE 'success' END AS status FROM samples GROUP BY 1, 4),"
-    f" lat AS (SELECT * FROM (VALUES {bucket_values('flush_latency')}) AS t(le)),"
+    "messages",
+    f", {_FLUSHES}, batches AS (SELECT n, 'success' AS status FROM flushes UNION ALL SELECT n, 'error' FROM flushes WHERE low = 40),"
     f" siz AS (SELECT * FROM (VALUES {bucket_values('flush_batch_size')}) AS t(le))"
     " SELECT 'flush_total' AS metric, status, CAST(NULL AS DOUBLE) AS le, CAST(count(*) AS DOUBLE) AS value FROM batches GROUP BY status"
     " UNION ALL SELECT CASE status WHEN 'success' THEN 'events_total' ELSE 'buffer_depth' END, status, NULL, CAST(sum(n) AS DOUBLE)"
     " FROM batches GROUP BY status"
-    " UNION ALL SELECT 'flush_latency', 'success', le, CAST(count(*) FILTER (WHERE ms / 1000.0 <= le) AS DOUBLE)"
-    " FROM lat, (SELECT * FROM batches WHERE status = 'success') GROUP BY le"
-    " UNION ALL SELECT 'flush_batch_size', 'success', le, CAST(count(*) FILTER (WHERE n <= le) AS DOUBLE)"
-    " FROM siz, (SELECT * FROM batches WHERE status = 'success') GROUP BY le",
+    " UNION ALL SELECT 'flush_latency', 'success', CAST('Infinity' AS DOUBLE), CAST(count(*) AS DOUBLE) FROM flushes"
+    " UNION ALL SELECT 'flush_batch_size', 'success', le, CAST(count(*) FILTER (WHERE n <= le) AS DOUBLE) FROM siz, flushes GROUP BY le",
 )
 add(
     "worker_batch_size",
     "messages",
-    ", polls AS (SELECT date_trunc('minute', \"timestamp\") AS b, count(*) AS n FROM messages GROUP BY 1),"
-    f" siz AS (SELECT * FROM (VALUES {bucket_values('worker_batch_size')}) AS t(le))"
-    " SELECT le, count(*) FILTER (WHERE n <= le) AS cumulative, count(*) AS total FROM polls, siz GROUP BY le",
+    f", {_FLUSHES}, siz AS (SELECT * FROM (VALUES {bucket_values('worker_batch_size')}) AS t(le))"
+    " SELECT le, count(*) FILTER (WHERE n <= le) AS cumulative, count(*) AS total FROM flushes, siz GROUP BY le",
 )
 
 # --- streams: the same results, once the windows and timers that stay open at the end are left out ---
@@ -771,7 +770,9 @@ add(
     "samples",
     "SELECT \"index\" AS task_id, seen_at AS created_at, kind AS status, seen_at + INTERVAL '1' MICROSECOND *"
     " CAST(round(latency_seconds * 1000000) AS BIGINT) AS finished_at, round(latency_seconds, 6) AS e2e_seconds"
-    " FROM samples WHERE error = '' AND latency_seconds <= 3600",
+    " FROM samples WHERE error = '' AND latency_seconds <= 3600 UNION ALL SELECT \"index\", seen_at, NULL, NULL, NULL FROM samples"
+    " WHERE (error <> '' OR latency_seconds > 3600) AND seen_at + INTERVAL '1' HOUR < (SELECT least(max(seen_at), max(CASE WHEN error = ''"
+    " THEN seen_at + INTERVAL '1' MICROSECOND * CAST(round(latency_seconds * 1000000) AS BIGINT) END)) - INTERVAL '10' MINUTE FROM samples)",
 )
 add(
     "stream_reaper",
@@ -784,6 +785,30 @@ add(
     f" CASE WHEN retries >= 3 THEN '{S.REAPED_MESSAGE}' END AS error_message, due_at FROM due"
     " WHERE due_at < (SELECT max(occurred_at) - INTERVAL '30' SECOND FROM task_history)",
 )
+_PARTS = "parts AS (SELECT * FROM (VALUES (10), (20), (32)) AS t(until))"
+add(
+    "stream_reaper_late",
+    "task_history",
+    f", {_PARTS}, arrived AS (SELECT *, occurred_at + INTERVAL '1' SECOND * CAST(id * 37 % 600 AS INT) AS arrived_at FROM task_history),"
+    " known AS (SELECT p.until, a.*, row_number() OVER (PARTITION BY p.until, task_id ORDER BY occurred_at DESC, id DESC) AS rn"
+    " FROM parts p JOIN arrived a ON day(a.arrived_at) < p.until),"
+    " marks AS (SELECT p.until, max(arrived_at) - INTERVAL '1' SECOND AS mark FROM parts p JOIN arrived a ON day(a.arrived_at) < p.until GROUP BY 1),"
+    " due AS (SELECT until, task_id, CAST(task_id % 5 AS INT) AS retries, occurred_at + INTERVAL '1' SECOND * CAST(30 * (1 + task_id % 4) AS INT)"
+    " AS due_at FROM known WHERE rn = 1 AND status = 'running')"
+    " SELECT DISTINCT CAST(task_id AS VARCHAR) AS task_id, CASE WHEN retries < 3 THEN 'requeued' ELSE 'dead_lettered' END AS outcome,"
+    " CASE WHEN retries < 3 THEN retries + 1 ELSE retries END AS retry_count,"
+    f" CASE WHEN retries >= 3 THEN '{S.REAPED_MESSAGE}' END AS error_message, due_at FROM due JOIN marks USING (until)"
+    " WHERE due_at + INTERVAL '600' SECOND < mark",
+)
+add(
+    "stream_due_retries_late",
+    "samples",
+    ", due AS (SELECT \"index\" AS task_id, CAST(\"index\" % 5 AS INT) + 1 AS retry_count, seen_at + INTERVAL '1' SECOND *"
+    " CAST(least(5 * power(2, \"index\" % 5), 300) AS INT) AS run_after, seen_at + INTERVAL '1' SECOND * CAST(\"index\" * 37 % 600 AS INT) AS arrived_at"
+    " FROM samples WHERE error <> '' AND \"index\" % 5 < 4)"
+    " SELECT CAST(task_id AS VARCHAR) AS task_id, retry_count, run_after FROM due"
+    " WHERE run_after <= (SELECT max(arrived_at) - INTERVAL '1' SECOND FROM due)",
+)
 add(
     "stream_due_retries",
     "samples",
@@ -800,7 +825,33 @@ add(
     " WHERE outcome = 'retry' UNION ALL SELECT 'dead', id, NULL, concat('boom ', CAST(id AS VARCHAR)) FROM routed"
     " WHERE outcome = 'dead_lettered'",
 )
+_FAILED = "failed AS (SELECT *, CASE WHEN retry_count < max_retries THEN 'retry' ELSE 'dead' END AS part FROM tasks WHERE status = 'running')"
+add(
+    "stream_dlq_ahead",
+    "tasks",
+    f", {_FAILED} SELECT part, id FROM failed UNION ALL SELECT 'unmatched', id + 5000000000 FROM failed WHERE id % 5 = 0",
+)
 add("stream_retention", "task_history", f"SELECT * FROM task_history WHERE occurred_at >= {E} - INTERVAL '86400' SECOND")
+add(
+    "retention_drop",
+    "task_history",
+    ", spread AS (SELECT id, task_id, status, occurred_at + INTERVAL '30' DAY * (CAST(id % 4 AS INT) - 2) AS occurred_at FROM task_history)"
+    " SELECT CAST(id AS VARCHAR) AS id, CAST(task_id AS VARCHAR) AS task_id, status, occurred_at, strftime(occurred_at, '%Y-%m') AS event_month"
+    " FROM spread WHERE occurred_at >= TIMESTAMP '2024-01-10 12:00:00'",
+)
+add(
+    "key_store_rounds",
+    "task_requests",
+    "SELECT idempotency_key, id FROM (SELECT idempotency_key, id, row_number() OVER (PARTITION BY idempotency_key ORDER BY id % 5, id) AS rn"
+    " FROM task_requests WHERE idempotency_key <> '') WHERE rn = 1",
+)
+add(
+    "task_store_rounds",
+    "tasks",
+    "SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 6 = 0 THEN 'round 4' WHEN id % 5 = 0 THEN 'round 3' WHEN id % 4 = 0 THEN 'round 2'"
+    " WHEN id % 3 = 0 THEN 'round 1' ELSE status END AS status, CAST((id % 3 = 0)::INT + (id % 4 = 0)::INT + (id % 5 = 0)::INT + (id % 6 = 0)::INT"
+    " AS BIGINT) AS seq, json_extract_string(payload, '$.cust') AS payload_cust FROM tasks",
+)
 add(
     "history_layout_roundtrip",
     "task_history",

@@ -773,24 +773,6 @@ def message_counts(spark, sf):
     return metrics.message_counts(V.view(spark, sf, "messages"))
 
 
-@query
-def flush_stats(spark, sf):
-    """Flush audit rows: the log cut into batches of 1000 events."""
-    log = V.view(spark, sf, "samples").withColumn("batch_id", F.expr("CAST(floor(index / 1000) AS BIGINT)"))
-    batches = log.groupBy("batch_id").agg(
-        F.count("*").alias("n"), (F.max("index") % 977).cast("double").alias("ms")
-    )
-    status = F.when(F.col("batch_id") % 9 == 4, "error").otherwise("success")
-    return metrics.flush_stats(batches.withColumn("status", status))
-
-
-@query
-def worker_batch_size(spark, sf):
-    """Polls of one minute."""
-    log = V.view(spark, sf, "messages").withColumn("batch_id", F.window("timestamp", "1 minute")["start"])
-    return metrics.worker_batch_size(log).drop("value_sum")
-
-
 @query
 def load_report(spark, sf):
     """Creation and completion over the event log: every event a call, its kind what became of it."""

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from jobtide import schemas as S
 from jobtide.functions.jsontext import decode_payload
-from jobtide.operators import transitions
+from jobtide.operators import metrics, transitions
+from jobtide.operators.skew import settled
+from jobtide.plans import tick as ticks
 from jobtide.plans import views as V
 from jobtide.plans.queries import NTZ, query
+from jobtide.plans.tick import Store
 from jobtide.sources import tables
+from jobtide.sources.buckets import BucketStore
 from jobtide.streaming import jobs, timers
+from jobtide.streaming.audit import read_audit
 from jobtide.streaming.sinks import shared_folder
 
 
@@ -77,6 +86,49 @@ def stream_history_messages(spark, sf):
         return good.unionByName(bad).groupBy("part", "key", "note").agg(F.count("*").alias("n"))
 
 
+def _flushed(spark: SparkSession, sf: str, run: Run, job) -> DataFrame:
+    """Audit rows of a job over the messages in four parts. The first attempt at the third part cannot write and fails."""
+    rows = V.view(spark, sf, "messages").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    for part, (low, high) in enumerate([(0, 7), (7, 40), (40, 400), (400, None)]):
+        chosen = rows.where(F.col("event_id") >= low) if high is None else rows.where((F.col("event_id") >= low) & (F.col("event_id") < high))
+        chosen.write.mode("append").parquet(run.path("in"))
+        stream = spark.readStream.schema(rows.schema).parquet(run.path("in"))
+        if part == 2:
+            try:
+                run.finish(job(stream, "nowhere://quarantine"))
+            except StreamingQueryException:
+                pass
+        run.finish(job(stream, run.path("quarantine")))
+    return read_audit(spark, run.path("audit"))
+
+
+@query
+def flush_stats(spark, sf):
+    """Measures of the flushes that a run made: all but the latencies, which no two runs share; their number is given."""
+    with Run(spark) as run:
+
+        def job(stream, quarantine):
+            encoded = stream.withColumn("value", F.col("history_value").cast("binary")).drop("status")
+            return jobs.stream_history_messages(encoded, run.path("good"), quarantine, run.path("checkpoint"), audit=run.path("audit"))
+
+        stats = metrics.flush_stats(_flushed(spark, sf, run, job))
+        return stats.where((F.col("metric") != "flush_latency") | (F.col("le") == float("inf")))
+
+
+@query
+def worker_batch_size(spark, sf):
+    """Sizes of the polls that a run made."""
+    with Run(spark) as run:
+        known = V.view(spark, sf, "tasks").select(F.format_string("00000000-0000-4000-8000-%012d", "id").alias("id"), "status")
+
+        def job(stream, quarantine):
+            encoded = stream.withColumn("value", F.col("task_value").cast("binary")).drop("task_value", "history_value", "status")
+            paths = [run.path("to_run"), run.path("skipped"), quarantine, run.path("checkpoint")]
+            return jobs.stream_messages(encoded, lambda: known, *paths, audit=run.path("audit"))
+
+        return metrics.worker_batch_size(_flushed(spark, sf, run, job)).drop("value_sum")
+
+
 @query
 def stream_requests(spark, sf):
     with Run(spark) as run:
@@ -162,7 +214,8 @@ def stream_live_totals(spark, sf):
 
 @query
 def stream_end_to_end(spark, sf):
-    """Two streams matched by id: every event is created; all but errors finish ``value`` seconds later."""
+    """Two streams matched by id: every event is created; all but errors finish ``value`` seconds later. Those that do not
+    finish within the hour come out as soon as the watermark has closed it."""
     with Run(spark) as run:
         created = stream_view(spark, sf, "samples").select(F.col("index").alias("task_id"), F.col("seen_at").alias("created_at"))
         took = F.make_dt_interval(secs=F.col("latency_seconds").cast("decimal(18,6)"))
@@ -170,7 +223,7 @@ def stream_end_to_end(spark, sf):
             F.col("index").alias("task_id"), F.col("kind").alias("status"), (F.col("seen_at") + took).alias("finished_at")
         )
         out = run.append(jobs.end_to_end(created, finished, within="1 hour"))
-        return out.where("status IS NOT NULL").withColumn("e2e_seconds", F.round("e2e_seconds", 6))
+        return out.withColumn("e2e_seconds", F.round("e2e_seconds", 6))
 
 
 @query
@@ -186,6 +239,51 @@ def stream_reaper(spark, sf):
         return run.append(timers.stream_reaper(history))
 
 
+def _in_arrival_order(run: Run, rows: DataFrame, parts: int = 3) -> Iterator[DataFrame]:
+    """A stream of ``rows`` that grows by a part at a time, in the order of ``arrived_at``; each part is a batch or more."""
+    days = F.dayofmonth("arrived_at")
+    for part in range(parts):
+        last = F.lit(True) if part == parts - 1 else days < 31 // parts * (part + 1)
+        rows.where((days >= 31 // parts * part) & last).write.mode("append").parquet(run.path("in"))
+        yield run.spark.readStream.schema(rows.schema).parquet(run.path("in"))
+
+
+@query
+def stream_reaper_late(spark, sf):
+    """Rows that arrive up to ten minutes late, in three parts: a run counts as stuck only if no result of it turns up within the
+    hold-back, however late that is."""
+    with Run(spark) as run:
+        late = F.make_dt_interval(secs=(F.col("id") * 37 % 600).cast("decimal(18,6)"))
+        history = V.view(spark, sf, "task_history").withColumns(
+            {
+                "occurred_at": F.col("occurred_at").cast("timestamp"),
+                "retry_count": (F.col("task_id") % 5).cast("int"),
+                "max_retries": F.lit(3),
+                "timeout_seconds": (F.lit(30) * (1 + F.col("task_id") % 4)).cast("int"),
+            }
+        )
+        for rows in _in_arrival_order(run, history.withColumn("arrived_at", F.col("occurred_at") + late)):
+            out = run.append(timers.stream_reaper(rows, "1 second", 600))
+        return out
+
+
+@query
+def stream_due_retries_late(spark, sf):
+    """Failures that arrive up to ten minutes late, long after most retries were due, and each of them twice."""
+    with Run(spark) as run:
+        late = F.make_dt_interval(secs=(F.col("task_id") * 37 % 600).cast("decimal(18,6)"))
+        failures = V.view(spark, sf, "samples").where("error <> ''").select(
+            F.col("index").alias("task_id"),
+            F.col("seen_at").cast("timestamp").alias("failed_at"),
+            (F.col("index") % 5).cast("int").alias("retry_count"),
+            F.lit(4).alias("max_retries"),
+        )
+        twice = failures.unionByName(failures).withColumn("arrived_at", F.col("failed_at") + late)
+        for rows in _in_arrival_order(run, twice):
+            out = run.append(timers.stream_due_retries(rows, "1 second", 600))
+        return out
+
+
 @query
 def stream_due_retries(spark, sf):
     with Run(spark) as run:
@@ -217,6 +315,35 @@ def stream_dlq(spark, sf):
         return again.unionByName(dead)
 
 
+@query
+def stream_dlq_ahead(spark, sf):
+    """Results of tasks half of which are not there yet, then all of them: every result ends in a sink. Results of no task are
+    parked, and leave for the sink of unmatched ones when their time is over."""
+    with Run(spark) as run:
+        tasks = V.tasks(spark, sf)
+        running = tasks.where(F.col("status") == S.RUNNING)
+        fails = lambda rows, wrong: rows.select(
+            (F.col("id") + (F.lit(1) if wrong else F.lit(0)) * 5_000_000_000).alias("id"),
+            F.lit(False).alias("ok"),
+            F.concat(F.lit("boom "), F.col("id").cast("string")).alias("error"),
+            F.lit(True).alias("known_type"),
+        )
+        paths = [run.path(p) for p in ("retries", "dead", "checkpoint")]
+        # First all results against half of the tasks, then a few more results against all of them, then one when time is over.
+        last = running.agg(F.max("id").alias("id"))
+        turns = [
+            (fails(running, False).unionByName(fails(running.where("id % 5 = 0"), True)), tasks.where("id % 2 = 0"), "1998-06-01 00:00:00"),
+            (fails(last, True), tasks, "1998-06-01 00:30:00"),
+            (fails(last, False), tasks.where("id < 0"), "1998-06-01 01:10:00"),
+        ]
+        for rows, known, clock in turns:
+            rows.write.mode("append").parquet(run.path("in"))
+            stream = spark.readStream.schema(rows.schema).parquet(run.path("in"))
+            run.finish(jobs.stream_dlq(stream, lambda known=known: known, *paths, lambda clock=clock: clock, parked=run.path("parked"), unmatched=run.path("unmatched")))
+        parts = {"retry": ("retries", "id"), "dead": ("dead", "original_task_id"), "unmatched": ("unmatched", "id")}
+        return reduce(DataFrame.unionByName, [run.read(folder).select(F.lit(part).alias("part"), F.col(key).alias("id")) for part, (folder, key) in parts.items()])
+
+
 @query
 def stream_retention(spark, sf):
     with Run(spark) as run:
@@ -225,6 +352,46 @@ def stream_retention(spark, sf):
         return run.append(kept)
 
 
+@query
+def retention_drop(spark, sf):
+    """What is left on disk of a log of four months when everything before a moment in the third one has been dropped."""
+    with Run(spark) as run:
+        log = V.view(spark, sf, "task_history")
+        spread = F.make_dt_interval(days=((F.col("id") % 4).cast("int") - 2) * 30)
+        log = log.withColumns({c: F.col(c).cast("string") for c in ("id", "task_id")} | {"occurred_at": (F.col("occurred_at") + spread).cast("timestamp")})
+        tables.append_history(log, run.path("history"))
+        tables.drop_history_before(spark, run.path("history"), "2024-01-10 12:00:00")
+        return run.read("history").select("id", "task_id", "status", "occurred_at", F.col("event_month").cast("string").alias("event_month"))
+
+
+@query
+def key_store_rounds(spark, sf):
+    """Idempotency keys taken in five batches; each batch asks the store which of its keys are taken."""
+    with Run(spark) as run:
+        store = BucketStore(run.path("keys"), "idempotency_key", ("id",), buckets=8, most_parts=2, with_filter=True)
+        wanted = V.view(spark, sf, "task_requests").where("idempotency_key <> ''").select("idempotency_key", "id")
+        for batch in range(5):
+            mine = wanted.where(F.col("id") % 5 == batch).groupBy("idempotency_key").agg(F.min("id").alias("id"))
+            taken = store.lookup(mine, batch - 1, wanted.schema)
+            store.append(settled(mine.join(taken.select("idempotency_key"), "idempotency_key", "left_anti")), batch)
+        return store.lookup(wanted, 4, wanted.schema)
+
+
+@query
+def task_store_rounds(spark, sf):
+    """Four rounds of changes over the stored tasks, with buckets that are compacted on the way."""
+    with Run(spark) as run:
+        store = Store(run.path("db"), buckets=8, most_parts=2)
+        tasks = V.tasks(spark, sf).withColumn("id", F.col("id").cast("string"))
+        ticks.save_tasks(tasks.withColumns({c: F.col(c).cast("timestamp") for c in ("created_at", "updated_at", "run_after")}), store, 0)
+        for version in range(1, 5):
+            now = store.tasks(spark, version - 1)
+            changed = now.where(F.col("id").cast("bigint") % (version + 2) == 0)
+            delta = changed.select("id", F.lit(f"round {version}").alias("status"), (F.col("seq") + 1).alias("seq"))
+            ticks.save_changes(now, delta, store, version)
+        return store.tasks(spark, 4).select("id", "status", "seq", F.col("payload")["cust"].alias("payload_cust"))
+
+
 @query
 def history_layout_roundtrip(spark, sf):
     """The log written by month, read back over a range and compared with what was written."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from jobtide import schemas as S
 from jobtide.functions.jsontext import decode_payload, encode_payload, is_object
 from jobtide.functions.scalars import blank_to_null, event_month, instant, surrogate_id
+from jobtide.streaming.sinks import drop_folder, move_folder, path_exists, subfolders
 
 
 def decoded(df: DataFrame, strict: bool = True) -> DataFrame:
@@ -93,6 +94,26 @@ def monthly(history: DataFrame) -> DataFrame:
     return with_month(history).hint("rebalance", "event_month")
 
 
+def drop_history_before(spark: SparkSession, path: str, bound: str | datetime) -> None:
+    """Retention of the monthly log: rows before ``bound`` leave the store. Whole months are dropped as folders; only the month
+    that the bound cuts is read, and written anew beside itself before the old folder goes. A run that failed half way
+    is finished by the next one, as the new folder is complete where it has its success mark."""
+    edge = F.lit(str(bound)).cast("timestamp")
+    cut = spark.range(1).select(event_month(edge)).first()[0]
+    months = [name.removeprefix("event_month=") for name in subfolders(spark, path) if name.startswith("event_month=")]
+    for month in months:
+        if month < cut:
+            drop_folder(spark, f"{path}/event_month={month}")
+    old, new = f"{path}/event_month={cut}", f"{path}/_cut-{cut}"
+    if not path_exists(spark, f"{new}/_SUCCESS"):
+        if cut not in months:
+            return
+        rows = spark.read.schema(S.STORED_HISTORY).parquet(path).where((F.col("event_month") == cut) & (F.col("occurred_at") >= edge)).drop("event_month")
+        rows.write.mode("overwrite").parquet(new)
+    drop_folder(spark, old)
+    move_folder(spark, new, old)
+
+
 def repartition_history(spark: SparkSession, source: str, target: str) -> None:
     """One-off copy of an unpartitioned log into the monthly layout."""
     monthly(log_columns(spark.read.option("mergeSchema", True).parquet(source))).write.partitionBy("event_month").parquet(target)

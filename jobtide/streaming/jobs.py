@@ -19,9 +19,15 @@ from pyspark.sql.streaming import StreamingQuery
 from jobtide import schemas as S
 from jobtide.operators import ingest, lookups, metrics, transitions
 from jobtide.operators.history import latest
+from jobtide.operators.skew import settled
 from jobtide.sources import messages as M
 from jobtide.sources import tables
-from jobtide.streaming.sinks import read_batches, start, write_batch
+from jobtide.sources.buckets import BucketStore
+from jobtide.streaming.audit import audited
+from jobtide.streaming.sinks import drop_batch, path_exists, start, write_batch
+
+#: How long a result waits for its task.
+RESULT_HOLD_SECONDS = 3600
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -39,9 +45,10 @@ def stream_history(events: DataFrame, path: str, checkpoint: str, trigger: dict
 
 
 def stream_history_messages(
-    messages: DataFrame, path: str, quarantine: str, checkpoint: str, trigger: dict | None = None
+    messages: DataFrame, path: str, quarantine: str, checkpoint: str, trigger: dict | None = None, audit: str | None = None
 ) -> StreamingQuery:
-    """Messages to history rows; what does not decode goes to the quarantine. Both from one read."""
+    """Messages to history rows; what does not decode goes to the quarantine. Both from one read. ``audit``: a folder for a
+    row per flush."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -50,13 +57,13 @@ def stream_history_messages(
         write_batch(bad, quarantine, batch_id)
         batch.unpersist()
 
-    return start(messages.writeStream.foreachBatch(handle), checkpoint, trigger)
+    return start(messages.writeStream.foreachBatch(audited(handle, audit)), checkpoint, trigger)
 
 
 @dataclass(frozen=True)
 class RequestTables:
-    """Folders of the ingest job. ``keys`` is a narrow copy of the taken idempotency keys, so that a
-    micro-batch reads two columns of the past and not whole tasks."""
+    """Folders of the ingest job. ``keys`` is the store of the taken idempotency keys: a micro-batch asks the
+    filters of its keys' buckets and reads only buckets that may hold one."""
 
     tasks: str
     history: str
@@ -64,6 +71,10 @@ class RequestTables:
     outcomes: str
     keys: str
 
+    def key_store(self) -> BucketStore:
+        # The first owner of a key keeps it; a key is never stored twice.
+        return BucketStore(self.keys, "idempotency_key", ("id",), with_filter=True)
+
     @classmethod
     def under(cls, root: str) -> RequestTables:
         return cls(*(f"{root}/{name}" for name in ("tasks", "history", "outbox", "outcomes", "keys")))
@@ -79,10 +90,11 @@ def ingest_batch(
 ) -> None:
     """One batch of requests into tasks, history and outbox. Keys taken by earlier batches only are
     looked up, so running a batch again finds what it found the first time."""
-    spark = batch.sparkSession
     batch.persist()
-    taken = read_batches(spark, target.keys, before=batch_id)
-    made = ingest.create_tasks(batch, as_of, taken, known_types, order, prune_stored=True)
+    store = target.key_store()
+    keys = batch.select("id", "idempotency_key").where("idempotency_key <> ''")
+    taken = store.lookup(keys, batch_id - 1, keys.select("idempotency_key", "id").schema)
+    made = ingest.create_tasks(batch, as_of, taken, known_types, order)
     tasks = made.tasks.persist()
     # Everything derives from the task rows and has ids that follow from them.
     at = F.col("created_at")
@@ -90,7 +102,7 @@ def ingest_batch(
     write_batch(ingest.history_rows(tasks, S.QUEUED, at), target.history, batch_id)
     write_batch(tables.outbox_rows(tasks, at), target.outbox, batch_id)
     write_batch(made.outcomes, target.outcomes, batch_id)
-    write_batch(tasks.where("idempotency_key IS NOT NULL").select("idempotency_key", "id"), target.keys, batch_id)
+    store.append(tasks.where("idempotency_key IS NOT NULL").select("idempotency_key", "id"), batch_id)
     tasks.unpersist()
     batch.unpersist()
 
@@ -169,9 +181,11 @@ def stream_messages(
     quarantine: str,
     checkpoint: str,
     trigger: dict | None = None,
+    audit: str | None = None,
 ) -> StreamingQuery:
     """Deliveries to work: broken ones to the quarantine, those of finished tasks skipped, the rest to
-    run. ``tasks`` is read anew for every batch, which is how a redelivery finds its task finished."""
+    run. ``tasks`` is read anew for every batch, which is how a redelivery finds its task finished. ``audit``: a
+    folder for a row per poll."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -182,22 +196,28 @@ def stream_messages(
         write_batch(bad, quarantine, batch_id)
         batch.unpersist()
 
-    return start(messages.writeStream.foreachBatch(handle), checkpoint, trigger)
+    return start(messages.writeStream.foreachBatch(audited(handle, audit)), checkpoint, trigger)
 
 
 def stream_current_state(history: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Latest status per task as a native streaming aggregate: each batch writes the tasks it changed,
-    ``current_from_changes`` folds the batches."""
-    state = latest(history)
+    """Latest status per task: each batch adds the latest row of its tasks to a bucketed store, which folds them
+    when they are read and compacts its buckets one by one. No state is kept beside the store."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, path, batch_id)
+        _state_store(path).append(settled(latest(batch)), batch_id)
+
+    return start(history.writeStream.foreachBatch(handle), checkpoint, trigger)
 
-    return start(state.writeStream.outputMode("update").foreachBatch(handle), checkpoint, trigger)
+
+def _state_store(path: str) -> BucketStore:
+    return BucketStore(path, "task_id", ("occurred_at", "seq", "id"))
 
 
 def current_from_changes(spark: SparkSession, path: str) -> DataFrame:
-    return latest(spark.read.parquet(path)).drop("seq")
+    """State after the last complete batch of ``stream_current_state``."""
+    versions = spark.read.parquet(f"{path}_parts").agg(F.max("batch_id")).first()[0]
+    written = spark.read.parquet(path).drop("batch_id", "bucket")
+    return _state_store(path).read(spark, int(versions), written.schema).drop("seq")
 
 
 def rates(events: DataFrame, ts: str, by: list[str], delay: str = "1 minute", seconds: int = 60) -> DataFrame:
@@ -264,17 +284,39 @@ def stream_dlq(
     checkpoint: str,
     clock: Callable[[], str],
     trigger: dict | None = None,
+    parked: str | None = None,
+    unmatched: str | None = None,
+    hold_seconds: int = RESULT_HOLD_SECONDS,
 ) -> StreamingQuery:
-    """Run results split: dead letters to a sink that is kept for ever, retries to their own."""
+    """Run results split: dead letters to a sink that is kept for ever, retries to their own.
+
+    A result may be ahead of its task. Such results are parked and tried again with every batch; those that have waited
+    ``hold_seconds`` go to ``unmatched`` instead, so no result is lost without a trace. The parked ones of a batch are a folder
+    of their own, which a batch that is run again reads and replaces; folders two batches back are removed.
+    """
+    parked, unmatched = parked or f"{dead}_parked", unmatched or f"{dead}_unmatched"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        as_of = clock()
-        routed = transitions.failure_route(tasks(), batch).persist()
+        spark, as_of = batch.sparkSession, clock()
+        now = F.lit(as_of).cast("timestamp")
+        waiting = batch.select("id", "ok", "error", "known_type", now.alias("parked_at"))
+        if path_exists(spark, f"{parked}/batch_id={batch_id - 1}"):
+            before = spark.read.schema(waiting.schema).parquet(f"{parked}/batch_id={batch_id - 1}")
+            waiting = waiting.unionByName(before)
+        waiting.persist()
+        known = tasks()
+        routed = transitions.failure_route(known, waiting.drop("parked_at")).persist()
         again = transitions.requeue_rows(routed.where("outcome = 'retry'"), as_of)
         write_batch(again.select("id", *transitions.CHANGED), retries, batch_id)
         lost = transitions.dlq_rows(routed.where("outcome = 'dead_lettered'"), F.col("error"), as_of)
         write_batch(tables.encoded(lost), dead, batch_id)
-        routed.unpersist()
+        ahead = waiting.join(known.select("id"), "id", "left_anti").persist()
+        expired = F.col("parked_at") + F.make_dt_interval(secs=F.lit(hold_seconds).cast("decimal(18,6)")) <= now
+        write_batch(ahead.where(expired), unmatched, batch_id)
+        write_batch(ahead.where(~expired), parked, batch_id)
+        drop_batch(spark, parked, batch_id - 2)
+        for rows in (ahead, routed, waiting):
+            rows.unpersist()
 
     return start(results.writeStream.foreachBatch(handle), checkpoint, trigger)
 

@@ -39,6 +39,32 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.rename(path(source), path(target)):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it is not there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(target):
+        return []
+    return sorted(s.getPath().getName() for s in system.listStatus(target) if s.isDirectory())
+
+
+def drop_batch(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Removes the folder of a batch that nothing reads any more, if it is there."""
+    drop_folder(spark, f"{path}/batch_id={batch_id}")
+
+
 def read_batches(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """All batches, or those before one; None when nothing was written yet."""
     if not path_exists(spark, path):

@@ -1,25 +1,41 @@
-"""Keyed state with event-time timers: stuck runs and retries that fall due."""
+"""Keyed state with event-time timers: stuck runs and retries that fall due.
+
+The watermark lies on the time a row arrived, event times are data: a row that comes late is late news, not a row to
+drop. Deadlines wait another ``hold_back``, the longest that news of an event may take, before they count.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from jobtide.functions.scalars import backoff_seconds, micros, seq_of
 from jobtide.schemas import DEAD_LETTERED, REAPED_MESSAGE, RUNNING
-from jobtide.functions.scalars import backoff_seconds, micros
 from jobtide.streaming.sinks import use_rocksdb
 
 # Times cross into Python as whole microseconds, so no time zone is involved there.
-_RUN = "status string, at_us bigint, id string, retry_count int, max_retries int, timeout_seconds int"
+_RUN = "status string, at_us bigint, seq bigint, id string, retry_count int, max_retries int, timeout_seconds int"
 _REAPED = "task_id string, outcome string, retry_count int, error_message string, due_us bigint"
 _DUE = "task_id string, retry_count int, due_us bigint"
+_GIVEN = "given"
+
+
+def _wait(handle: StatefulProcessorHandle, at_us: int) -> None:
+    """One timer per task, the first millisecond after the moment."""
+    for timer in handle.listTimers():
+        handle.deleteTimer(timer)
+    handle.registerTimer(at_us // 1000 + 1)
 
 
 class StuckRuns(StatefulProcessor):
-    """Keeps the newest row of a task; while that is a running one, a timer waits at its deadline."""
+    """Keeps the newest row of a task; while that is a running one, a timer waits at its deadline. The state of any other
+    row, and of a run that was reaped, goes once no older news of the task can come any more."""
+
+    def __init__(self, hold_us: int = 0):
+        self.hold_us = hold_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -29,25 +45,28 @@ class StuckRuns(StatefulProcessor):
         stored = tuple(self.run.get()) if self.run.exists() else None
         newest = stored
         for row in rows:
-            found = (row.status, row.at_us, row.id, row.retry_count, row.max_retries, row.timeout_seconds)
-            if newest is None or found[1:3] > newest[1:3]:
+            found = (row.status, row.at_us, row.seq, row.id, row.retry_count, row.max_retries, row.timeout_seconds)
+            if newest is None or found[1:4] > newest[1:4]:
                 newest = found
         if newest != stored:
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
             self.run.update(newest)
-            if newest[0] == RUNNING:
-                # One past the deadline, as a task is stuck only after it.
-                self.handle.registerTimer(_deadline_us(newest) // 1000 + 1)
+            # A task is stuck only after its deadline.
+            _wait(self.handle, (_deadline_us(newest) if newest[0] == RUNNING else newest[1]) + self.hold_us)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         run = tuple(self.run.get())
-        retries, limit = run[3], run[4]
+        if run[0] != RUNNING:
+            self.run.clear()
+            return
+        retries, limit = run[4], run[5]
         if retries < limit:
             outcome, retries, error = "requeued", retries + 1, None
         else:
             outcome, error = DEAD_LETTERED, REAPED_MESSAGE
+        # The run stays known as reaped as long as its rows may be delivered once more.
+        self.run.update((_GIVEN, *run[1:]))
+        _wait(self.handle, max(_deadline_us(run), timerValues.getCurrentWatermarkInMs() * 1000) + self.hold_us)
         yield Row(task_id=key[0], outcome=outcome, retry_count=retries, error_message=error, due_us=_deadline_us(run))
 
     def close(self) -> None:
@@ -55,76 +74,95 @@ class StuckRuns(StatefulProcessor):
 
 
 def _deadline_us(run: tuple) -> int:
-    return run[1] + run[5] * 1_000_000
+    return run[1] + run[6] * 1_000_000
 
 
-def stream_reaper(history: DataFrame, delay: str = "30 seconds") -> DataFrame:
-    """Stuck runs of a history stream that also carries ``retry_count, max_retries, timeout_seconds``.
+def _arrival(rows: DataFrame, event_time: str) -> Column:
+    """When a row arrived; of a log that does not say so, when it happened."""
+    return F.col("arrived_at" if "arrived_at" in rows.columns else event_time).alias("arrived_at")
 
-    A task is reaped when the watermark passes its deadline and nothing newer is known of it. An idle
-    stream does not move the watermark: feed it heartbeat rows if deadlines must fire without traffic.
+
+def stream_reaper(history: DataFrame, delay: str = "30 seconds", hold_back_seconds: float = 0) -> DataFrame:
+    """Stuck runs of a history stream that also carries ``retry_count, max_retries, timeout_seconds``, and ``arrived_at`` where
+    rows may arrive late.
+
+    A task is reaped when the watermark of the arrivals passes its deadline plus ``hold_back_seconds`` and nothing newer is
+    known of it: a result that arrives within the hold-back counts by the time it happened. ``delay`` is how far arrivals
+    themselves may be out of order. State is cleared for finished tasks, also after the hold-back. An idle stream does not
+    move the watermark: feed it heartbeat rows if deadlines must fire without traffic.
     """
     use_rocksdb(history.sparkSession)
     rows = history.select(
         F.col("task_id").cast("string").alias("task_id"),
         F.col("id").cast("string").alias("id"),
         "status",
-        "occurred_at",
         micros("occurred_at").alias("at_us"),
+        seq_of(history).alias("seq"),
         "retry_count",
         "max_retries",
         "timeout_seconds",
-    ).withWatermark("occurred_at", delay)
+        _arrival(history, "occurred_at"),
+    ).withWatermark("arrived_at", delay)
     fired = rows.groupBy("task_id").transformWithState(
-        statefulProcessor=StuckRuns(), outputStructType=_REAPED, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=StuckRuns(int(hold_back_seconds * 1_000_000)), outputStructType=_REAPED, outputMode="Append", timeMode="EventTime"
     )
     return fired.withColumn("due_at", F.timestamp_micros("due_us")).drop("due_us")
 
 
 class DueRetries(StatefulProcessor):
-    """One waiting retry per task, given out when its time has come."""
+    """One waiting retry per task, given out when its time has come. A given one stays known for the hold-back, so a
+    failure that is delivered twice is retried once; then its state goes."""
+
+    def __init__(self, hold_us: int = 0):
+        self.hold_us = hold_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getValueState("waiting", "retry_count int, due_us bigint")
+        self.waiting = handle.getValueState("waiting", "failed_us bigint, retry_count int, due_us bigint, given boolean")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         stored = tuple(self.waiting.get()) if self.waiting.exists() else None
         newest = stored
         for row in rows:
-            found = (row.retry_count, row.due_us)
-            newest = found if newest is None or found > newest else newest
+            found = (row.failed_us, row.retry_count, row.due_us, False)
+            newest = found if newest is None or found[:2] > newest[:2] else newest
         if newest != stored:
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
             self.waiting.update(newest)
-            self.handle.registerTimer(newest[1] // 1000)
+            # Due at its moment, not after it; one that is overdue already fires with this batch.
+            _wait(self.handle, newest[2] - 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        retry_count, due_us = tuple(self.waiting.get())
-        self.waiting.clear()
-        yield Row(task_id=key[0], retry_count=retry_count, due_us=due_us)
+        failed_us, retry_count, due_us, given = tuple(self.waiting.get())
+        if given or not self.hold_us:
+            self.waiting.clear()
+        else:
+            self.waiting.update((failed_us, retry_count, due_us, True))
+            _wait(self.handle, max(due_us, timerValues.getCurrentWatermarkInMs() * 1000) + self.hold_us)
+        if not given:
+            yield Row(task_id=key[0], retry_count=retry_count, due_us=due_us)
 
     def close(self) -> None:
         pass
 
 
-def stream_due_retries(failures: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Dispatch rows for failed runs ``(task_id, failed_at, retry_count, max_retries)`` once their delay is over."""
+def stream_due_retries(failures: DataFrame, delay: str = "10 seconds", hold_back_seconds: float = 0) -> DataFrame:
+    """Dispatch rows for failed runs ``(task_id, failed_at, retry_count, max_retries)``, and ``arrived_at`` where rows may arrive
+    late, once their delay is over. A failure whose row comes after that is given out at once."""
     use_rocksdb(failures.sparkSession)
     wait_us = backoff_seconds("retry_count").cast("bigint") * F.lit(1_000_000)
     rows = (
         failures.where("retry_count < max_retries")
         .select(
             F.col("task_id").cast("string").alias("task_id"),
-            "failed_at",
+            micros("failed_at").alias("failed_us"),
             (F.col("retry_count") + 1).alias("retry_count"),
             (micros("failed_at") + wait_us).alias("due_us"),
+            _arrival(failures, "failed_at"),
         )
-        .withWatermark("failed_at", delay)
+        .withWatermark("arrived_at", delay)
     )
     due = rows.groupBy("task_id").transformWithState(
-        statefulProcessor=DueRetries(), outputStructType=_DUE, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=DueRetries(int(hold_back_seconds * 1_000_000)), outputStructType=_DUE, outputMode="Append", timeMode="EventTime"
     )
     return due.withColumn("run_after", F.timestamp_micros("due_us")).drop("due_us")
