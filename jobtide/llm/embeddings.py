@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 from itertools import combinations, product
 
 import numpy as np
@@ -23,7 +22,6 @@ REACH = 0.35
 BLOCK_ROWS = 1024
 
 
-@lru_cache
 def roots() -> np.ndarray:
     """The 240 shortest vectors of E8: two entries of one, or all entries of a half with an even number of minus signs."""
     found = []
@@ -36,6 +34,9 @@ def roots() -> np.ndarray:
     return np.array(found)
 
 
+ROOTS = roots()
+
+
 def _nearest_d8(x: np.ndarray) -> np.ndarray:
     """Nearest integer points with an even sum: round, and where the sum is odd round the worst entry the other way."""
     near = np.rint(x)
@@ -70,8 +71,8 @@ def bucket_keys(unit: np.ndarray, tables: int = TABLES, blocks: int = BLOCKS, pr
             point = nearest_e8(part)
             w = weights[8 * k : 8 * k + 8]
             own += ((2 * point).astype(np.int64) * w).sum(1)
-            gains.append((part - point) @ roots().T)
-            moves.append(((2 * roots()).astype(np.int64) * w).sum(1))
+            gains.append((part - point) @ ROOTS.T)
+            moves.append(((2 * ROOTS).astype(np.int64) * w).sum(1))
         gain, move = np.hstack(gains), np.concatenate(moves)
         best = np.argpartition(-gain, probes - 1, axis=1)[:, :probes] if probes else np.empty((n, 0), int)
         out[:, t, 0] = own
@@ -110,20 +111,25 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     vectors are one until the end. A bucket of any size is compared whole, in blocks.
 
     A null id, label or vector, a zero vector and one with null or non-finite entries link with nothing. Vectors
-    of different lengths never link. Rows that repeat an id count as further copies. An empty table gives no rows.
+    of different lengths never link. Rows that repeat an id are vectors of their own, equal or not. An empty table gives no rows;
+    columns of ``df`` besides the three are not looked at.
     """
     entry = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     usable = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.forall(vector_col, entry) & F.exists(vector_col, lambda x: x != 0)
     rows = df.select(F.col(id_col).alias("id"), F.when(usable, F.col(label_col)).alias("label"), F.when(usable, F.transform(vector_col, lambda x: x.cast("double") + F.lit(0.0))).alias("v"))
     # Twins by value: the digest of label and entries stands for them in the joins.
     rows = rows.withColumn("twin", F.when(F.col("v").isNotNull(), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.array_join("v", ",")), 256)))
-    classes = settle(rows.where("twin is not null").groupBy("twin").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").cast("string").alias("label"), F.first("v").alias("v")))
+    twins = rows.where("twin is not null").groupBy("twin").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("label").cast("string").alias("label"), F.first("v").alias("v"))
+    # A class has a number of its own from here on, as ids may be shared by vectors that differ.
+    classes = settle(twins.withColumn("id", F.monotonically_increasing_id()))
     counted = _found(classes, min_cosine)
     links = counted.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    of = components(links)
+    of = components(links).withColumnRenamed("node", "id")
     sums = counted.where("n is not null").groupBy("id").agg(F.sum("n").alias("n"))
-    done = classes.select("twin", "id", "copies").join(sums, "id", "left").join(of.withColumnRenamed("node", "id"), "id", "left")
-    done = done.select("twin", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    done = classes.select("twin", "id", "least", "copies").join(sums, "id", "left").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    done = settle(done.select("twin", "least", "component", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    first = done.groupBy("component").agg(F.min("least").alias("component_id"))
+    done = done.join(first, "component").select("twin", "n_links", "component_id")
     alone = F.coalesce("twin", F.concat(F.lit("none "), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     joined = rows.select("id", alone.alias("twin")).join(settle(done), "twin", "left")
     component = F.coalesce("component_id", "id")
