@@ -129,10 +129,41 @@ def throughput(samples: DataFrame, ts: str, counted: Column | None = None) -> Da
     return totals.withColumn("per_second", F.col("n") / F.nullif(F.col("span_seconds"), F.lit(0.0)))
 
 
+#: Rows whose values one task counts one by one when it looks for a percentile.
+CELL_ROWS = 1_000_000
+
+
 def percentile_label(p: float) -> str:
     return "p" + f"{p:g}".replace(".", "")
 
 
+def _narrowed(inside: DataFrame, targets: DataFrame, cell_rows: int, accuracy: int) -> tuple[DataFrame, DataFrame]:
+    """``inside`` (``_g, cut, _v``) and ``targets`` (``_g, cut, p, nth``) with cuts of at most ``cell_rows`` rows or one value.
+
+    Each round takes quantiles of the cuts that are still too large and parts their rows at them: those below, at and
+    between the quantiles, which are values that occur. So every round sets a value apart from others, ties end in a
+    cell of their own, and what lies between shrinks to a sixteenth or so."""
+    grid = [i / 16 for i in range(1, 16)]
+    while True:
+        shape = [F.count("*").alias("rows"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.percentile_approx("_v", grid, accuracy).alias("at")]
+        large = settled(inside.groupBy("_g", "cut").agg(*shape).where((F.col("rows") > cell_rows) & (F.col("low") < F.col("high"))).select("_g", "cut", "at"))
+        if large.isEmpty():
+            return inside, targets
+        inside, targets = settled(inside), settled(targets)
+        steps = [(F.col("_v") > F.col("at")[i]).cast("int") + (F.col("_v") >= F.col("at")[i]).cast("int") for i in range(len(grid))]
+        cells = inside.join(large, ["_g", "cut"]).select("_g", "cut", "_v", reduce(lambda a, b: a + b, steps).alias("step"))
+        upto = Window.partitionBy("_g", "cut").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counted = cells.groupBy("_g", "cut", "step").agg(F.count("*").alias("rows")).withColumn("seen", F.sum("rows").over(upto))
+        # An open cell has as many steps as it has quantiles on either side: at most 31 for each cut.
+        here = targets.join(counted, ["_g", "cut"]).where((F.col("nth") <= F.col("seen")) & (F.col("nth") > F.col("seen") - F.col("rows")))
+        part = F.concat_ws(".", "cut", F.col("step").cast("string")).alias("cut")
+        found = settled(here.select("_g", part, "p", (F.col("nth") - F.col("seen") + F.col("rows")).alias("nth")))
+        rest = large.select("_g", "cut")
+        parted = cells.select("_g", part, "_v").join(found.select("_g", "cut").distinct(), ["_g", "cut"], "left_semi")
+        inside = settled(inside.join(rest, ["_g", "cut"], "left_anti").select("_g", "cut", "_v").unionByName(parted))
+        targets = settled(targets.join(rest, ["_g", "cut"], "left_anti").select("_g", "cut", "p", "nth").unionByName(found))
+
+
 def latency_percentiles(
     df: DataFrame,
     value: str,
@@ -140,17 +171,18 @@ def latency_percentiles(
     percentiles: tuple[float, ...] = (50, 95, 99, 99.9),
     whole_ms: bool = True,
     accuracy: int = 10_000,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Exact nearest-rank percentiles, one column each, plus ``n``.
 
-    Sketches only propose where to look: each group is cut at values a little below and above every
-    wanted rank, rows per cut are counted exactly, and only the values of the cuts that hold a wanted
-    rank are then counted one by one. A poor proposal makes the last step larger, never wrong. No group
-    of rows, however large, has to fit one task.
+    The values are settled once. Sketches only propose where to look: each group is cut at values a little below and
+    above every wanted rank, and rows per cut are counted exactly, for all percentiles at once. A cut that holds a wanted
+    rank is cut again until it has at most ``cell_rows`` rows or a single value (``_narrowed``); only then are its values
+    counted one by one. A poor proposal makes another round, never a wrong result or a large task.
     """
     keys = by or []
     label = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
-    rows = df.where(F.col(value).isNotNull()).select(label.alias("_g"), F.col(value).cast("double").alias("_v"), *keys)
+    rows = settled(df.where(F.col(value).isNotNull()).select(label.alias("_g"), F.col(value).cast("double").alias("_v"), *keys))
     reach = 2.0 / accuracy
     probes = sorted({min(max(p / 100 + d, 0.0), 1.0) for p in percentiles for d in (-reach, reach)})
     stats = rows.groupBy("_g").agg(
@@ -189,8 +221,11 @@ def latency_percentiles(
         per_cut.withColumn("seen", F.sum("rows").over(upto))
         .select("_g", "cut", "seen", "rows", ranks.alias("want"))
         .where((F.col("want.rank") <= F.col("seen")) & (F.col("want.rank") > F.col("seen") - F.col("rows")))
-        .select("_g", "cut", "want.p", (F.col("want.rank") - F.col("seen") + F.col("rows")).alias("nth"))
+        .select("_g", "cut", "want.p", (F.col("want.rank") - F.col("seen") + F.col("rows")).alias("nth"), "rows")
     )
+    targets = settled(targets)
+    too_large = not targets.where(F.col("rows") > cell_rows).isEmpty()
+    targets = targets.drop("rows")
     # At most one cut per percentile and group. Looked up by group, so that rows of a busy group's other cuts
     # do not travel to one place just to be dropped there.
     if keys:
@@ -198,6 +233,9 @@ def latency_percentiles(
         inside = placed.join(settled(wanted), "_g").where(F.array_contains("wanted", F.col("cut"))).drop("wanted")
     else:
         inside = placed.where(F.col("cut").isin([r["cut"] for r in targets.select("cut").distinct().collect()]))
+    if too_large:
+        named = lambda rows: rows.withColumn("cut", F.col("cut").cast("string"))
+        inside, targets = _narrowed(named(inside), named(targets), cell_rows, accuracy)
     values = inside.groupBy("_g", "cut", "_v").agg(F.count("*").alias("rows"))
     upto = Window.partitionBy("_g", "cut").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     values = values.withColumn("seen", F.sum("rows").over(upto))

@@ -726,6 +726,12 @@ add(
     " UNION ALL SELECT 'bad', CAST(event_id AS VARCHAR) FROM messages WHERE event_id % 3 <> 1 AND event_id % 10 IN (3, 5, 7)"
     " UNION ALL SELECT 'marked', CAST(event_id AS VARCHAR) FROM messages WHERE event_id % 3 <> 1",
 )
+add(
+    "outbox_log_order",
+    "messages",
+    ", pending AS (SELECT event_id AS id, event_id % 9 > 0 AS early, row_number() OVER (PARTITION BY event_id % 9 > 0 ORDER BY \"timestamp\", event_id) AS rn"
+    " FROM messages WHERE event_id % 3 <> 1) SELECT id, CAST(CASE WHEN early AND rn <= 500 THEN 0 ELSE 1 END AS BIGINT) AS batch_id FROM pending",
+)
 add(
     "stream_messages",
     "tasks",

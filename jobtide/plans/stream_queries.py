@@ -168,6 +168,31 @@ def stream_outbox(spark, sf):
         return sent.unionByName(bad).unionByName(marked)
 
 
+@query
+def outbox_log_order(spark, sf):
+    """In which batch each row was published when the second range of the first batch could not be sent: nothing behind it goes
+    before it, and the next batch takes up there."""
+    with Run(spark) as run:
+        box = V.view(spark, sf, "messages").select(
+            F.col("event_id").alias("id"),
+            F.col("event_id").alias("task_id"),
+            F.col("task_value").alias("payload"),
+            F.col("timestamp").cast("timestamp").alias("created_at"),
+            F.when(F.col("event_id") % 3 == 1, F.col("timestamp").cast("timestamp")).alias("published_at"),
+        )
+        paths = [run.path(p) for p in ("topic", "published", "quarantine", "checkpoint")]
+
+        def broken(messages, batch, number):
+            if number:
+                raise ConnectionError("the topic is away")
+
+        for rows, send in ((box.where("id % 9 > 0"), broken), (box.where("id % 9 = 0"), None)):
+            rows.write.mode("append").parquet(run.path("in"))
+            stream = spark.readStream.schema(rows.schema).parquet(run.path("in"))
+            run.finish(jobs.stream_outbox(stream, *paths, lambda: V.EVENTS_AS_OF, send=send, range_rows=500))
+        return spark.read.parquet(run.path("published")).select("id", F.col("batch_id").cast("bigint").alias("batch_id"))
+
+
 @query
 def stream_messages(spark, sf):
     with Run(spark) as run:

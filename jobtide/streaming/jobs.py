@@ -24,6 +24,7 @@ from jobtide.sources import messages as M
 from jobtide.sources import tables
 from jobtide.sources.buckets import BucketStore
 from jobtide.streaming.audit import audited
+from jobtide.streaming.outbox import OUTBOX_RANGE_ROWS, OutboxLog
 from jobtide.streaming.sinks import drop_batch, path_exists, start, write_batch
 
 #: How long a result waits for its task.
@@ -149,26 +150,32 @@ def stream_outbox(
     clock: Callable[[], str],
     trigger: dict | None = None,
     broker: dict[str, str] | None = None,
+    send: Callable[[DataFrame, int, int], None] | None = None,
+    range_rows: int = OUTBOX_RANGE_ROWS,
+    keep_seconds: int = S.OUTBOX_KEEP_SECONDS,
 ) -> StreamingQuery:
-    """Outbox rows to the task topic. A row counts as published once its batch is through the sink; a
-    row that does not decode goes to the quarantine and counts as published too, or it would block for ever."""
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        pending = batch.where("published_at IS NULL")
-        opened = M.read_outbox_payloads(pending)
-        rows = opened.where("good").select(
+    """Outbox rows to the task topic, oldest first, range by range (``OutboxLog``). A row counts as published once its range is
+    sent; a row that does not decode goes to the quarantine and counts as published too, or it would block for ever.
+    ``send(messages, batch, range)`` takes the place of the files or the broker."""
+    log = OutboxLog(published, range_rows, keep_seconds)
+
+    def deliver(rows: DataFrame, batch_id: int, number: int) -> None:
+        opened = M.read_outbox_payloads(rows)
+        good = opened.where("good").select(
             F.col("task_id").alias("id"), *[c for c in S.OUTBOX_PAYLOAD.names if c != "task_id"], F.lit(0).alias("retry_count"), "created_at"
         )
-        sent = M.to_task_messages(rows.orderBy("created_at", "id"))
-        if broker:
-            M.write_messages(sent, topic_path, broker)
+        messages = M.to_task_messages(good.orderBy("created_at", "id"))
+        if send:
+            send(messages, batch_id, number)
+        elif broker:
+            M.write_messages(messages, topic_path, broker)
         else:
-            write_batch(sent, topic_path, batch_id)
+            messages.write.mode("overwrite").parquet(f"{topic_path}/batch_id={batch_id}/range={number}")
         bad = opened.where("NOT good").select("id", F.col("raw_task_id").alias("task_id"), F.col("raw_payload").alias("payload"), "created_at")
-        write_batch(bad, quarantine, batch_id)
-        write_batch(pending.select("id", F.lit(clock()).cast("timestamp").alias("published_at")), published, batch_id)
-        batch.unpersist()
+        bad.write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}/range={number}")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        log.publish(batch, batch_id, deliver, clock())
 
     return start(outbox.writeStream.foreachBatch(handle), checkpoint, trigger)
 

@@ -1,5 +1,6 @@
 """Operators under one key that holds a third of the rows, against brute force."""
 
+import math
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
@@ -134,8 +135,6 @@ def test_idempotency_with_a_hot_key_and_many_blank_ones(spark):
 
 
 def nearest_rank(values, p):
-    import math
-
     values = sorted(values)
     return values[min(max(math.ceil(len(values) * p / 100) - 1, 0), len(values) - 1)]
 
@@ -158,6 +157,22 @@ def test_percentiles_are_exact_even_with_poor_cuts(spark, accuracy):
         assert [row.p50, row.p95, row.p99, row.p999] == [nearest_rank(values, p) for p in (50, 95, 99, 99.9)]
 
 
+@pytest.mark.parametrize("cell_rows", [1, 7, 300])
+def test_percentiles_narrow_down_to_small_cells(spark, cell_rows):
+    """Ties at either end, one value in most rows, far-off values: cells shrink until they are small or hold one value."""
+    rng = random.Random(6)
+    data = [("low", 0.0)] * 900 + [("low", rng.random()) for _ in range(100)]
+    data += [("high", 5.0)] * 900 + [("high", 5.0 - rng.random()) for _ in range(100)]
+    data += [("wide", math.exp(rng.uniform(-300, 300)) * rng.choice([1, -1])) for _ in range(700)] + [("one", 2.5)] * 400 + [("two", float(i % 2)) for i in range(400)]
+    df = spark.createDataFrame(data, "kind string, v double").repartition(4)
+    got = {r.kind: r for r in metrics.latency_percentiles(df, "v", ["kind"], whole_ms=False, accuracy=50, cell_rows=cell_rows).collect()}
+    for kind in ("low", "high", "wide", "one", "two"):
+        values = [v for k, v in data if k == kind]
+        assert [got[kind].n, got[kind].p50, got[kind].p95, got[kind].p99, got[kind].p999] == [len(values), *(nearest_rank(values, p) for p in (50, 95, 99, 99.9))]
+    whole = metrics.latency_percentiles(df, "v", whole_ms=False, accuracy=50, cell_rows=cell_rows).first()
+    assert whole.p95 == nearest_rank([v for _, v in data], 95)
+
+
 def test_percentiles_of_many_groups(spark):
     df = spark.range(400).select((F.col("id") % 20).cast("string").alias("kind"), F.col("id").cast("double").alias("v"))
     got = {r.kind: r.p50 for r in metrics.latency_percentiles(df, "v", ["kind"], whole_ms=False).collect()}
