@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.common import Memo, map_batches
+from jobtide.llm.common import Memo, forget, map_batches, settle
 
-#: Bound on the labelled rows that a model is fitted on, and on the tokens that it keeps.
-MAX_TRAINING_ROWS, MAX_TOKENS = 20_000, 20_000
+#: Bound on the labelled rows that a model is fitted on, and so on the tokens that it can have.
+MAX_TRAINING_ROWS = 20_000
 #: Weight of the prior, which spreads like the tokens of all labelled rows, and what every token has besides.
 PRIOR, PRIOR_EACH = 1_000.0, 0.5
 #: Least z-score of a kept token, and the score of every other token: clean text must lose.
@@ -57,8 +57,9 @@ class Model:
 def segments(scores: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments ``(first, last, score)`` of a token sequence, best-first disjoint in the sense that no
     segment can be made better by growing or shrinking it. ``scores`` lists the tokens with a score other
-    than ``drift``, as ``(place, score)`` in order. One pass; each token is put on and taken off a list once."""
-    found: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum after
+    than ``drift``, as ``(place, score)`` in order. Linear time: each segment knows the nearest earlier one with a smaller sum
+    before it, so a search jumps over those in between, and no later one looks at them again."""
+    found: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, place of the earlier one
     total, last = 0.0, -1
     for place, score in scores:
         before = total + (place - last - 1) * drift
@@ -66,16 +67,17 @@ def segments(scores: list[tuple[int, float]], drift: float = DRIFT) -> list[tupl
         if score <= 0:
             continue
         first, low, high = place, before, total
+        k = len(found) - 1
         while True:
-            k = len(found) - 1
             while k >= 0 and found[k][2] >= low:
-                k -= 1
+                k = found[k][4]
             if k < 0 or found[k][3] >= high:
-                found.append((first, place, low, high))
+                found.append((first, place, low, high, k))
                 break
-            first, low = found[k][0], found[k][2]
+            first, _, low, _, earlier = found[k]
             del found[k:]
-    return [(a, b, high - low) for a, b, low, high in found]
+            k = earlier
+    return [(a, b, high - low) for a, b, low, high, _ in found]
 
 
 def evidence(text: str, model: Model, score) -> tuple[float, int, list[tuple[int, int, float]]]:
@@ -94,16 +96,16 @@ def probability(x: float, model: Model) -> float:
     return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, model.intercept + model.slope * x))))
 
 
-def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAINING_ROWS, max_tokens: int = MAX_TOKENS) -> Model:
+def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAINING_ROWS) -> Model:
     """A model from labelled documents, at most ``max_rows`` of them, chosen by a hash of their id.
 
     Tokens and their beginnings count once per document. A score is its log-odds between toxic and clean documents under a
-    Dirichlet prior, kept if its z-score is at least ``MIN_Z`` (the ``max_tokens`` highest, a bound on what is broadcast).
+    Dirichlet prior, kept if its z-score is at least ``MIN_Z``. The chosen rows are settled: they are read three times.
     Without labels of both kinds the model has no tokens and scores everything near 0.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_toxic"))
     chosen = F.broadcast(known.orderBy(F.xxhash64(id_col), id_col).limit(max_rows))
-    rows = df.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("_text")).join(chosen, id_col).select("_toxic", "_text")
+    rows = settle(df.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("_text")).join(chosen, id_col).select("_toxic", "_text"))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         by = (Counter(), Counter())
@@ -112,7 +114,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         tokens = list(by[0].keys() | by[1].keys())
         return pa.record_batch([pa.array(tokens, "string"), *(pa.array([c[t] for t in tokens], "int64") for c in by)], ["token", "clean", "toxic"])
 
-    counts = map_batches(rows, count, "token string, clean long, toxic long")
+    counts = settle(map_batches(rows, count, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     totals = counts.agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).first()
     clean_all, toxic_all = totals["c"] or 0, totals["t"] or 0
     if not clean_all or not toxic_all:
@@ -120,15 +122,16 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior = PRIOR * (F.col("clean") + F.col("toxic")) / (clean_all + toxic_all)
     prior = prior + PRIOR_EACH
     odds = lambda y, n: F.log((F.col(y) + prior) / (n + PRIOR))
-    scored = counts.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    scored = scored.where("toxic > 0").withColumn("score", odds("toxic", toxic_all) - odds("clean", clean_all))
+    scored = counts.where("toxic > 0").withColumn("score", odds("toxic", toxic_all) - odds("clean", clean_all))
     scored = scored.withColumn("z", F.col("score") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)))
     # A beginning stands in for rare words only if several words of toxic rows have it.
     stems = scored.where(~F.col("token").endswith("*")).select("token", F.explode(F.array(*[F.when(F.char_length("token") > k, F.concat(F.substring("token", 1, k), F.lit("*"))) for k in PREFIXES])).alias("stem"))
     usable = stems.where("stem is not null").groupBy("stem").count().where(F.col("count") >= MIN_WORDS).select(F.col("stem").alias("token"))
     scored = scored.where(~F.col("token").endswith("*")).unionByName(scored.join(usable, "token", "left_semi"))
-    top = scored.where(F.col("z") >= MIN_Z).orderBy(F.col("z").desc(), "token").limit(max_tokens).collect()
-    return calibrate(rows, Model(weights={r["token"]: r["score"] for r in top}))
+    top = scored.where(F.col("z") >= MIN_Z).collect()
+    model = calibrate(rows, Model(weights={r["token"]: r["score"] for r in top}))
+    forget(rows, counts)
+    return model
 
 
 def calibrate(rows: DataFrame, model: Model) -> Model:
