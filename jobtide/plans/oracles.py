@@ -838,6 +838,34 @@ add(
     f", {_FAILED} SELECT part, id FROM failed UNION ALL SELECT 'unmatched', id + 5000000000 FROM failed WHERE id % 5 = 0",
 )
 add("stream_retention", "task_history", f"SELECT * FROM task_history WHERE occurred_at >= {E} - INTERVAL '86400' SECOND")
+_TEXT_LOG = "SELECT CAST(id AS VARCHAR) AS id, CAST(task_id AS VARCHAR) AS task_id, status, occurred_at"
+add(
+    "history_repartitioned",
+    "task_history",
+    f"{_TEXT_LOG}, 'range' AS part FROM task_history WHERE occurred_at >= TIMESTAMP '2024-01-05 00:00:00'"
+    f" AND occurred_at < TIMESTAMP '2024-01-08 00:00:00' UNION ALL {_TEXT_LOG}, 'back' FROM task_history",
+)
+add(
+    "dlq_table_roundtrip",
+    "dead_letters",
+    "SELECT CAST(id AS VARCHAR) AS id, CAST(original_task_id AS VARCHAR) AS original_task_id, error_message, retry_count,"
+    " json_extract_string(payload, '$.cust') AS payload_cust, dead_lettered_at FROM dead_letters",
+)
+add(
+    "outbox_table_roundtrip",
+    "tasks",
+    "SELECT CAST(id AS VARCHAR) AS task_id, type, priority, json_extract_string(payload, '$.cust') AS payload_cust, true AS pending"
+    " FROM tasks WHERE status = 'queued'",
+)
+add(
+    "route_deltas",
+    "tasks",
+    f", routed AS (SELECT *, {_OUTCOME} AS outcome FROM tasks WHERE status = 'running' AND id % 7 <> 0)"
+    " SELECT 'log' AS part, id, CASE outcome WHEN 'retry' THEN 'queued' ELSE outcome END AS body FROM routed"
+    " UNION ALL SELECT 'dead', id, concat('boom ', CAST(id AS VARCHAR)) FROM routed WHERE outcome = 'dead_lettered'"
+    " UNION ALL SELECT 'again', id, NULL FROM routed WHERE outcome = 'retry'"
+    " UNION ALL SELECT 'missing', id + 5000000000, NULL FROM tasks WHERE status = 'running' AND id % 7 = 0",
+)
 add(
     "retention_drop",
     "task_history",

@@ -495,6 +495,19 @@ def failure_route(spark, sf):
     return transitions.route_outcomes(V.tasks(spark, sf), results(spark, sf), T_AS_OF).tasks_delta.drop("seq")
 
 
+@query
+def route_deltas(spark, sf):
+    """Everything else that comes with routed results: log rows, dead letters, work to send again, and ids without a task."""
+    more = results(spark, sf).withColumn("id", F.when(F.col("id") % 7 == 0, F.col("id") + 5_000_000_000).otherwise(F.col("id")))
+    moved = transitions.route_outcomes(V.tasks(spark, sf), more.unionByName(more), T_AS_OF)
+    none = F.lit(None).cast("string")
+    log = moved.history_delta.select(F.lit("log").alias("part"), F.col("task_id").alias("id"), F.col("status").alias("body"))
+    dead = moved.dlq_delta.select(F.lit("dead").alias("part"), F.col("original_task_id").alias("id"), F.col("error_message").alias("body"))
+    again = moved.dispatch_delta.select(F.lit("again").alias("part"), F.col("task_id").alias("id"), none.alias("body"))
+    missing = moved.not_found.select(F.lit("missing").alias("part"), "id", none.alias("body"))
+    return sets.append_deltas(log, dead, again, missing)
+
+
 @query
 def lifecycle_tick(spark, sf):
     done = ticks.lifecycle_tick(V.tasks(spark, sf), T_AS_OF, k=100, workers=8)

@@ -429,6 +429,44 @@ def history_layout_roundtrip(spark, sf):
         return back.drop("seq").withColumn("occurred_at", F.col("occurred_at").cast(NTZ))
 
 
+@query
+def history_repartitioned(spark, sf):
+    """A flat log copied into the monthly layout, read over a range, and the way back."""
+    with Run(spark) as run:
+        log = V.view(spark, sf, "task_history").withColumns(
+            {c: F.col(c).cast("string") for c in ("id", "task_id")} | {"occurred_at": F.col("occurred_at").cast("timestamp")}
+        )
+        log.write.parquet(run.path("flat"))
+        tables.repartition_history(spark, run.path("flat"), run.path("monthly"))
+        tables.flatten_history(spark, run.path("monthly"), run.path("back"))
+        ranged = tables.read_history(spark, run.path("monthly"), "2024-01-05 00:00:00", "2024-01-08 00:00:00")
+        parts = [ranged.drop("seq").withColumn("part", F.lit("range")), spark.read.parquet(run.path("back")).withColumn("part", F.lit("back"))]
+        return parts[0].unionByName(parts[1]).withColumn("occurred_at", F.col("occurred_at").cast(NTZ))
+
+
+@query
+def dlq_table_roundtrip(spark, sf):
+    """The dead-letter table written, appended to and read through its schema."""
+    with Run(spark) as run:
+        dead = V.dead_letters(spark, sf).withColumns({c: F.col(c).cast("string") for c in ("id", "original_task_id")})
+        dead = dead.withColumns({c: F.col(c).cast("timestamp") for c in ("original_created_at", "dead_lettered_at")})
+        for odd in (0, 1):
+            tables.write_dlq(dead.where(F.col("retry_count") % 2 == odd), run.path("dlq"))
+        back = tables.read_dlq(spark, run.path("dlq"))
+        return back.select("id", "original_task_id", "error_message", "retry_count", F.col("payload")["cust"].alias("payload_cust"), F.col("dead_lettered_at").cast(NTZ).alias("dead_lettered_at"))
+
+
+@query
+def outbox_table_roundtrip(spark, sf):
+    """Outbox rows of the queued tasks written, read and their payload parsed."""
+    with Run(spark) as run:
+        queued = V.tasks(spark, sf).where(F.col("status") == S.QUEUED).withColumn("id", F.col("id").cast("string"))
+        times = {c: F.col(c).cast("timestamp") for c in ("created_at", "updated_at", "run_after")}
+        tables.write_outbox(queued.withColumns(times), run.path("outbox"), V.TASKS_AS_OF)
+        back = tables.read_outbox(spark, run.path("outbox"))
+        return back.select("task_id", F.col("message.type").alias("type"), F.col("message.priority").alias("priority"), F.col("message.payload")["cust"].alias("payload_cust"), F.col("published_at").isNull().alias("pending"))
+
+
 @query
 def task_table_roundtrip(spark, sf):
     """The task table written, read through its schema and reaped."""
