@@ -65,3 +65,30 @@ SELECT vec_id, cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITI
 
 
 ORACLES["op13_centroid_clustering"] = _clustering(10, 8, 64)
+
+ORACLES["op4_jaccard_join"] = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+ SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+ FROM documents),
+s AS MATERIALIZED (
+ SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+ FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (
+ SELECT x.a, x.b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM s p JOIN s q ON p.s = q.s AND p.doc_id <> q.doc_id GROUP BY ALL) x
+ JOIN n na ON na.doc_id = x.a JOIN n nb ON nb.doc_id = x.b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a
+"""
+
+#: Five bytes of the digest, as a number, are eight letters.
+_LETTERS = (
+    "array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',"
+    " 1 + CAST((list_sum(list_transform(generate_series(1, 10), lambda j: CAST(instr('0123456789abcdef', substr(hex, 10 * (i // 8) + j, 1)) - 1 AS BIGINT)"
+    " << CAST(4 * (10 - j) AS INT)))::BIGINT >> CAST(35 - 5 * (i % 8) AS INT)) & 31 AS INT), 1)), '')"
+)
+ORACLES["op6_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS stored FROM pages)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_LETTERS} AS payload_digest,
+ CASE WHEN page_id = stored THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> stored THEN stored END AS refers_to FROM p
+"""
