@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.common import settle
+from jobtide.llm.common import Tidy, scratch, settle
 from jobtide.streaming.sinks import shared_folder
 
 LENGTH = 200
@@ -147,8 +147,9 @@ def _texts(df: DataFrame, text_col: str):
     dealt = rows.mapInArrow(combine, f"{_KEY}, data binary, copies long").repartition(many, "t")
     whole = dealt.groupBy("t", "u").agg(F.first("data").alias("data"), F.sum("copies").alias("copies"))
     name = f"jobtide_texts_{uuid.uuid4().hex}"
-    whole.write.format("parquet").option("path", shared_folder(spark)).option("compression", "zstd").bucketBy(many, "t").sortBy("t").saveAsTable(name)
-    return spark.table(name)
+    path = shared_folder(spark)
+    whole.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(many, "t").sortBy("t").saveAsTable(name)
+    return scratch(spark.table(name), path, name)
 
 
 def _anchored(texts: DataFrame) -> DataFrame:
@@ -301,16 +302,18 @@ def repeat_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(text_col, F.lit(""))
     rows = df.select(F.col(id_col), F.xxhash64(text).alias("t"), F.xxhash64(text, F.lit(1)).alias("u"))
-    done = settle(_cleaned(df, text_col, hot_rows, False).drop("kept_text"))
+    with Tidy() as tidy:
+        done = tidy.keep(settle(_cleaned(df, text_col, hot_rows, False).drop("kept_text")))
     return rows.join(done, ["t", "u"]).select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """``df`` with its text cut as ``repeat_digests`` says; characters of which only some bytes stay go. Columns keep
-    names and order. Null texts stay null."""
+    names and order, whatever they are called. Null texts stay null; an empty table gives no rows."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.struct(*df.columns).alias("_row"), F.xxhash64(text).alias("t"), F.xxhash64(text, F.lit(1)).alias("u"))
-    done = settle(_cleaned(df, text_col, hot_rows, True).where("n_removed > 0").select("t", "u", "kept_text"))
+    with Tidy() as tidy:
+        done = tidy.keep(settle(_cleaned(df, text_col, hot_rows, True).where("n_removed > 0").select("t", "u", "kept_text")))
     cut = rows.join(done, ["t", "u"], "left")
     kept = F.when(F.col(f"_row.{text_col}").isNotNull(), F.coalesce("kept_text", f"_row.{text_col}"))
     return cut.select(*[(kept if c == text_col else F.col(f"_row.{c}")).alias(c) for c in df.columns])
