@@ -654,6 +654,9 @@ add(
     " SELECT step_end, sent, sent - err AS ok, err, round(current_rate, 9) AS current_rate,"
     " round((sent - err) / elapsed, 9) AS overall_rate FROM runs",
 )
+ORACLES["live_rate_default"] = (
+    ORACLES["live_rate"].replace("INTERVAL '2 hours'", "INTERVAL '2 seconds'").replace("INTERVAL '2' HOUR", "INTERVAL '2' SECOND").replace("7200.0", "2.0")
+)
 add(
     "consumer_lag",
     "messages",
@@ -771,6 +774,13 @@ add(
     " SELECT step_end, sent, sent - err AS ok, err, round((sent - err) / 7200.0, 9) AS current_rate FROM steps"
     " WHERE step_end <= (SELECT max(seen_at) - INTERVAL '10' SECOND FROM samples)",
 )
+ORACLES["stream_live_totals_default"] = (
+    ORACLES["stream_live_totals"].replace("INTERVAL '2 hours'", "INTERVAL '2 seconds'").replace("INTERVAL '2' HOUR", "INTERVAL '2' SECOND").replace("7200.0", "2.0")
+)
+ORACLES["stream_sliding_p95_default"] = (
+    ORACLES["stream_sliding_p95"].replace("date_trunc('hour', seen_at)", "date_trunc('minute', seen_at)").replace("INTERVAL '1' HOUR", "INTERVAL '1' MINUTE")
+    .replace("INTERVAL '5' HOUR", "INTERVAL '5' MINUTE")
+)
 add(
     "stream_end_to_end",
     "samples",

@@ -773,6 +773,13 @@ def live_rate(spark, sf):
     return steps.withColumns({"current_rate": F.round("current_rate", 9), "overall_rate": F.round("overall_rate", 9)})
 
 
+@query
+def live_rate_default(spark, sf):
+    """The two-second steps that samples fall into."""
+    steps = metrics.live_rate(V.view(spark, sf, "samples"), "seen_at")
+    return steps.withColumns({"current_rate": F.round("current_rate", 9), "overall_rate": F.round("overall_rate", 9)})
+
+
 @query
 def consumer_lag(spark, sf):
     log = V.view(spark, sf, "messages")

@@ -230,6 +230,22 @@ def stream_sliding_p95(spark, sf):
         return slid.withColumn("quantile", F.round("quantile", 9))
 
 
+@query
+def stream_sliding_p95_default(spark, sf):
+    """Five minutes wide, every minute."""
+    with Run(spark) as run:
+        slid = run.append(jobs.sliding_quantiles(stream_view(spark, sf, "samples"), "seen_at", "latency_seconds", ["kind"]))
+        return slid.withColumn("quantile", F.round("quantile", 9))
+
+
+@query
+def stream_live_totals_default(spark, sf):
+    """Steps of two seconds."""
+    with Run(spark) as run:
+        live = run.append(jobs.live_totals(stream_view(spark, sf, "samples"), "seen_at"))
+        return live.withColumn("current_rate", F.round("current_rate", 9))
+
+
 @query
 def stream_live_totals(spark, sf):
     with Run(spark) as run:
