@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from jobtide import schemas as S
 from jobtide.functions.scalars import blank_to_null, instant, null_to_blank, quoted, seq_of, surrogate_id
-from jobtide.operators.skew import lookup_by_key
+from jobtide.operators.skew import lookup_by_key, settled
 from jobtide.sources.tables import outbox_rows
 
 
@@ -141,7 +141,8 @@ def resolve_idempotency(
         owners = owners.join(stored, key, "left")
     else:
         owners = owners.withColumn("stored_id", F.lit(None).cast(id_type))
-    found = lookup_by_key(req, owners.select(key, "first_id", "stored_id", "n"), key, spread_by=id)
+    # Settled, as the lookup reads it twice: once for its heaviest keys.
+    found = lookup_by_key(req, settled(owners.select(key, "first_id", "stored_id", "n")), key, spread_by=id)
     owner = F.coalesce("stored_id", "first_id", id)
     fresh = F.col("stored_id").isNull() & (owner == F.col(id))
     return found.select(

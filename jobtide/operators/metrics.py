@@ -13,7 +13,7 @@ from jobtide.functions.scalars import col, is_terminal, micros, route_pattern, s
 from jobtide.operators.dispatch import outbox_pending
 from jobtide.operators.history import transitions
 from jobtide.operators.skew import settled
-from jobtide.operators.sliced import with_running_sum
+from jobtide.operators.sliced import with_running_sum, with_running_sums
 
 #: Seconds of a series that are summed in one task; there is one row per so many seconds in the window over all of it.
 SERIES_SLICE = 30 * 86_400
@@ -328,8 +328,7 @@ def live_rate(samples: DataFrame, ts: str, seconds: int = 2) -> DataFrame:
         F.count("*").alias("_sent"), F.count_if(failed).alias("_err")
     )
     steps = steps.select(F.col("w.start").alias("step_start"), F.col("w.end").alias("step_end"), "_sent", "_err")
-    totals = with_running_sum(steps, [], "step_end", "step_end", F.col("_sent"), "sent", slice_seconds=SERIES_SLICE)
-    totals = with_running_sum(totals, [], "step_end", "step_end", F.col("_err"), "err", slice_seconds=SERIES_SLICE)
+    totals = with_running_sums(steps, [], "step_end", "step_end", {"sent": F.col("_sent"), "err": F.col("_err")}, slice_seconds=SERIES_SLICE)
     first = steps.agg(F.min(micros("step_start"))).scalar()
     totals = totals.withColumn("elapsed", (micros("step_end") - first) / F.lit(1_000_000.0)).withColumn("ok", F.col("sent") - F.col("err"))
     return totals.select(

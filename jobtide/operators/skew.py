@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.streaming.sinks import shared_folder
+from jobtide.streaming.sinks import drop_folder, shared_folder
 
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
 _SPREAD = 1024
 
 
+_blocks = threading.local()
+
+
+@contextmanager
+def settling() -> Iterator[None]:
+    """What is settled inside the block goes when it ends. For jobs that write all their results there, such as the handler
+    of a streaming batch; each thread has blocks of its own."""
+    made: list[tuple] = []
+    blocks = _blocks.__dict__.setdefault("open", [])
+    blocks.append(made)
+    try:
+        yield
+    finally:
+        blocks.remove(made)
+        for spark, path in made:
+            drop_folder(spark, path)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, for rows that must not come out differently when
     they are used twice or when an executor is lost. Read back, its size is known when joins are planned."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
+    if blocks := getattr(_blocks, "open", None):
+        blocks[-1].append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

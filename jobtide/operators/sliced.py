@@ -79,28 +79,40 @@ def with_place(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
     return moved.withColumn(name, F.col("_inside") + F.coalesce("_before", F.lit(0))).drop(_SLICE, "_inside", "_before")
 
 
-def with_running_sum(
+def with_running_sums(
     df: DataFrame,
     keys: list[str],
     ts: str,
     tie: str,
-    value: Column,
-    name: str,
+    values: dict[str, Column],
     inclusive: bool = True,
     slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
-    """Adds the running sum of ``value`` per key in ``(ts, tie)`` order, with or without the row itself."""
-    rows = with_slice(df, ts, slice_seconds).withColumns({"_v": value.cast("bigint"), _CARRY: F.lit(False)})
+    """Adds, per ``name: value``, the running sum of the value per key in ``(ts, tie)`` order, with or without the row
+    itself. All sums share one pass."""
+    own = {f"_v{i}": value.cast("bigint") for i, value in enumerate(values.values())}
+    rows = with_slice(df, ts, slice_seconds).withColumns({**own, _CARRY: F.lit(False)})
     earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    summaries = rows.groupBy(*keys, _SLICE).agg(F.sum("_v").alias("_v"))
-    carry = (
-        summaries.withColumn("_v", F.sum("_v").over(earlier))
-        .where("_v <> 0")
-        .withColumn(_CARRY, F.lit(True))
-    )
+    summaries = rows.groupBy(*keys, _SLICE).agg(*[F.sum(v).alias(v) for v in own])
+    before = summaries.withColumns({v: F.sum(v).over(earlier) for v in own})
+    carry = before.where(" OR ".join(f"{v} <> 0" for v in own)).withColumn(_CARRY, F.lit(True))
     both = rows.unionByName(_pad(carry, rows))
     # The carry row has no time, and NULL sorts first, so it opens its slice.
     frame = Window.partitionBy(*keys, _SLICE).orderBy(F.col(ts), F.col(tie))
     frame = frame.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    summed = both.withColumn(name, F.coalesce(F.sum("_v").over(frame), F.lit(0).cast("bigint")))
-    return summed.where(~F.col(_CARRY)).drop(_SLICE, _CARRY, "_v")
+    summed = both.withColumns({name: F.coalesce(F.sum(v).over(frame), F.lit(0).cast("bigint")) for name, v in zip(values, own, strict=True)})
+    return summed.where(~F.col(_CARRY)).drop(_SLICE, _CARRY, *own)
+
+
+def with_running_sum(
+    df: DataFrame,
+    keys: list[str],
+    ts: str,
+    tie: str,
+    value: Column,
+    name: str,
+    inclusive: bool = True,
+    slice_seconds: int = SLICE_SECONDS,
+) -> DataFrame:
+    """``with_running_sums`` of one value."""
+    return with_running_sums(df, keys, ts, tie, {name: value}, inclusive, slice_seconds)

@@ -468,7 +468,7 @@ def reap_deltas(spark, sf):
 @query
 def apply_transitions(spark, sf):
     tasks = V.tasks(spark, sf)
-    after = transitions.apply_transitions(tasks, transitions.reap(tasks, T_AS_OF).tasks_delta.drop("outcome"))
+    after = transitions.apply_transitions(tasks, transitions.reap(tasks, T_AS_OF).tasks_delta.drop("outcome"), unique=True)
     return after.select("id", "status", "retry_count", "updated_at", "run_after")
 
 
@@ -578,7 +578,7 @@ def snapshot_diff(spark, sf):
     """The task table against itself after a reap: rows lost and gained."""
     columns = ["id", "status", "retry_count", "updated_at", "run_after"]
     tasks = V.tasks(spark, sf)
-    after = transitions.apply_transitions(tasks, transitions.reap(tasks, T_AS_OF).tasks_delta.drop("outcome"))
+    after = transitions.apply_transitions(tasks, transitions.reap(tasks, T_AS_OF).tasks_delta.drop("outcome"), unique=True)
     return sets.snapshot_diff(tasks.select(*columns), after.select(*columns))
 
 

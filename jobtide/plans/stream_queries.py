@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +16,14 @@ from jobtide.operators import metrics, transitions
 from jobtide.operators.skew import settled
 from jobtide.plans import tick as ticks
 from jobtide.plans import views as V
-from jobtide.plans.queries import NTZ, query
+from jobtide.plans.queries import NTZ, Query
+from jobtide.plans.queries import query as register
 from jobtide.plans.tick import Store
 from jobtide.sources import tables
 from jobtide.sources.buckets import BucketStore
 from jobtide.streaming import jobs, timers
 from jobtide.streaming.audit import read_audit
-from jobtide.streaming.sinks import shared_folder
+from jobtide.streaming.sinks import drop_folder, shared_folder
 
 
 def stream_view(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -36,19 +37,31 @@ def stream_view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return rows.withColumns(times)
 
 
+def query(fn: Query) -> Query:
+    """Registers a query that runs in a session of its own, with as many state partitions as the cluster has cores:
+    the caller's settings stay as they are."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        own = spark.newSession()
+        own.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+        return fn(own, sf)
+
+    return register(run)
+
+
 class Run:
-    """A folder for one run, and as many state partitions as the cluster has cores."""
+    """A folder for one run. What its streams have read and their checkpoints go when it ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, shared_folder(spark)
-        self.partitions = spark.conf.get("spark.sql.shuffle.partitions")
 
     def __enter__(self) -> Run:
-        self.spark.conf.set("spark.sql.shuffle.partitions", str(self.spark.sparkContext.defaultParallelism))
         return self
 
     def __exit__(self, *problem) -> None:
-        self.spark.conf.set("spark.sql.shuffle.partitions", self.partitions)
+        for name in ("in", "checkpoint"):
+            drop_folder(self.spark, self.path(name))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

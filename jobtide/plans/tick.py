@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobtide import schemas as S
 from jobtide.functions.scalars import seq_of
 from jobtide.operators.sets import append_deltas
-from jobtide.operators.skew import settled
+from jobtide.operators.skew import settled, settling
 from jobtide.operators.transitions import AsOf, TransitionResult, apply_transitions, claim, reap, route_outcomes
 from jobtide.sources.buckets import BUCKETS, MOST_PARTS, BucketStore
 from jobtide.sources.tables import decoded, encoded
@@ -75,7 +75,8 @@ def save_tasks(tasks: DataFrame, store: Store, version: int) -> None:
 def save_changes(tasks: DataFrame, delta: DataFrame, store: Store, version: int) -> None:
     """The next version: only the changed rows are written, to the buckets of their ids. ``delta`` names each id once."""
     changed = apply_transitions(tasks.join(delta.select("id"), "id", "left_semi"), delta, unique=True)
-    store.table().append(settled(_stored(changed)), version, ("status", "id"))
+    with settling():
+        store.table().append(settled(_stored(changed)), version, ("status", "id"))
 
 
 def run_tick(spark: SparkSession, store: Store, version: int, as_of: AsOf, k: int, workers: int = 1) -> None:

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from jobtide import schemas as S
 from jobtide.operators import ingest, lookups, metrics, transitions
 from jobtide.operators.history import latest
-from jobtide.operators.skew import settled
+from jobtide.operators.skew import settled, settling
 from jobtide.sources import messages as M
 from jobtide.sources import tables
 from jobtide.sources.buckets import BucketStore
@@ -91,21 +91,22 @@ def ingest_batch(
 ) -> None:
     """One batch of requests into tasks, history and outbox. Keys taken by earlier batches only are
     looked up, so running a batch again finds what it found the first time."""
-    batch.persist()
-    store = target.key_store()
-    keys = batch.select("id", "idempotency_key").where("idempotency_key <> ''")
-    taken = store.lookup(keys, batch_id - 1, keys.select("idempotency_key", "id").schema)
-    made = ingest.create_tasks(batch, as_of, taken, known_types, order)
-    tasks = made.tasks.persist()
-    # Everything derives from the task rows and has ids that follow from them.
-    at = F.col("created_at")
-    write_batch(tables.encoded(tasks), target.tasks, batch_id)
-    write_batch(ingest.history_rows(tasks, S.QUEUED, at), target.history, batch_id)
-    write_batch(tables.outbox_rows(tasks, at), target.outbox, batch_id)
-    write_batch(made.outcomes, target.outcomes, batch_id)
-    store.append(tasks.where("idempotency_key IS NOT NULL").select("idempotency_key", "id"), batch_id)
-    tasks.unpersist()
-    batch.unpersist()
+    with settling():
+        batch.persist()
+        store = target.key_store()
+        keys = batch.select("id", "idempotency_key").where("idempotency_key <> ''")
+        taken = store.lookup(keys, batch_id - 1, keys.select("idempotency_key", "id").schema)
+        made = ingest.create_tasks(batch, as_of, taken, known_types, order)
+        tasks = made.tasks.persist()
+        # Everything derives from the task rows and has ids that follow from them.
+        at = F.col("created_at")
+        write_batch(tables.encoded(tasks), target.tasks, batch_id)
+        write_batch(ingest.history_rows(tasks, S.QUEUED, at), target.history, batch_id)
+        write_batch(tables.outbox_rows(tasks, at), target.outbox, batch_id)
+        write_batch(made.outcomes, target.outcomes, batch_id)
+        store.append(tasks.where("idempotency_key IS NOT NULL").select("idempotency_key", "id"), batch_id)
+        tasks.unpersist()
+        batch.unpersist()
 
 
 def stream_requests(
@@ -211,7 +212,8 @@ def stream_current_state(history: DataFrame, path: str, checkpoint: str, trigger
     when they are read and compacts its buckets one by one. No state is kept beside the store."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        _state_store(path).append(settled(latest(batch)), batch_id)
+        with settling():
+            _state_store(path).append(settled(latest(batch)), batch_id)
 
     return start(history.writeStream.foreachBatch(handle), checkpoint, trigger)
 

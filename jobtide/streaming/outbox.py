@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobtide.operators.skew import settling
 from jobtide.operators.sliced import with_place
 from jobtide.streaming.sinks import drop_folder, path_exists, subfolders
 
@@ -44,7 +45,8 @@ class OutboxLog:
         first range that cannot be sent ends the batch: it and all later ones wait for the next one. A batch that is run
         again keeps its ranges and begins at the first one without a mark, so at most one range is sent twice."""
         spark = batch.sparkSession
-        self._plan(batch, batch_id)
+        with settling():
+            self._plan(batch, batch_id)
         for number in self.unsent(spark, batch_id):
             rows = spark.read.parquet(f"{self._waiting(batch_id)}/range={number}")
             try:
