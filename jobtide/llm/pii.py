@@ -128,7 +128,7 @@ def plain_followers(texts: DataFrame, contexts: DataFrame) -> DataFrame:
     plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
     two = F.when(F.col("p.two") != "", F.concat_ws(" ", plain(F.col("p.two")), plain(F.col("p.one"))))
     rows = rows.select(F.col("p.word").alias("word"), F.explode(F.array(plain(F.col("p.one")), two)).alias("context"))
-    return rows.join(F.broadcast(contexts.select("context").distinct()), "context").distinct().groupBy("context").agg(F.count("*").alias("plain"))
+    return rows.join(contexts.select("context").distinct(), "context").distinct().groupBy("context").agg(F.count("*").alias("plain"))
 
 
 def bootstrap(found: DataFrame, texts: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
@@ -205,7 +205,8 @@ def listed(spans: Column) -> Column:
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with every span of its text replaced by its kind in brackets; overlapping spans give the name of the first.
-    Columns keep their names and order; null texts stay null."""
+    Columns keep their names and order, whatever they are called; null and empty texts stay as they are, texts of any length are
+    searched whole, repeated rows change alike, and an empty table gives no rows."""
     row = df.select(F.struct("*").alias("_all"), F.col(text_col).alias("_body"))
     found = find_spans(row, "_body").withColumn("_sorted", F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))

@@ -137,6 +137,8 @@ def assess(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source
 
 
 def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``df`` that ``assess`` keeps, columns unchanged."""
+    """The rows of ``df`` that ``assess`` keeps, columns unchanged whatever they are called. Null and blank texts go, as they
+    have no words; null languages and sources are groups of their own; repeated rows stay or go together; an empty table
+    gives no rows."""
     row = df.select(F.struct("*").alias("_all"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     return assess(row).where("kept").select("_all.*")
