@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from jobtide.llm.common import Memo, map_batches, settle, worker_cache
+from jobtide.llm.common import TextMemo, map_batches, settle, worker_cache
 
 SEQUENCE_TOKENS = 4096
 END_ID = 1
@@ -42,7 +42,7 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known = Memo(self._chunk, limit)
+        self.known = TextMemo(self._chunk, limit)
 
     def _chunk(self, chunk: str) -> bytes:
         """A chunk the cache has not seen. Cuts at punctuation behind an ASCII letter or digit are cuts of the vocabulary too
