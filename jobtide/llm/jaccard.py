@@ -20,7 +20,7 @@ PAIR_GROUP, BLOCK_ROWS = 64, 512
 #: Bits of the filter that keeps documents without a chance from being moved; a full filter keeps too many, never too few.
 FILTER_BITS = 1 << 26
 #: Shingles of one fragment, fragments of a pass at least, bytes of text that a shingle stands for, parts that a pair is compared in.
-FRAGMENT_TOKENS, LEAST_FRAGMENTS, BYTES_PER_SHINGLE, PAIR_FRAGMENTS = 2_000_000, 16, 6, 4
+FRAGMENT_TOKENS, LEAST_FRAGMENTS, BYTES_PER_SHINGLE, PAIR_FRAGMENTS = 1_000_000, 16, 6, 2
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -243,7 +243,7 @@ def cut_sets(sets: DataFrame, parts: int = PAIR_FRAGMENTS) -> DataFrame:
     """``k``, ``part``, ``tokens``: every set cut at the same places of the global order, one row for each part it has shingles in."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        borders = (np.arange(1, parts) * (2**64 // parts)).astype(np.uint64) if parts > 1 else np.empty(0, np.uint64)
+        borders = np.array([2**64 // parts * i for i in range(1, parts)], np.uint64)
         for batch in batches:
             for begin in range(0, batch.num_rows, 2_000):
                 piece, rows = batch.slice(begin, 2_000), []
@@ -258,22 +258,22 @@ def cut_sets(sets: DataFrame, parts: int = PAIR_FRAGMENTS) -> DataFrame:
 def overlaps(pairs: DataFrame, cut: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (``a``, ``b``, with their sizes ``na``, ``nb``) that are linked. A pair meets part by part of the global
     order; each part's overlap is counted on its own, and the counts are summed per pair."""
-    left = pairs.join(cut.select(F.col("k").alias("a"), "part", F.col("tokens").alias("x")), "a")
-    both = left.join(cut.select(F.col("k").alias("b"), "part", F.col("tokens").alias("y")), ["b", "part"]).select("a", "b", "na", "nb", "x", "y")
+    left = pairs.select("a", "b").join(cut.select(F.col("k").alias("a"), "part", F.col("tokens").alias("x")), "a")
+    both = left.join(cut.select(F.col("k").alias("b"), "part", F.col("tokens").alias("y")), ["b", "part"]).select("a", "b", "x", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 2_000):
                 part, shared = batch.slice(begin, 2_000), []
-                for x, y in zip(part.column(4), part.column(5), strict=True):
+                for x, y in zip(part.column(2), part.column(3), strict=True):
                     x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                     both = np.concatenate([x, y])
                     both.sort()
                     shared.append(int((both[1:] == both[:-1]).sum()))
-                yield pa.record_batch([*part.columns[:4], pa.array(shared, "int64")], ["a", "b", "na", "nb", "shared"])
+                yield pa.record_batch([*part.columns[:2], pa.array(shared, "int64")], ["a", "b", "shared"])
 
-    partial = both.mapInArrow(count, "a long, b long, na long, nb long, shared long")
-    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    partial = both.mapInArrow(count, "a long, b long, shared long")
+    summed = partial.groupBy("a", "b").agg(F.sum("shared").alias("shared")).join(pairs, ["a", "b"])
     return summed.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
