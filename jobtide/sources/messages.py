@@ -73,10 +73,16 @@ def _meta() -> Column:
 _COUNTS = (*NUMBER_FIELDS, "retry_count")
 
 
+def _spread(messages: DataFrame) -> DataFrame:
+    """``messages`` dealt over the cluster by their place in their topic: decoding takes far longer than reading, and a source
+    of few files or partitions would leave it to as few tasks."""
+    return messages.repartition("topic", "partition", "offset")
+
+
 def read_task_messages(messages: DataFrame) -> DataFrame:
     """Every message decoded, ``reject_reason`` NULL for the good ones."""
     texts = ("task_id", *TEXT_FIELDS)
-    opened, doc = open_documents(messages, "value", texts, _COUNTS)
+    opened, doc = open_documents(_spread(messages), "value", texts, _COUNTS)
     task_id = canonical_uuid(doc.text("task_id"))
     return opened.select(
         *messages.columns,
@@ -116,7 +122,11 @@ def _quarantined(decoded: DataFrame) -> DataFrame:
 
 def parse_task_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(good, bad)``: tasks to run, and untouched rows for the quarantine. Bad ones count as consumed."""
-    decoded = read_task_messages(messages)
+    return split_task_messages(read_task_messages(messages))
+
+
+def split_task_messages(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``parse_task_messages`` of rows that are decoded already."""
     good = decoded.where("reject_reason IS NULL").select(
         "task_id",
         "name",
@@ -135,7 +145,7 @@ def parse_task_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_history_messages(messages: DataFrame) -> DataFrame:
     """Every event decoded. A time that does not parse is replaced by the record's own time, not by
     the clock, so a replay gives the same rows."""
-    opened, doc = open_documents(messages, "value", ("task_id", "status", "at"), ("seq",), payload=False)
+    opened, doc = open_documents(_spread(messages), "value", ("task_id", "status", "at"), ("seq",), payload=False)
     task_id = canonical_uuid(doc.text("task_id"))
     status = doc.blank_text("status")
     at = F.coalesce(parse_rfc3339(doc.text("at")), F.col("timestamp").cast("timestamp"))
@@ -152,7 +162,11 @@ def read_history_messages(messages: DataFrame) -> DataFrame:
 
 
 def parse_history_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    decoded = read_history_messages(messages)
+    return split_history_messages(read_history_messages(messages))
+
+
+def split_history_messages(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``parse_history_messages`` of rows that are decoded already."""
     good = decoded.where("reject_reason IS NULL").select(*S.LOG_COLUMNS)
     return good, _quarantined(decoded)
 
