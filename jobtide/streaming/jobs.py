@@ -52,11 +52,11 @@ def stream_history_messages(
     row per flush."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        good, bad = M.parse_history_messages(batch)
+        decoded = M.read_history_messages(batch).persist()
+        good, bad = M.split_history_messages(decoded)
         write_batch(tables.with_month(good), path, batch_id, ("event_month",))
         write_batch(bad, quarantine, batch_id)
-        batch.unpersist()
+        decoded.unpersist()
 
     return start(messages.writeStream.foreachBatch(audited(handle, audit)), checkpoint, trigger)
 
@@ -197,13 +197,13 @@ def stream_messages(
     folder for a row per poll."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        good, bad = M.parse_task_messages(batch)
+        decoded = M.read_task_messages(batch).persist()
+        good, bad = M.split_task_messages(decoded)
         run, skip = lookups.skip_terminal(good, tasks())
         write_batch(tables.encoded(run), to_run, batch_id)
         write_batch(skip.select("task_id", "meta"), skipped, batch_id)
         write_batch(bad, quarantine, batch_id)
-        batch.unpersist()
+        decoded.unpersist()
 
     return start(messages.writeStream.foreachBatch(audited(handle, audit)), checkpoint, trigger)
 
