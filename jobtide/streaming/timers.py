@@ -6,7 +6,7 @@ drop. Deadlines wait another ``hold_back``, the longest that news of an event ma
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -23,11 +23,17 @@ _DUE = "task_id string, retry_count int, due_us bigint"
 _GIVEN = "given"
 
 
-def _wait(handle: StatefulProcessorHandle, at_us: int) -> None:
-    """One timer per task, the first millisecond after the moment."""
-    for timer in handle.listTimers():
+def _timer(at_us: int) -> int:
+    """The first millisecond after a moment."""
+    return at_us // 1000 + 1
+
+
+def _wait(handle: StatefulProcessorHandle, at_us: int, before: Iterable[int] = ()) -> None:
+    """One timer per task: those in ``before`` go. A list of timers is a search in the state store that stays open until
+    the task ends, so it is asked for only where the stored row does not tell the timer."""
+    for timer in before:
         handle.deleteTimer(timer)
-    handle.registerTimer(at_us // 1000 + 1)
+    handle.registerTimer(_timer(at_us))
 
 
 class StuckRuns(StatefulProcessor):
@@ -42,18 +48,25 @@ class StuckRuns(StatefulProcessor):
         self.run = handle.getValueState("run", _RUN)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        stored = tuple(self.run.get()) if self.run.exists() else None
-        newest = stored
+        found = self.run.get()
+        newest = stored = None if found is None else tuple(found)
         for row in rows:
             found = (row.status, row.at_us, row.seq, row.id, row.retry_count, row.max_retries, row.timeout_seconds)
             if newest is None or found[1:4] > newest[1:4]:
                 newest = found
         if newest != stored:
             self.run.update(newest)
-            # A task is stuck only after its deadline.
-            _wait(self.handle, (_deadline_us(newest) if newest[0] == RUNNING else newest[1]) + self.hold_us)
+            if stored is None:
+                before = ()
+            else:
+                before = self.handle.listTimers() if stored[0] == _GIVEN else [_timer(self._until(stored))]
+            _wait(self.handle, self._until(newest), before)
         return iter(())
 
+    def _until(self, run: tuple) -> int:
+        """A task is stuck only after its deadline."""
+        return (_deadline_us(run) if run[0] == RUNNING else run[1]) + self.hold_us
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         run = tuple(self.run.get())
         if run[0] != RUNNING:
@@ -121,15 +134,19 @@ class DueRetries(StatefulProcessor):
         self.waiting = handle.getValueState("waiting", "failed_us bigint, retry_count int, due_us bigint, given boolean")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        stored = tuple(self.waiting.get()) if self.waiting.exists() else None
-        newest = stored
+        found = self.waiting.get()
+        newest = stored = None if found is None else tuple(found)
         for row in rows:
             found = (row.failed_us, row.retry_count, row.due_us, False)
             newest = found if newest is None or found[:2] > newest[:2] else newest
         if newest != stored:
             self.waiting.update(newest)
+            if stored is None:
+                before = ()
+            else:
+                before = self.handle.listTimers() if stored[3] else [_timer(stored[2] - 1000)]
             # Due at its moment, not after it; one that is overdue already fires with this batch.
-            _wait(self.handle, newest[2] - 1000)
+            _wait(self.handle, newest[2] - 1000, before)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
