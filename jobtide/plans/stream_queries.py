@@ -26,6 +26,9 @@ from jobtide.streaming.audit import read_audit
 from jobtide.streaming.sinks import drop_folder, shared_folder
 
 
+BATCH_PARTITIONS, BATCH_PARTITION_SIZE = 200, "8m"
+
+
 def stream_view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A view over its test table read as a stream, with zoned times so that watermarks work."""
     source, columns = V.VIEWS[name]
@@ -39,12 +42,16 @@ def stream_view(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def query(fn: Query) -> Query:
     """Registers a query that runs in a session of its own, with as many state partitions as the cluster has cores:
-    the caller's settings stay as they are."""
+    the caller's settings stay as they are. Batch steps start from more partitions, which adaptive execution puts together by
+    their size, so a task's share of large tables stays small."""
 
     @wraps(fn)
     def run(spark: SparkSession, sf: str) -> DataFrame:
         own = spark.newSession()
-        own.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+        cores = spark.sparkContext.defaultParallelism
+        own.conf.set("spark.sql.shuffle.partitions", str(cores))
+        own.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(cores, BATCH_PARTITIONS)))
+        own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", BATCH_PARTITION_SIZE)
         return fn(own, sf)
 
     return register(run)

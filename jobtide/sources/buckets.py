@@ -49,7 +49,8 @@ class BucketStore:
         return [f"{self.root}{folder}/batch_id={n}/bucket={b}" for b in buckets if b in parts for n in parts[b]]
 
     def _fold(self, rows: DataFrame) -> DataFrame:
-        columns = rows.columns
+        # Dealt by key first: the rows are sorted for the aggregate in shares of the shuffle, not in those of the files.
+        columns, rows = rows.columns, rows.repartition(self.key)
         latest = F.max_by(F.struct(*columns), F.struct(*self.order)).alias("_row")
         return rows.groupBy(F.col(self.key).alias("_key")).agg(latest).select("_row.*")
 
@@ -91,7 +92,14 @@ class BucketStore:
         self._forget(spark, version)
 
     def _write(self, rows: DataFrame, version: int, sort: tuple[str, ...]) -> None:
-        dealt = rows.withColumn("bucket", self.bucket()).repartition("bucket").sortWithinPartitions("bucket", *sort)
+        # A bucket goes to several tasks when there are more partitions than buckets, so a task's share does not follow from
+        # the number of buckets. Adaptive execution puts small shares together.
+        conf = rows.sparkSession.conf
+        partitions = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or conf.get("spark.sql.shuffle.partitions")
+        spread = max(1, int(partitions) // self.buckets)
+        share = F.pmod(F.xxhash64(F.lit(2), F.col(self.key).cast("string")), F.lit(spread))
+        dealt = rows.withColumns({"bucket": self.bucket(), "_share": share}).repartition("bucket", "_share").drop("_share")
+        dealt = dealt.sortWithinPartitions("bucket", *sort)
         write_batch(dealt, self.root, version, ("bucket",))
         if self.with_filter:
             bits = _filter_place(self.key)

@@ -121,3 +121,16 @@ def test_audit_rows_of_good_failed_and_repeated_batches(spark, tmp_path):
     assert got == [(0, 5, "success"), (1, 15, "success"), (2, 7, "error"), (2, 7, "success")]
     assert read_audit(spark, path).where(F.col("ms") <= 0).count() == 0
     assert audited(handle, None) is handle
+
+
+def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
+    """A task's share of a large table follows from the number of partitions, not from that of the buckets."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        store = BucketStore(str(tmp_path / "t"), "id", ("seq",), buckets=2)
+        store.replace(spark.range(1000).selectExpr("CAST(id AS STRING) AS id", "id AS seq"), 0)
+        files = [p for p in (tmp_path / "t" / "batch_id=0").glob("bucket=*/part-*")]
+        assert len({p.parent.name for p in files}) == 2 and len(files) > 2
+        assert store.read(spark, 0, "id string, seq bigint").distinct().count() == 1000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
