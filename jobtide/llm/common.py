@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +46,19 @@ class Memo(dict):
         value = self.older.get(key)
         if value is None:
             value = self.find(key)
+        return self.keep(key, value)
+
+    def keep(self, key, value):
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
         self[key] = value
         return value
 
+    def new(self, keys: Iterable) -> list:
+        """Those of the keys that are not in the cache."""
+        return [k for k in keys if k not in self and k not in self.older]
+
 
 #: Longer texts are not kept in caches: a document without a blank may be one.
 LONGEST_KEY = 256
@@ -62,6 +71,34 @@ class TextMemo(Memo):
         return self.find(key) if len(key) > LONGEST_KEY else super().__missing__(key)
 
 
+#: Bytes of text whose parts are looked up together.
+TOGETHER = 1 << 23
+
+
+def slices(texts: pa.Array, limit: int = TOGETHER) -> Iterator[pa.Array]:
+    """``texts`` in runs of about ``limit`` bytes; a longer text is in a run with those before it."""
+    run = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // limit
+    edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+    for a, b in zip(edges, edges[1:]):
+        yield texts.slice(a, b - a)
+
+
+def parts_at_spaces(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """``(parts, at, edges)``: the distinct parts between spaces, the part at each place, and the places where each text
+    begins, with their number at the end. A part that recurs is looked up once by its users; Arrow puts the finds in place."""
+    cut = pc.split_pattern(texts, " ")
+    coded = cut.flatten().dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy(), cut.offsets.to_numpy()
+
+
+def put_in_place(found: list[bytes], at: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """What was found for the part at each place, end to end, and the byte where each place begins, with their number at the end."""
+    placed = pa.array(found, pa.large_binary()).take(pa.array(at))
+    edges = np.frombuffer(placed.buffers()[1], np.int64)[placed.offset : placed.offset + len(placed) + 1]
+    data = placed.buffers()[2]
+    return memoryview(data if data is not None else b""), edges
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` with one function per record batch."""
 

@@ -5,14 +5,16 @@ from __future__ import annotations
 import json
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from jobtide.llm.common import TextMemo, map_batches, settle, worker_cache
+from jobtide.llm.common import LONGEST_KEY, TextMemo, map_batches, parts_at_spaces, put_in_place, settle, slices, worker_cache
 
 SEQUENCE_TOKENS = 4096
 END_ID = 1
@@ -21,6 +23,8 @@ SLICES, SLICE_ROWS = 64, 1_000_000
 
 #: Marks that are neither part of a contraction nor of a special token.
 _PUNCTUATION = ".,!?;:*%$&#()"
+#: Words given to the library in one call.
+WORDS_TOGETHER = 500
 _PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -43,6 +47,10 @@ class WordIds:
         self.library.no_truncation()
         self.library.no_padding()
         self.known = TextMemo(self._chunk, limit)
+        #: Ids that end a word: those between two of them are one word's.
+        suffix = told["model"].get("end_of_word_suffix")
+        ends = [i for token, i in told["model"]["vocab"].items() if suffix and token.endswith(suffix)]
+        self.ends = np.isin(np.arange(1 + max(told["model"]["vocab"].values())), ends)
 
     def _chunk(self, chunk: str) -> bytes:
         """A chunk the cache has not seen. Cuts at punctuation behind an ASCII letter or digit are cuts of the vocabulary too
@@ -55,6 +63,20 @@ class WordIds:
             return self.known[lower]
         return self._encode(chunk)
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Keeps the ids of the new words among the chunks, which the library gets many at a time. Only words of the letters a
+        to z, once their marks are off, as each of them is one word to the library too."""
+        words = {w for c in self.known.new(chunks) if len(c) <= LONGEST_KEY and (w := c.rstrip(_PUNCTUATION).lower()).isascii() and w.isalpha()}
+        words = self.known.new(words)
+        for begin in range(0, len(words), WORDS_TOGETHER):
+            some = words[begin : begin + WORDS_TOGETHER]
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            after = np.flatnonzero(self.ends[ids]) + 1
+            if len(after) == len(some) and after[-1] == len(ids):
+                data, edges = ids.tobytes(), [0, *(4 * after).tolist()]
+                for word, a, b in zip(some, edges, edges[1:]):
+                    self.known.keep(word, data[a:b])
+
     def _encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -63,6 +85,18 @@ class WordIds:
             return self._encode(text)
         return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes | memoryview]:
+        """``encode`` of each text; a chunk that recurs in them is asked for once."""
+        if not self.by_chunk:
+            yield from map(self._encode, texts.to_pylist())
+            return
+        for some in slices(texts):
+            chunks, at, edges = parts_at_spaces(pc.replace_substring(some, "\n", " "))
+            self._learn(chunks)
+            ids, begins = put_in_place(list(map(self.known.__getitem__, chunks)), at)
+            begins = begins[edges].tolist()
+            yield from (ids[a:b] for a, b in zip(begins, begins[1:]))
+
 
 def cut_documents(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = SEQUENCE_TOKENS, end_id: int = END_ID) -> DataFrame:
     """Pieces of at most ``max_tokens`` ids of every document, the end id included: ``id_col``, ``piece``, ``start``,
@@ -72,8 +106,8 @@ def cut_documents(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", t
         words = worker_cache(f"words {vocabulary_path}", lambda: WordIds(vocabulary_path))
         rows, piece, start, length, crc = [], [], [], [], []
         end = np.array([end_id], "<u4").tobytes()
-        for row, text in enumerate(batch.column(1).to_pylist()):
-            ids = words.encode(text) + end
+        for row, own in enumerate(words.encode_all(batch.column(1))):
+            ids = b"".join((own, end))
             for k, at in enumerate(range(0, len(ids), 4 * max_tokens)):
                 part = ids[at : at + 4 * max_tokens]
                 rows.append(row)
