@@ -6,14 +6,17 @@ import codecs
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.common import Memo, map_batches, worker_cache
+from jobtide.llm.common import TOGETHER, Memo, map_batches, parts_at_spaces, put_in_place, worker_cache
 from jobtide.llm.vocabulary import Vocabulary
 
 _NEVER = 1 << 60
+#: Steps of the automaton that are kept.
+STEPS = 1_000_000
 
 
 class Transducer:
@@ -23,12 +26,13 @@ class Transducer:
     So the last token of every prefix is unique, and it follows from the last tokens of the ``lookahead``
     prefixes before it, where ``lookahead`` is the length of the longest token the merge list can make: no later
     token can begin earlier. Every continuation goes through one of these prefixes; tokens that the
-    chains of all of them share are stable and are emitted.
+    chains of all of them share are stable and are emitted. The tokens that end at a prefix come from an automaton of all tokens, byte by byte.
     """
 
     def __init__(self, vocabulary: Vocabulary):
-        self.tokens, self.merges = vocabulary.tokens, vocabulary.merges
+        self.merges = vocabulary.merges
         self.lookahead = sufficient_lookahead(vocabulary)
+        self.step, self.ending = automaton({t: i for t, i in vocabulary.tokens.items() if len(t) <= self.lookahead})
         self.parts = {merged: pair for pair, (_, merged) in self.merges.items()}
         self.rank = {merged: rank for rank, merged in self.merges.values()}
         self.right = Memo(lambda t: self._spine(t, 1))
@@ -55,31 +59,47 @@ class Transducer:
                     return False
         return True
 
+    def short(self, piece: bytes) -> list[int]:
+        """Token ids of a piece of at most ``lookahead`` bytes, whose prefix ends are all at hand."""
+        step, ending, fits = self.step, self.ending, self.fits
+        state, last, sizes = 0, [-1], [0]
+        for end, byte in enumerate(piece, 1):
+            state = step[state << 8 | byte]
+            for size, token in ending[state]:
+                left = last[end - size]
+                if left < 0 or fits[left, token]:
+                    last.append(token)
+                    sizes.append(size)
+                    break
+            else:
+                raise ValueError("the vocabulary cannot spell this piece")
+        found, end = [], len(piece)
+        while end:
+            found.append(last[end])
+            end -= sizes[end]
+        return found[::-1]
+
     def encode(self, pieces: Iterable[bytes]) -> Iterator[int]:
         """Token ids of one piece that arrives in parts of any size."""
-        look, tokens, fits = self.lookahead, self.tokens.get, self.fits
-        tail = b""  # the last ``look`` bytes
+        look, step, ending, fits = self.lookahead, self.step, self.ending, self.fits
+        state = 0  # the longest token's beginning that ends here
         # One node per prefix end, the last ``look + 1`` of them: (token, node before it, depth).
         nodes = [(-1, None, 0)]
         emitted, steps = 0, 0
         for part in pieces:
             for begin in range(0, len(part), look):
-                known = len(tail)
-                tail += part[begin : begin + look]
-                for end in range(known + 1, len(tail) + 1):
-                    here = len(nodes)
+                block = part[begin : begin + look]
+                for byte in block:
+                    state = step[state << 8 | byte]
                     # The longest token is most often the right one; which is tried first changes nothing else.
-                    for size in range(min(end, here, look), 0, -1):
-                        token = tokens(tail[end - size : end])
-                        if token is not None:
-                            node = nodes[here - size]
-                            if node[0] < 0 or fits[node[0], token]:
-                                nodes.append((token, node, node[2] + 1))
-                                break
+                    for size, token in ending[state]:
+                        node = nodes[-size]
+                        if node[0] < 0 or fits[node[0], token]:
+                            nodes.append((token, node, node[2] + 1))
+                            break
                     else:
                         raise ValueError("the vocabulary cannot spell this piece")
-                steps += len(tail) - known
-                tail = tail[-look:]
+                steps += len(block)
                 del nodes[: -look - 1]
                 if steps > 2 * look:
                     steps = 0
@@ -90,6 +110,40 @@ class Transducer:
         yield from _tokens(nodes[-1], emitted)
 
 
+def automaton(tokens: dict[bytes, int]) -> tuple[dict[int, int], list[tuple[tuple[int, int], ...]]]:
+    """``(step, ending)``: the state after ``state << 8 | byte``, and ``(bytes, id)`` of the tokens that end in a state, longest
+    first. A state is the longest end of the bytes so far that begins a token; 0 is the empty one. Steps that lead
+    out of a token's beginning are found when they are first taken and kept while there are fewer than ``STEPS``."""
+    made: dict[bytes, int] = {b"": 0}
+    for token in tokens:
+        for size in range(len(token), 0, -1):
+            if token[:size] in made:
+                break
+            made[token[:size]] = -1
+    order = sorted(made, key=len)
+    for state, name in enumerate(order):
+        made[name] = state
+    ending: list[tuple[tuple[int, int], ...]] = [()] * len(order)
+    shorter = [0] * len(order)
+
+    class Steps(dict):
+        def __missing__(self, key: int) -> int:
+            state = key >> 8
+            to = self[shorter[state] << 8 | key & 255] if state else 0
+            if len(self) < STEPS:
+                self[key] = to
+            return to
+
+    step = Steps()
+    for state, name in enumerate(order[1:], 1):
+        before = made[name[:-1]]
+        shorter[state] = step[shorter[before] << 8 | name[-1]] if before else 0
+        own = ((len(name), tokens[name]),) if name in tokens else ()
+        ending[state] = own + ending[shorter[state]]
+        step[before << 8 | name[-1]] = state
+    return step, ending
+
+
 def _shared(nodes: list) -> tuple:
     """The deepest node that the chains of all given nodes go through."""
     level = {id(n): n for n in nodes}
@@ -155,29 +209,59 @@ class Codec:
     def __init__(self, path: str):
         self.vocabulary = v = Vocabulary(path)
         transducer = Transducer(v)
-        self.piece = Memo(lambda p: tuple(transducer.encode([p.encode()])), 800_000)
-        self.after_space = Memo(lambda s: self.run(" " + s), 800_000)
+        self.listed = {i: b"%d," % i for i in v.bytes_of}
+
+        def encoded(piece: str) -> tuple[int, ...]:
+            data = piece.encode()
+            return tuple(transducer.short(data) if len(data) <= transducer.lookahead else transducer.encode([data]))
+
+        self.piece = Memo(encoded, 800_000)
+        # The pattern takes a space and ASCII letters as one piece.
+        self.after_space = Memo(lambda s: self.made(self.piece[" " + s]) if s.isascii() and s.isalpha() else self.run(" " + s), 800_000)
 
     def run(self, block: str) -> tuple[int, bytes, bytes]:
         ids = tuple(i for p in self.vocabulary.cut(block) for i in self.piece[p])
         return self.made(ids)
 
     def made(self, ids: tuple[int, ...]) -> tuple[int, bytes, bytes]:
-        return len(ids), ("%d," * len(ids) % ids).encode(), b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
+        return len(ids), b"".join(map(self.listed.__getitem__, ids)), b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
+
+    def runs(self, blocks: list[tuple[bool, str]]) -> Iterator[tuple[int, bytes, bytes]]:
+        """The run of each block, ``(is_special, text)``. A chunk that recurs in them is asked for once."""
+        v = self.vocabulary
+        whole = {k: self.made((v.special[b],)) if special else self.run(b) for k, (special, b) in enumerate(blocks) if special or not v.in_chunks(b)}
+        chunks, at, edges = parts_at_spaces(pa.array(["" if k in whole else b for k, (_, b) in enumerate(blocks)], pa.string()))
+        first = edges[:-1]
+        begun = [whole[k] if k in whole else self.run(chunks[at[place]]) for k, place in enumerate(first.tolist())]
+        at[first] = np.arange(len(chunks), len(chunks) + len(begun))
+        sizes, listed, raw = zip(*map(self.after_space.__getitem__, chunks), *begun, strict=True)
+        counts = np.add.reduceat(np.array(sizes)[at], first).tolist()
+        texts = []
+        for found in (listed, raw):
+            data, begins = put_in_place(found, at)
+            begins = begins[edges].tolist()
+            texts.append([data[a:b] for a, b in zip(begins, begins[1:])])
+        yield from zip(counts, *texts, strict=True)
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """``(place, *run)`` of every block of the texts in order; blocks are encoded several at a time."""
+        blocks, places, size = [], [], 0
+        for place, text in enumerate(texts):
+            for special, segment in self.vocabulary.segments(text):
+                for block in [segment] if special else self.vocabulary.blocks(segment):
+                    blocks.append((special, block))
+                    places.append(place)
+                    size += len(block)
+                    if size >= TOGETHER:
+                        yield from ((p, *r) for p, r in zip(places, self.runs(blocks), strict=True))
+                        blocks, places, size = [], [], 0
+        if blocks:
+            yield from ((p, *r) for p, r in zip(places, self.runs(blocks), strict=True))
 
     def encode(self, text: str) -> Iterator[list[tuple[int, bytes, bytes]]]:
         """Runs of a text, a list for each block."""
-        v = self.vocabulary
-        for special, segment in v.segments(text):
-            if special:
-                yield [self.made((v.special[segment],))]
-                continue
-            for block in v.blocks(segment):
-                chunks = v.chunks(block)
-                if chunks is None:
-                    yield [self.run(block)]
-                else:
-                    yield [self.run(chunks[0]), *map(self.after_space.__getitem__, chunks[1])]
+        for _, size, listed, raw in self.encode_all([text]):
+            yield [(size, bytes(listed), bytes(raw))]
 
 
 def encode_ids(df: DataFrame, vocabulary_path: str, text_col: str = "text") -> DataFrame:
@@ -221,18 +305,22 @@ def encode_decode_digests(df: DataFrame, vocabulary_path: str, id_col: str = "do
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = worker_cache(f"codec {vocabulary_path}", lambda: Codec(vocabulary_path))
         counts, id_digests, text_digests = [], [], []
-        for text in batch.column(1).to_pylist():
+        texts = batch.column(1).to_pylist()
+        runs = codec.encode_all(texts)
+        run = next(runs, None)
+        for row in range(len(texts)):
             n, digest, decoded = 0, hashlib.sha256(), hashlib.sha256()
             state = codecs.getincrementaldecoder("utf-8")("replace")
             comma = b""
-            for runs in codec.encode(text):
-                sizes, listed, raw = zip(*runs, strict=True)
-                listed = b"".join(listed)
+            while run is not None and run[0] == row:
+                _, size, listed, raw = run
                 if listed:
-                    n += sum(sizes)
-                    digest.update(comma + listed[:-1])
+                    n += size
+                    digest.update(comma)
+                    digest.update(listed[:-1])
                     comma = b","
-                    decoded.update(state.decode(b"".join(raw)).encode())
+                    decoded.update(state.decode(raw).encode())
+                run = next(runs, None)
             decoded.update(state.decode(b"", True).encode())
             counts.append(n)
             id_digests.append(digest.hexdigest())

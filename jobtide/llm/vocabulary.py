@@ -75,10 +75,14 @@ class Vocabulary:
         if begin < size:
             yield segment[begin:]
 
+    def in_chunks(self, block: str) -> bool:
+        """Whether the cuts before each space are cuts of the pattern."""
+        return not _UNSAFE.search(block)
+
     def chunks(self, block: str) -> tuple[str, list[str]] | None:
         """``(first, rest)``: the block cut before each space, the space taken off; None where such cuts
         are not cuts of the pattern. Chunks recur more often than texts, so their results are worth keeping."""
-        if _UNSAFE.search(block):
+        if not self.in_chunks(block):
             return None
         first, *rest = block.split(" ")
         return first, rest
