@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,28 @@ def query(fn: Query) -> Query:
     return fn
 
 
+SHARES, SHARE_SIZE, SPLIT_SIZE = 200, "2m", "4m"
+
+
+def in_shares(fn: Query) -> Query:
+    """For queries that sort whole task rows behind several shuffles: they run in a session with the caller's settings where a
+    shuffle starts from at least ``SHARES`` partitions, adaptive execution puts together no more than ``SHARE_SIZE``, and a scan task
+    reads ``SPLIT_SIZE``. By default there are hardly more tasks than cores, so a task's sorts and counts grow with the table."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        own = spark.newSession()
+        for name, value in spark.conf.getAll.items():
+            if spark.conf.isModifiable(name):
+                own.conf.set(name, value)
+        own.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(SHARES, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+        own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", SHARE_SIZE)
+        own.conf.set("spark.sql.files.maxPartitionBytes", SPLIT_SIZE)
+        return fn(own, sf)
+
+    return run
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Maps as JSON text, which every engine can compare."""
     return df.withColumn("payload", encode_payload("payload"))
@@ -411,6 +434,7 @@ def apply_transitions_repeated(spark, sf):
 
 
 @query
+@in_shares
 def fold_at_one_instant(spark, sf):
     """Four state changes at one instant: the fold of their log must end where the table does, for every task."""
     tasks, log = V.tasks(spark, sf), []
@@ -496,6 +520,7 @@ def failure_route(spark, sf):
 
 
 @query
+@in_shares
 def route_deltas(spark, sf):
     """Everything else that comes with routed results: log rows, dead letters, work to send again, and ids without a task."""
     more = results(spark, sf).withColumn("id", F.when(F.col("id") % 7 == 0, F.col("id") + 5_000_000_000).otherwise(F.col("id")))
