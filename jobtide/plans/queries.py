@@ -434,7 +434,6 @@ def apply_transitions_repeated(spark, sf):
 
 
 @query
-@in_shares
 def fold_at_one_instant(spark, sf):
     """Four state changes at one instant: the fold of their log must end where the table does, for every task."""
     tasks, log = V.tasks(spark, sf), []
