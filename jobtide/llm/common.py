@@ -5,11 +5,12 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide.streaming.sinks import shared_folder
@@ -111,11 +112,28 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """What is written inside the block has its shuffle files removed as soon as it is written, instead of when the driver collects its
+    garbage, so that the steps of an operator do not add up on disk. The caller's setting returns."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back, for rows that several steps use. The files
     are not tied to an executor, and later plans begin at them."""
     path = shared_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_end(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     rows = df.sparkSession.read.schema(df.schema).parquet(path)
     return scratch(rows, path)
 

@@ -8,10 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.common import Memo, TextMemo, Tidy, settle, worker_cache
+from jobtide.llm.common import Memo, TextMemo, Tidy, forget, settle, worker_cache
 from jobtide.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -169,6 +169,19 @@ def _filter_of(keys: DataFrame) -> bytes:
     return zlib.compress(bytes(out), 1)
 
 
+def _may_be(keys: DataFrame, of: Column) -> Column:
+    """Whether the hash ``of`` a row may be one of ``keys`` (``k``), by a filter of bounded size."""
+    packed = keys.sparkSession.sparkContext.broadcast(_filter_of(keys))
+
+    def look(hashes: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bits = np.frombuffer(zlib.decompress(packed.value), np.uint8)
+        for column in hashes:
+            bit = column.to_numpy() & (FILTER_BITS - 1)
+            yield pa.array((bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool))
+
+    return F.arrow_udf(look, "boolean")(of)
+
+
 def token_sets(df: DataFrame, id_col: str, text_col: str, rows: DataFrame, keys: DataFrame, words: int = WORDS) -> DataFrame:
     """``k``, ``n``, ``tokens`` (sorted 64-bit shingles) of the sets with the given keys, one row each. Only texts whose id
     may belong to one are looked at again, by a filter of bounded size; a join removes what it lets through."""
@@ -383,6 +396,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows = scratch.keep(settle(read.where("fragment is null").select("id", "n", "k")))
         sizes = settle(rows.where("k is not null").groupBy("k").agg(F.first("n").alias("n"), F.min("id").alias("id")))
         keys = settle(candidates(read.where("fragment is not null").select("fragment", "keys", "counts", "tokens"), sizes.select("k", "n"), percent))
+        forget(read)
         sets = settle(token_sets(df, id_col, text_col, rows, keys, words))
         of = link_sets(sets, percent)
         named = sizes.join(of.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k"))
@@ -395,11 +409,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``df`` whose id is the least of their component, one for each id; rows with a null id stay."""
+    """The rows of ``df`` whose id is the least of their component, one for each id; rows with a null id stay. Only rows that may be
+    left out, by a filter of bounded size, are moved to be joined with the ids that are; the others stay where they are read."""
     with Tidy() as scratch:
         found = near_duplicates(df, id_col, text_col, words, percent).where(F.col(id_col).isNotNull())
         of = scratch.keep(settle(found.select(F.col(id_col).alias("_id"), "component_id")))
-    rest = df.join(of.where("_id != component_id").select(F.col("_id").alias(id_col)).distinct(), id_col, "left_anti").select(*df.columns)
+    gone = of.where("_id != component_id").select(F.col("_id").alias(id_col)).distinct()
+    may = _may_be(gone.select(F.xxhash64(id_col).alias("k")), F.xxhash64(id_col))
+    rest = df.where(~may).union(df.where(may).join(gone, id_col, "left_anti").select(*df.columns))
     if of.groupBy("_id").count().where("count > 1").isEmpty():
         return rest
     return rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(rest.where(F.col(id_col).isNull()))

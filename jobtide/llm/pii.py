@@ -208,19 +208,20 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     Columns keep their names and order, whatever they are called; null and empty texts stay as they are, texts of any length are
     searched whole, repeated rows change alike, and an empty table gives no rows."""
     row = df.select(F.struct("*").alias("_all"), F.col(text_col).alias("_body"))
-    found = find_spans(row, "_body").withColumn("_sorted", F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+    body = F.col(f"_all.{text_col}")
+    found = find_spans(row, "_body", columns=["_all"]).withColumn("_sorted", F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        plain = F.substring(F.col("_body"), acc["at"] + 1, s["start"] - acc["at"])
+        plain = F.substring(body, acc["at"] + 1, s["start"] - acc["at"])
         label = F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)), F.lit("]"))
         inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
         return F.when(s["start"] < acc["at"], inside).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(plain, label)).alias("out")))
 
     last = F.aggregate("_sorted", first, step)
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("_body"), acc["at"] + 1, F.char_length("_body")))
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["at"] + 1, F.char_length(body)))
     done = found.withColumn("_last", last)
-    text = F.when(F.size("spans") == 0, F.col("_body")).otherwise(rest(F.col("_last")))
+    text = F.when(F.size("spans") == 0, body).otherwise(rest(F.col("_last")))
     return done.select(*[(text if c == text_col else F.col(f"_all.{c}")).alias(c) for c in df.columns])
 
 

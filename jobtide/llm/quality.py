@@ -141,4 +141,4 @@ def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     have no words; null languages and sources are groups of their own; repeated rows stay or go together; an empty table
     gives no rows."""
     row = df.select(F.struct("*").alias("_all"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    return assess(row).where("kept").select("_all.*")
+    return assess(row, columns=["_all"]).where("kept").select("_all.*")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.common import Tidy, scratch, settle
+from jobtide.llm.common import Tidy, scratch, settle, shuffles_end
 from jobtide.streaming.sinks import shared_folder
 
 LENGTH = 200
@@ -148,7 +148,8 @@ def _texts(df: DataFrame, text_col: str):
     whole = dealt.groupBy("t", "u").agg(F.first("data").alias("data"), F.sum("copies").alias("copies"))
     name = f"jobtide_texts_{uuid.uuid4().hex}"
     path = shared_folder(spark)
-    whole.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(many, "t").sortBy("t").saveAsTable(name)
+    with shuffles_end(spark):
+        whole.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(many, "t").sortBy("t").saveAsTable(name)
     return scratch(spark.table(name), path, name)
 
 
