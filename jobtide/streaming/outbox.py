@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.operators.skew import settling
+from jobtide.operators.skew import settled, settling
 from jobtide.operators.sliced import with_place
 from jobtide.streaming.sinks import drop_folder, path_exists, subfolders
 
@@ -25,11 +25,14 @@ class OutboxLog:
     """``published``: marks ``id, published_at`` below ``batch_id=N/range=R``, one folder per sending, named by the last range that
     it held: ranges go in order, so all up to the highest mark are sent. What a batch has to send lies in
     ``published_waiting/batch_id=N``, with a column ``range``, cut into folders ``block=B`` of whole ranges, until the next batch has
-    taken over its rest. So neither folders nor sendings grow with the number of ranges, however short these are."""
+    taken over its rest. So neither folders nor sendings grow with the number of ranges, however short these are. ``opened`` is
+    applied to the rows once, by the whole cluster, before they are cut into ranges, which may be too short to share out; rows that it
+    gets again, as they wait from the batch before, it leaves as they are."""
 
     published: str
     range_rows: int = OUTBOX_RANGE_ROWS
     keep_seconds: int = 3600
+    opened: Callable[[DataFrame], DataFrame] = lambda rows: rows
 
     def _waiting(self, batch_id: int) -> str:
         return f"{self.published}_waiting/batch_id={batch_id}"
@@ -84,7 +87,7 @@ class OutboxLog:
                 drop_folder(spark, f"{self.published}/batch_id={batch_id}/{name}")
         while number < end:
             size = min(size, end - number)
-            rows = self._rows(spark, batch_id, number, number + size)
+            rows = self.opened(self._rows(spark, batch_id, number, number + size))
             try:
                 deliver(rows, batch_id, number)
             except Exception:
@@ -104,10 +107,10 @@ class OutboxLog:
         spark = batch.sparkSession
         if path_exists(spark, f"{self._waiting(batch_id)}/_SUCCESS"):
             return
-        pending = batch.where("published_at IS NULL").drop("published_at")
+        pending = settled(self.opened(batch.where("published_at IS NULL").drop("published_at")))
         first, end = self._next(spark, batch_id - 1), self._end(spark, batch_id - 1)
         if first < end:
-            pending = pending.unionByName(self._rows(spark, batch_id - 1, first, end))
+            pending = pending.unionByName(self.opened(self._rows(spark, batch_id - 1, first, end)))
         order = F.struct("created_at", "id")
         placed = with_place(pending.withColumns({"_all": F.lit(0), "_order": order}), "_all", "_order", "_place")
         ranged = placed.withColumn("range", F.floor((F.col("_place") - 1) / self.range_rows)).drop("_all", "_order", "_place")
