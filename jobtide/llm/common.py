@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,14 @@ def words(text: Column) -> Column:
 
 def worker_cache(name: str, make: Callable[[], object]) -> object:
     """One object per Python worker, kept between tasks until another one is asked for, so that what one operator has
-    cached does not stay while the next one works. Code travels to the workers by value, so a plain module
+    cached does not stay while the next one works: a cache that calls a method of its owner is a cycle, which only a
+    collection ends, and Arrow holds on to what was freed. Code travels to the workers by value, so a plain module
     variable would be made anew for each task."""
     place = sys.modules.setdefault("_jobtide_worker", types.ModuleType("_jobtide_worker"))
     if getattr(place, "name", None) != name:
         place.held = None
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         place.name, place.held = name, make()
     return place.held
 
@@ -113,12 +117,9 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
 
 
 @contextmanager
-def shuffles_end(spark: SparkSession) -> Iterator[None]:
-    """What is written inside the block has its shuffle files removed as soon as it is written, instead of when the driver collects its
-    garbage, so that the steps of an operator do not add up on disk. The caller's setting returns."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -128,6 +129,18 @@ def shuffles_end(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+def shuffles_end(spark: SparkSession) -> AbstractContextManager[None]:
+    """What is written inside the block has its shuffle files removed as soon as it is written, instead of when the driver collects its
+    garbage, so that the steps of an operator do not add up on disk. The caller's setting returns."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def small_batches(spark: SparkSession, limit: int = TOGETHER) -> AbstractContextManager[None]:
+    """What is written inside the block reaches Python in Arrow batches of about ``limit`` bytes, not only of so many rows: the JVM and the
+    worker each hold a batch or two, so long rows cost no more memory than short ones. The caller's setting returns."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back, for rows that several steps use. The files
     are not tied to an executor, and later plans begin at them."""

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.common import Memo, TextMemo, Tidy, forget, settle, worker_cache
+from jobtide.llm.common import Memo, TextMemo, Tidy, forget, settle, small_batches, worker_cache
 from jobtide.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -391,7 +391,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     or blank one has none and links with nothing. A null id links nothing and gets a null component. Rows that repeat an id share its component;
     an empty table gives no rows; other columns are ignored.
     """
-    with Tidy() as scratch:
+    with Tidy() as scratch, small_batches(df.sparkSession):
         read = settle(read_sets(df, id_col, text_col, words, percent))
         rows = scratch.keep(settle(read.where("fragment is null").select("id", "n", "k")))
         sizes = settle(rows.where("k is not null").groupBy("k").agg(F.first("n").alias("n"), F.min("id").alias("id")))

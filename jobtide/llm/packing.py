@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from jobtide.llm.common import LONGEST_KEY, TextMemo, map_batches, parts_at_spaces, put_in_place, settle, slices, worker_cache
+from jobtide.llm.common import LONGEST_KEY, TextMemo, map_batches, parts_at_spaces, put_in_place, settle, slices, small_batches, worker_cache
 
 SEQUENCE_TOKENS = 4096
 END_ID = 1
@@ -214,5 +214,6 @@ def pack_documents(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     A null or empty text is its end id alone. Repeated rows and equal sizes each get a place of their own; which of
     two equal pieces takes which place is immaterial. An empty table gives no rows. Other columns are ignored.
     """
-    pieces = settle(cut_documents(df, vocabulary_path, id_col, text_col, max_tokens, end_id))
+    with small_batches(df.sparkSession):
+        pieces = settle(cut_documents(df, vocabulary_path, id_col, text_col, max_tokens, end_id))
     return pack_pieces(pieces, id_col, max_tokens)
